@@ -1,0 +1 @@
+"""The engine has no streaming operators: nothing that it re-expresses reads an unbounded input."""
