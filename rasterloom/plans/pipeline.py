@@ -69,7 +69,7 @@ class Plan:
             return graph.absorb_islands(labelled, table, min_area, p.keep_delta)
 
         clean = self._stage("segment", [look, min_area, p.mode_radius_mm, p.keep_delta], segment)
-        pixels = self._stage("regions", [look, min_area, p.mode_radius_mm, p.keep_delta], lambda: graph.chamfer(graph.components(clean)))
+        pixels = self._stage("regions", [look, min_area, p.mode_radius_mm, p.keep_delta], lambda: graph.components(clean))
         graph_rows = regions.region_graph(pixels, table, mm)
         legend = pattern.legend(graph_rows.select("img", F.col("label").alias("palette_idx"), F.col("area_mm2").alias("area")))
         return {"settings": asdict(s), "size": (w, h), "palette": chosen, "labels": clean, "regions": graph_rows, "legend": legend, "timings": dict(self.timings)}
