@@ -36,6 +36,8 @@ from .words import Words, as_long, mix64, shingle_sets, slices
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 #: Members of a large bucket that are held against another block at once.
 BLOCK = 256
+#: Sets up to this size travel whole with their sketch into blocks.
+SMALL = 400
 _EMPTY = np.uint16(0xFFFF)
 _PROBE = np.array([np.random.Generator(np.random.PCG64(i)).permutation(np.delete(np.arange(BUCKETS), i)) for i in range(BUCKETS)])
 _REST = 57  # bits left beside the bucket's seven
@@ -122,7 +124,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
             keys = band_keys(regs)
-            yield pa.record_batch({"key": as_long(keys.ravel()), "id": pa.array(np.repeat(np.asarray(batch.column("id")), keys.shape[1]))})
+            band = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+            yield pa.record_batch({"key": as_long(keys.ravel()), "band": pa.array(band), "id": pa.array(np.repeat(np.asarray(batch.column("id")), keys.shape[1]))})
 
 
 def _verify(percent: int):
@@ -164,23 +167,49 @@ def _prune(percent: int):
     return run
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of at most SMALL shingles in 32 bits a shingle; null for larger ones."""
+    for batch in batches:
+        lists = batch.column("items")
+        flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        short = [np.unique(flat[a:b].astype(np.uint32)).tobytes() if b - a <= SMALL else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.record_batch({"id": batch.column("id"), "n_shingles": batch.column("n_shingles"), "regs": batch.column("regs"), "short": pa.array(short, pa.binary())})
+
+
 def _across(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Likely pairs of different components between (or, on the diagonal, within) two blocks."""
-        at = {c: np.asarray(table.column(c).combine_chunks()) for c in ("i", "j", "block", "id", "component", "n_shingles")}
+        """Likely pairs of different components between (or, on the diagonal, within) two blocks.
+
+        A pair that shares an earlier band is left to that band's bucket.  Short sets are held against
+        each other at once: 32-bit shingles can only add to an intersection, so no link is lost.
+        """
+        table = table.combine_chunks()
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        block, ids, component, n = (table.column(c).to_numpy() for c in ("block", "id", "component", "n_shingles"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        left = np.flatnonzero(at["block"] == at["i"][0])
-        right = np.flatnonzero(at["block"] == at["j"][0])
+        keys = band_keys(regs)[:, :band]
+        sets = [None if s is None else np.frombuffer(s, np.uint32) for s in table.column("short").to_pylist()]
+        right = np.flatnonzero(block == j)
         found = []
-        for x in left:
-            y = right[(at["component"][right] != at["component"][x])]
-            if at["i"][0] == at["j"][0]:
+        for x in np.flatnonzero(block == i):
+            y = right[component[right] != component[x]]
+            if i == j:
                 y = y[y > x]
-            low, high = np.minimum(at["n_shingles"][x], at["n_shingles"][y]), np.maximum(at["n_shingles"][x], at["n_shingles"][y])
-            y = y[100 * low >= percent * high]
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+            y = y[~(keys[y] == keys[x]).any(axis=1)]
+            if len(y):
+                y = y[_likely(regs[x][None, :], regs[y], n[x], n[y], percent)]
+            if len(y) and sets[x] is not None:
+                known = np.array([sets[k] is not None for k in y])
+                held = y[known]
+                if len(held):
+                    size = np.array([len(sets[k]) for k in held])
+                    shared = np.add.reduceat(np.isin(np.concatenate([sets[k] for k in held]), sets[x]), np.cumsum(size) - size).astype(np.int64)
+                    lost = n[held] - size + n[x] - len(sets[x])  # shingles that 32 bits cannot tell apart
+                    held = held[100 * (shared + lost) >= percent * (n[held] + n[x] - shared - lost)]
+                y = np.concatenate([y[~known], held])
             if len(y):
-                y = y[_likely(regs[x][None, :], regs[y], at["n_shingles"][x], at["n_shingles"][y], percent)]
-                found.append(np.stack([np.full(len(y), at["id"][x]), at["id"][y]]))
+                found.append(np.stack([np.full(len(y), ids[x]), ids[y]]))
         pairs = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
@@ -189,10 +218,11 @@ def _across(percent: int):
 
 def _block_pairs(placed: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of large buckets: members go to blocks of about BLOCK, and each pair of blocks is
-    one small group, in which only pairs that the sketches support are emitted."""
+    one small group, in which only pairs that the sketches (and short sets) support are emitted."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = placed.join(items.select("id", "n_shingles", "regs"), "id").select("key", "id", "component", "n_shingles", "regs", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "regs")
+    short = items.select("id", "n_shingles", "regs", "items").mapInArrow(_short_sets, "id long, n_shingles long, regs binary, short binary")
+    members = placed.join(short, "id").select("key", "band", "id", "component", "n_shingles", "regs", "short", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "regs", "short")
     return dealt.groupBy("key", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
@@ -208,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     sketched = work.keep(rows.mapInArrow(_sketch(k, False), _SKETCH), "sketch")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = work.keep(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "classes")
-    bands = classes.select("id", "regs").mapInArrow(_bands, "key long, id long")
+    bands = classes.select("id", "regs").mapInArrow(_bands, "key long, band int, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
     buckets = work.keep(bands.join(shared, "key"), "buckets")
     active = buckets.select("id").distinct()
@@ -226,7 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     links = work.keep(confirmed(tested), "links")
     found = connected_components(work, links)
     for turn in range(1, hub_rounds + 1):
-        placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        placed = buckets.select("key", "band", "id").join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("hub"), F.count("*").alias("n")).where("low < high")
         placed = work.keep(placed.join(open_keys.select("key", "n", F.col("hub.id").alias("hub"), F.col("hub.component").alias("hub_component")), "key"), "open")
         if placed.isEmpty():
