@@ -2,10 +2,11 @@
 
 A text's terms are its lower-cased words and the 4-, 5- and 6-byte beginnings of longer words.  The
 space holds the terms that labelled examples tie to toxicity: log-likelihood ratio above
-2 ln(number of terms tried), the strongest ``VOCABULARY`` of them.  Within that space similarity is
-the exact TF-IDF cosine (tf 1 + ln n, document frequencies over all documents), the ``NEIGHBOURS``
-nearest examples vote with their squared cosine, and each vote counts for the labelled rows its
-example stands for.  Texts without any term of the space score as the labelled texts without one.
+2 ln(100 x number of terms tried), so that chance brings in about one term in a hundred fits; the
+strongest ``VOCABULARY`` of them.  Within that space similarity is the exact TF-IDF cosine (tf
+1 + ln n, document frequencies over all documents), the ``NEIGHBOURS`` nearest examples vote with
+their squared cosine, and each vote counts for the labelled rows its example stands for.
+Texts without any term of the space score as the labelled texts without one.
 
 The examples lie in a block-max inverted index: postings per term and block of examples, with the
 largest weight of the term in the block.  Blocks are scored in falling order of their bound and the
@@ -174,7 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return F.when(x > 0, x * F.log(x * all_n / (row * col))).otherwise(0.0)
 
         ratio = 2 * (part(a, seen, n0) + part(b, seen, n1) + part(n0 - a, all_n - seen, n0) + part(n1 - b, all_n - seen, n1))
-        strong = counts.withColumn("g", ratio).where((F.col("g") >= 2 * float(np.log(max(2, tried)))) & (b * n0 > a * n1)).orderBy(F.desc("g"), "term").limit(VOCABULARY)
+        strong = counts.withColumn("g", ratio).where((F.col("g") >= 2 * float(np.log(100 * max(1, tried)))) & (b * n0 > a * n1)).orderBy(F.desc("g"), "term").limit(VOCABULARY)
         vocabulary = np.sort(np.array([r["term"] for r in strong.select("term").collect()], np.int64).view(np.uint64))
     counted = work.keep(rows.mapInArrow(_term_counts(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "counted")
     total = sum(totals.values())
