@@ -6,8 +6,8 @@ Each document's count inverts the Poisson distribution at a uniform number that
 fix: the count is the number of cumulative probabilities at or under it.  Copies are exploded and
 dealt by a hash of (seed, id, copy), which is a global shuffle that a rerun repeats exactly.
 
-The rates are one row a source.  They are joined, not broadcast by hand: Spark broadcasts them while
-they are small and otherwise splits a hot source's rows.
+The rates are one row a source and are written first, so that Spark knows their size: it broadcasts
+them up to its threshold, without a shuffle by source, and otherwise splits a hot source's rows.
 
 Defined cases: documents without a source are the source ''; null or empty texts have mass 0 and
 are replicated like others of their source; a source of mass 0 or weight 0 has rate 0; a null doc_id
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Workspace
+
 MAX_RATE = 64.0
 #: Terms of the distribution that are summed; at the largest rate the rest is under 1e-16.
 TERMS = 160
@@ -53,7 +55,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, rate: float = 1.0, seed: int = 1) -> DataFrame:
     """The columns of docs and copy (from 1), each row as often as its count says, in random order."""
-    rates = source_rates(docs, weights, power, rate).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    rates = Workspace(docs.sparkSession, "mixing").keep(source_rates(docs, weights, power, rate), "rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     at = uniform(seed, F.col("doc_id"))
     # the uniform number goes in as the start of the fold, so that it is computed once a row
     inverse = F.aggregate("__cdf", F.struct(at.alias("u"), F.lit(0).alias("n")), lambda acc, c: F.struct(acc["u"].alias("u"), (acc["n"] + (c <= acc["u"]).cast("int")).alias("n")))
