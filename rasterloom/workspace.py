@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions that have none set, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is set only where there is none (as in tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    if not at:
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='rasterloom-')}")
     return at.rstrip("/")
 
 
