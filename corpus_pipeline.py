@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = work.keep(stage(spark, docs, sf_dir), name)
-        work.release()
+        work.release(2)
     return docs

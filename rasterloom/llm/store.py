@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions that have none set, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one is set only where none is (as in tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='rasterloom-')}")
     return at.rstrip("/")
 
 
@@ -50,8 +53,12 @@ class Workspace:
                     p = jvm.org.apache.hadoop.fs.Path(f)
                     p.getFileSystem(conf).delete(p, True)
 
-    def release(self) -> None:
+    def release(self, rounds: int = 1) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs now, not when the driver's
-        heap happens to fill."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        heap happens to fill.  A job's end reaches Spark's listeners a little later, and until then
+        they hold its plan; a second round finds it free."""
+        for _ in range(rounds):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            if rounds > 1:
+                time.sleep(1.5)

@@ -9,9 +9,10 @@ bucketed by anchor and sorted by anchor within each bucket.  A new batch becomes
 merge-joined, bucket by bucket, with the runs there are; anchors found in more than one document
 are suspects.  When a level holds ``fanout`` runs, they are merged into one run of the next level.
 
-``repeated`` verifies: documents with suspect anchors emit the fingerprints of exactly those windows
+``remove_repeats`` verifies: documents with suspect anchors emit the fingerprints of exactly those windows
 (64 bits of the window beside 64 bits of its anchor), each window's smallest document is its owner,
-and all later documents lose the words it covers.
+and all later documents lose the words it covers.  What meets at a hot window is a row for each
+batch of documents, and it streams by in sorted order.
 
 Defined cases: null text has no words; a null doc_id neither removes nor loses anything; rows of one
 doc_id count as one document and never remove from each other; documents under ``WINDOW`` words
@@ -58,8 +59,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of each document whose anchor is in its list of suspects."""
+    """Distinct windows of each document whose anchor is in its list of suspects.
+
+    Of a batch's documents with one window only the first can own it: the others lose it here and now
+    (lost), and a window that a third of all documents hold goes on once for every batch, not once
+    for every document.
+    """
     for batch in batches:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in slices(batch):
             words = Words(part.column("text"))
             places, anchor, owner = window_anchors(words)
@@ -73,7 +80,37 @@ def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     hit[a:b] = np.isin(anchor[a:b], flat[ends[i] : ends[i + 1]])
             places, anchor, owner = places[hit], anchor[hit], owner[hit]
             window = grams(words.hash, WINDOW)[places] if len(places) else np.zeros(0, np.uint64)
-            yield pa.record_batch({"anchor": as_long(anchor), "window": as_long(window), "doc_id": part.column("doc_id").take(pa.array(owner))})
+            found.append((anchor, window, np.asarray(part.column("doc_id"))[owner]))
+        if not found:
+            continue
+        anchor, window, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, anchor, window))
+        anchor, window, doc = anchor[order], window[order], doc[order]
+        same = np.zeros(len(doc), bool)
+        same[1:] = (anchor[1:] == anchor[:-1]) & (window[1:] == window[:-1])
+        again = same.copy()
+        again[1:] &= doc[1:] == doc[:-1]
+        anchor, window, doc, same = anchor[~again], window[~again], doc[~again], same[~again]
+        yield pa.record_batch({"anchor": as_long(anchor), "window": as_long(window), "doc_id": pa.array(doc), "lost": pa.array(same)})
+
+
+def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, window) of what documents lose, from rows sorted by (window, anchor, doc_id): in each
+    group all but the first document; state is one row."""
+    owner: tuple[int, int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, window, doc, lost = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "window", "doc_id", "lost"))
+        first = np.ones(len(doc), bool)
+        first[1:] = (window[1:] != window[:-1]) | (anchor[1:] != anchor[:-1])
+        if owner is not None and (int(window[0]), int(anchor[0])) == owner[:2]:
+            first[0] = False
+        group = np.cumsum(first) - 1
+        least = np.append(doc[first], owner[2] if owner else 0)[group]  # group -1 goes on from the batch before
+        owner = int(window[-1]), int(anchor[-1]), int(least[-1])
+        out = pa.array(np.flatnonzero(lost | (doc > least)))
+        yield pa.record_batch({"doc_id": batch.column("doc_id").take(out), "window": batch.column("window").take(out)})
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +225,15 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
         suspects = found if suspects is None else suspects.unionAll(found)
         work.release()
         index.compact()
-    listed = index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    windows = work.keep(rows.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long"), "windows")
+    listed = work.keep(index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
     index.close()
-    work.release()
-    owners = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "window", "low")
-    lost = windows.join(owners, ["anchor", "window"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    work.release(2)
+    windows = rows.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
+    # rows that are lost already are dealt by document, so that they cannot pile up at their window
+    dealt = windows.repartition(F.when(F.col("lost"), F.xxhash64("doc_id")).otherwise(F.xxhash64("window", "anchor"))).sortWithinPartitions("window", "anchor", "doc_id")
+    lost = work.keep(dealt.mapInArrow(_losers, "doc_id long, window long").groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "lost")
+    work.drop(listed)
+    work.release(2)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
     return carried.join(lost, "doc_id", "left").mapInArrow(_strip, f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")
