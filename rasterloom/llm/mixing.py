@@ -3,16 +3,19 @@
 A source s with mass m_s (characters) and target weight w_s gets the mean repetition rate
 lambda_s = rate * M * w_s / m_s (weights normalised over the sources present, M the mass of all).
 Each document's count inverts the Poisson distribution at a uniform number that its id and the seed
-fix: the count is the number of cumulative probabilities at or under it.  Copies are exploded and
-dealt by a hash of (seed, id, copy), which is a global shuffle that a rerun repeats exactly.
+fix: the count is the number of cumulative probabilities at or under it.  Up to a rate of ``TABLE``
+a source's cumulative probabilities from 0 on are a column of its row; over it they are added up
+beside each document over the counts within ``SIGMAS`` deviations of the rate, in proportion to their
+sum, so that neither exp(-rate) nor a number of terms bounds the rate.  Copies are exploded and dealt by a hash of (seed, id, copy), which is a global shuffle that a rerun repeats exactly.
 
 The rates are one row a source and are written first, so that Spark knows their size: it broadcasts
 them up to its threshold, without a shuffle by source, and otherwise splits a hot source's rows.
 
 Defined cases: documents without a source are the source ''; null or empty texts have mass 0 and
 are replicated like others of their source; a source of mass 0 or weight 0 has rate 0; a null doc_id
-counts as the empty string; repeated rows get equal counts; a rate over ``MAX_RATE`` is refused
-with an error, because that is a slip in the weights; an empty table gives an empty result.
+counts as the empty string; repeated rows get equal counts; a rate over ``MAX_RATE`` that follows
+from given weights is refused with an error, as a slip in them, while one that follows from the
+masses holds at any size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 MAX_RATE = 64.0
-#: Terms of the distribution that are summed; at the largest rate the rest is under 1e-16.
-TERMS = 160
+#: Largest rate whose probabilities are listed from 0 on; after TERMS of them the rest is under 1e-16.
+TABLE, TERMS = 64.0, 160
+#: Deviations on each side of a larger rate; the rest is under 1e-20.
+SIGMAS = 12.0
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -34,7 +39,8 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, rate: float = 1.0) -> DataFrame:
-    """source, mass, rate, cdf for every source; without weights a source's weight is mass ** power."""
+    """source, mass, rate, cdf, low, high, total for every source; without weights a source's weight is
+    mass ** power.  cdf serves rates up to TABLE, the counts from low to high and their total the others."""
     mass = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("mass"))
     if weights is None:
         weight = F.pow(F.col("mass").cast("double"), F.lit(power))
@@ -44,22 +50,40 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
     totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("mass").cast("double").alias("all_mass"))
     share = F.when((F.col("mass") > 0) & (F.col("all_weight") > 0), F.lit(rate) * F.col("all_mass") * (F.col("weight") / F.col("all_weight")) / F.col("mass")).otherwise(0.0)
     rated = weighed.join(F.broadcast(totals)).withColumn("rate", share)  # totals is one row
-    checked = rated.withColumn("rate", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.concat(F.lit("repetition rate too large for source "), F.col("source"))).cast("double")).otherwise(F.col("rate")))
+    if weights is not None:
+        rated = rated.withColumn("rate", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.concat(F.lit("repetition rate too large for source "), F.col("source"))).cast("double")).otherwise(F.col("rate")))
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
         lambda acc, j: F.struct((acc["p"] * F.col("rate") / j).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rate") / j)).alias("cdf")),
     )
-    return checked.withColumn("cdf", step["cdf"]).select("source", "mass", "rate", "cdf")
+    spread = F.lit(SIGMAS) * F.sqrt("rate")
+    spanned = rated.withColumns({"cdf": F.when(F.col("rate") <= TABLE, step["cdf"]), "low": F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("int"), "high": F.ceil(F.col("rate") + spread).cast("int")})
+    total = F.when(F.col("rate") > TABLE, _upward(F.col("rate"), F.col("low"), F.col("high"), F.lit(float("inf")))["sum"])
+    return spanned.withColumn("total", total).select("source", "mass", "rate", "cdf", "low", "high", "total")
+
+
+def _upward(rate: Column, low: Column, high: Column, limit: Column) -> Column:
+    """n, the counts from low to high whose running sums of probabilities (1 at low) are at or under the
+    limit, and sum, the last of these sums."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), (limit >= 1.0).cast("int").alias("n"), limit.alias("limit"))
+
+    def add(acc: Column, j: Column) -> Column:
+        p = acc["p"] * rate / j
+        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), (acc["n"] + (acc["sum"] + p <= acc["limit"]).cast("int")).alias("n"), acc["limit"].alias("limit"))
+
+    return F.aggregate(F.sequence(low + 1, high), start, add)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, rate: float = 1.0, seed: int = 1) -> DataFrame:
     """The columns of docs and copy (from 1), each row as often as its count says, in random order."""
-    rates = Workspace(docs.sparkSession, "mixing").keep(source_rates(docs, weights, power, rate), "rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    rates = Workspace(docs.sparkSession, "mixing").keep(source_rates(docs, weights, power, rate), "rates").select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "cdf", "low", "high", "total")])
     at = uniform(seed, F.col("doc_id"))
     # the uniform number goes in as the start of the fold, so that it is computed once a row
     inverse = F.aggregate("__cdf", F.struct(at.alias("u"), F.lit(0).alias("n")), lambda acc, c: F.struct(acc["u"].alias("u"), (acc["n"] + (c <= acc["u"]).cast("int")).alias("n")))
-    counted = docs.join(rates, F.coalesce(docs["source"], F.lit("")) == F.col("__source")).withColumn("__n", inverse["n"])
+    beyond = F.col("__low") + _upward(F.col("__rate"), F.col("__low"), F.col("__high"), at * F.col("__total"))["n"]
+    count = F.when(F.col("__cdf").isNotNull(), inverse["n"]).otherwise(beyond)
+    counted = docs.join(rates, F.coalesce(docs["source"], F.lit("")) == F.col("__source")).withColumn("__n", count)
     copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     return copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key").select(*docs.columns, "copy")

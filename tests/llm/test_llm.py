@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import zlib
 
@@ -306,6 +307,23 @@ def test_mixing_counts_and_shares(spark, docs):
         mixing.mix_sources(df, {"big": 1e-9, "small": 1.0}, rate=100).count()
 
 
+@pytest.mark.parametrize("size", [40_000, 4_000_000])
+def test_mixing_repeats_a_tiny_source_beside_large_ones(spark, size):
+    """At rates over 64, and over 745 where exp(-rate) is 0, counts invert the Poisson distribution."""
+    big = spark.createDataFrame([(1000, "x", "en", "big", size)], DOCS).withColumn("text", F.expr(f"repeat('x', {size})"))
+    tiny = spark.createDataFrame([(i, "x" if i == 0 else "", "en", None, 1) for i in range(8)], DOCS)
+    mean = (size + 1) / (math.sqrt(size) + 1)
+    assert mean > 64
+    want = {}
+    for i in range(8):
+        u, n, total = int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:13], 16) / 2**52, 0, 0.0
+        while (total := total + math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))) <= u:
+            n += 1
+        want[i] = n
+    got = mixing.mix_sources(big.unionAll(tiny)).where("source is null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"))
+    assert {r["doc_id"]: (r["n"], r["last"]) for r in got.collect()} == {i: (n, n) for i, n in want.items()}
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>Head</h1><p>one &amp; two<br>three<p>four <b>five</b>'
     '<ul><li>x<li>y</ul><div class="comments"><p>me too</p></div><script>var t = "</p>";</script></article><footer>foot</footer>'
