@@ -1,20 +1,19 @@
 """Toxicity from the nearest labelled examples.
 
-A text's terms are its lower-cased words and the 4-, 5- and 6-byte beginnings of longer words.  The
-space holds the terms that labelled examples tie to toxicity: log-likelihood ratio above
-2 ln(100 x number of terms tried), so that chance brings in about one term in a hundred fits; the
-strongest ``VOCABULARY`` of them.  Within that space similarity is the exact TF-IDF cosine (tf
-1 + ln n, document frequencies over all documents), the ``NEIGHBOURS`` nearest examples vote with
-their squared cosine, and each vote counts for the labelled rows its example stands for.
-Texts without any term of the space score as the labelled texts without one.
-
-The examples lie in a block-max inverted index: postings per term and block of examples, with the
-largest weight of the term in the block.  Blocks are scored in falling order of their bound and the
-search stops when no block can reach the kth neighbour.
-
-Bounds: at most ``EXAMPLES`` examples a class (the smallest hashes of the doc_id) are used for
-choosing terms and as neighbours; that, and the vocabulary, bound what is broadcast.  Document
-frequencies and class rates count all rows.
+A text's terms are its lower-cased words and the 4-, 5- and 6-byte beginnings of longer words.
+Similarity is the TF-IDF cosine over all terms (tf 1 + ln n, document frequencies over all
+documents, norms over the whole text; a term that no example holds counts in the norm as one seen in
+no document).  A term that examples tie to toxicity weighs 1 + its log-likelihood ratio times as much;
+no term is left out.  The ``NEIGHBOURS`` nearest examples vote with their squared cosine, and each
+vote counts for the labelled rows its example stands for; the base rate has ``PRIOR`` of the nearest
+neighbour's weight.  Texts that share no term with an example score the base rate.
+
+The examples lie in a block-max index: per block of examples the largest weight of each frequent
+term; rare terms' postings are summed exactly first and join the bound.  Blocks are scored in falling
+order of their bounds, each only for the texts whose kth neighbour the bound reaches.
+
+Bounds: at most ``EXAMPLES`` examples a class (the smallest hashes of the doc_id) serve as neighbours
+and for the ratios; that bounds what is broadcast.  Document frequencies and class rates count all rows.
 
 Defined cases: null or empty texts have no terms; null ids and labels teach nothing; a document is
 never its own neighbour; without labelled rows of both classes each score is the overall rate (0
@@ -24,6 +23,7 @@ without labels); other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from typing import Any
 
 import numpy as np
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .words import Words, as_long, mix64, slices
 
-EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 3000, 768, 15, 64
-#: Strength of the base rate against the votes.
+EXAMPLES, NEIGHBOURS, BLOCK, COMMON, STRIP = 3000, 15, 64, 1024, 8
+#: Strength of the base rate against the nearest vote.
 PRIOR = 0.5
 
 
@@ -44,6 +44,30 @@ def terms(words: Words) -> list[np.ndarray]:
     return [words.hash, *(np.where(p > 0, mix64(p), np.uint64(0)) for p in (words.prefix(k) for k in (4, 5, 6)))]
 
 
+class Counts:
+    """The distinct terms of each text of a slice and how often each occurs: of text i, ``place`` and
+    ``count`` between ends[i] and ends[i + 1], place by place of the sorted vocabulary; terms outside it
+    are over its size."""
+
+    def __init__(self, column: pa.Array, vocabulary: np.ndarray):
+        words = Words(column, lower=True, letters=True)
+        size, entry = len(vocabulary), np.zeros((0, 4), np.int64)
+        _, first, again = np.unique(words.hash, return_index=True, return_inverse=True)
+        if len(first):
+            one = copy(words)
+            one.hash, one.start, one.end = words.hash[first], words.start[first], words.end[first]
+            h = np.stack(terms(one), axis=1)
+            at = np.searchsorted(vocabulary, h)
+            known = np.append(vocabulary, np.uint64(0))[at] == h
+            entry = np.where(known & (at < size), at, size + 1 + (h >> np.uint64(25)).astype(np.int64))
+            entry[h == 0] = -1
+        key = entry[again] + (words.owner()[:, None] << 41)
+        key, self.count = np.unique(key[entry[again] >= 0], return_counts=True)
+        self.ends = np.searchsorted(key, np.arange(words.n + 1) << 41)
+        self.place = key & ((1 << 41) - 1)
+        self.known = self.place < size
+
+
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -59,94 +83,161 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch({"term": as_long(np.concatenate(found).astype(np.uint64)), "label": part.column("label").take(index)})
 
 
+def _frequencies(vocabulary: np.ndarray):
+    """One row a task and term: in how many of the task's texts the term stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                counts = Counts(part.column("text"), vocabulary)
+                seen += np.bincount(counts.place[counts.known], minlength=len(vocabulary))
+        at = np.flatnonzero(seen)
+        for low in range(0, len(at), 1 << 16):
+            part = at[low : low + (1 << 16)]
+            yield pa.record_batch({"t": pa.array(part.astype(np.int32)), "n": pa.array(seen[part])})
+
+    return run
+
+
 def _term_counts(vocabulary: np.ndarray):
     """Counts of the vocabulary's terms in each text (sorted uint64 vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = Words(part.column("text"), lower=True, letters=True)
-                owner, places = [], []
-                who = words.owner()
-                for h in terms(words) if len(vocabulary) else []:
-                    at = np.searchsorted(vocabulary, h)
-                    at[at == len(vocabulary)] = 0
-                    hit = np.flatnonzero(vocabulary[at] == h)
-                    owner.append(who[hit])
-                    places.append(at[hit])
-                key = np.concatenate(owner) * len(vocabulary) + np.concatenate(places) if owner else np.zeros(0, np.int64)
-                key, count = np.unique(key, return_counts=True)
-                ends = np.searchsorted(key, np.arange(part.num_rows + 1) * len(vocabulary)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % max(1, len(vocabulary)), count)]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "terms": lists[0], "counts": lists[1]})
+                counts = Counts(part.column("text"), vocabulary)
+                ends = np.append(0, np.cumsum(counts.known))[counts.ends].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[counts.known].astype(np.int32))) for x in (counts.place, counts.count)]
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "terms": lists[0], "counts": lists[1]})
 
     return run
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """How strongly each term, in a of n0 and b of n1 examples, is tied to label 1; 0 where it is not."""
+
+    def part(x: np.ndarray, row: np.ndarray, col: int) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1) * (n0 + n1) / np.maximum(row * col, 1)), 0.0)
+
+    seen, rest = a + b, n0 + n1 - a - b
+    g = 2 * (part(a, seen, n0) + part(b, seen, n1) + part(n0 - a, rest, n0) + part(n1 - b, rest, n1))
+    return np.where(b * n0 > a * n1, np.maximum(g, 0.0), 0.0)
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples as postings by block, with each block's largest weights."""
+    """Unit vectors of examples by blocks, with each block's largest weight of each frequent term.
 
-    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, stands_for: tuple[float, float]):
-        rows = sorted(rows, key=lambda r: (sorted(r[2]), r[0]))  # like examples share blocks
-        self.idf = idf
+    Terms that few examples hold lie in postings, which are added up first; the ``COMMON`` most frequent
+    terms lie in a matrix, of which a block is read only for texts that its bound lets in.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, Any, Any]], weight: np.ndarray, stands_for: tuple[float, float]):
+        rows = sorted(rows, key=lambda r: (r[1], sorted(r[2], key=lambda t: (-weight[t], t))[:8], r[0]))  # like examples share blocks
+        self.weight = weight
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.int64)
         self.mass = np.array([stands_for[r[1]] for r in rows], float)
-        self.blocks = -(-len(rows) // BLOCK)
-        self.peak = np.zeros((self.blocks, len(idf)))
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (_, _, at, n) in enumerate(rows):
-            at, w = self.vector(at, n)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                postings.setdefault((i // BLOCK, t), []).append((i % BLOCK, x))
-                self.peak[i // BLOCK, t] = max(self.peak[i // BLOCK, t], x)
-        self.postings = {k: (np.array([p for p, _ in v]), np.array([x for _, x in v])) for k, v in postings.items()}
-
-    def vector(self, at: Any, n: Any) -> tuple[np.ndarray, np.ndarray]:
+        vectors = [self.vector(r[2], r[3]) for r in rows]
+        term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
+        who = np.repeat(np.arange(len(rows), dtype=np.int64), [len(v[0]) for v in vectors])
+        by = np.argsort(term, kind="stable")
+        self.who, self.x = who[by], np.concatenate([np.zeros(0), *[v[1] for v in vectors]])[by]
+        self.first = np.searchsorted(term[by], np.arange(len(weight) + 1))
+        self.common = np.argsort(-np.diff(self.first), kind="stable")[:COMMON]
+        self._ready = False
+
+    def vector(self, at: Any, n: Any, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, of length one with the squares of terms that no example holds."""
         at, n = np.asarray(at, np.int64), np.asarray(n, float)
-        w = (1 + np.log(n)) * self.idf[at]
-        return at, w / max(1e-300, float(np.sqrt((w * w).sum())))
+        w = (1 + np.log(n)) * self.weight[at]
+        return at, w / max(1e-300, float(np.sqrt((w * w).sum() + beyond)))
 
-    def nearest(self, own_id: int | None, at: Any, n: Any, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, ties to the earlier example."""
-        at, w = self.vector(at, n)
-        bound = self.peak[:, at] @ w
-        who, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosine) == k and bound[b] < cosine[-1] - 1e-12:
-                break
-            scores = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                if (found := self.postings.get((int(b), t))) is not None:
-                    scores[found[0]] += found[1] * x
-            hit = np.flatnonzero((scores > 0) & (self.ids[b * BLOCK : b * BLOCK + len(scores)] != own_id))
-            who, cosine = np.concatenate([who, hit + b * BLOCK]), np.concatenate([cosine, scores[hit]])
-            best = np.lexsort((who, -cosine))[:k]
-            who, cosine = who[best], cosine[best]
+    def _prepare(self) -> None:
+        """The matrix and the blocks' maxima, built where they are used."""
+        self.column = np.full(len(self.weight), -1)
+        self.column[self.common] = np.arange(len(self.common))
+        self.matrix = np.zeros((len(self.ids), len(self.common)))
+        for c, t in enumerate(self.common):
+            part = slice(self.first[t], self.first[t + 1])
+            self.matrix[self.who[part], c] = self.x[part]
+        self.edges = np.append(np.arange(0, len(self.ids), BLOCK), len(self.ids))
+        self.peak = np.maximum.reduceat(self.matrix, self.edges[:-1], axis=0)
+        self._ready = True
+
+    def search(self, own: np.ndarray, row: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest of each text, given by entries (row, term, weight); cosines
+        at nine decimals, ties to the earlier example; places left over are -1 and 0."""
+        if not self._ready:
+            self._prepare()
+        m, n = len(own), len(self.ids)
+        column = self.column[at]
+        often = column >= 0
+        frequent = np.zeros((m, len(self.common)))
+        frequent[row[often], column[often]] = w[often]
+        rare = np.zeros((m, n))
+        row, at, w = row[~often], at[~often], w[~often]
+        low, size = self.first[at], np.diff(self.first)[at]
+        cuts = np.searchsorted(row, np.append(np.arange(0, m, STRIP), m))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):  # strips that stay in the cache
+            entry = np.repeat(np.arange(a, b), size[a:b])
+            shift = low[a:b] - np.cumsum(size[a:b]) + size[a:b]
+            place = np.arange(len(entry)) + shift[entry - a]
+            key = self.who[place] + ((row[a:b] - i * STRIP) * n)[entry - a]
+            strip = rare[i * STRIP : (i + 1) * STRIP]
+            strip += np.bincount(key, self.x[place] * w[entry], strip.size).reshape(strip.shape)
+        bound = frequent @ self.peak.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
+        who, cosine = np.full((m, k), -1), np.zeros((m, k))
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= cosine[:, -1] - 1e-8))
+            if not len(some):
+                continue
+            part = slice(self.edges[b], self.edges[b + 1])
+            score = np.round(frequent[some] @ self.matrix[part].T + rare[some, part], 9)
+            score[self.ids[part][None, :] == own[some][:, None]] = 0
+            top = score.max(axis=1)
+            hit = (top > 0) & (top >= cosine[some, -1])
+            some, score = some[hit], score[hit]
+            if len(some):
+                all_who = np.concatenate([who[some], np.broadcast_to(np.arange(part.start, part.stop), score.shape)], axis=1)
+                all_who[:, k:][score <= 0] = -1
+                all_cosine = np.concatenate([cosine[some], score], axis=1)
+                best = np.lexsort((all_who, -all_cosine), axis=1)[:, :k]
+                who[some], cosine[some] = np.take_along_axis(all_who, best, 1), np.take_along_axis(all_cosine, best, 1)
         return who, cosine
 
-    def vote(self, own_id: int | None, at: Any, n: Any, base: float) -> tuple[float, np.ndarray, np.ndarray]:
-        who, cosine = self.nearest(own_id, at, n, NEIGHBOURS)
-        w = cosine**2 * self.mass[who]
-        scale = self.mass.mean() if len(self.mass) else 1.0
-        return (float((w * self.labels[who]).sum()) + PRIOR * scale * base) / (float(w.sum()) + PRIOR * scale), who, cosine
+    def nearest(self, own_id: int | None, at: Any, n: Any, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest of one text."""
+        at, w = self.vector(at, n)
+        who, cosine = self.search(np.array([-1 if own_id is None else own_id]), np.zeros(len(at), np.int64), at, w, k)
+        return who[0][who[0] >= 0], cosine[0][who[0] >= 0]
 
 
-def _score(index: BlockMaxIndex | None, base: float, bare: float):
+def _score(index: BlockMaxIndex | None, vocabulary: np.ndarray, unseen: float, base: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, near, cosines = [], [], []
-            for own, at, n in zip(batch.column("doc_id").to_pylist(), batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if index is None or not at:
-                    score.append(bare)
-                    near.append([])
-                    cosines.append([])
-                    continue
-                s, who, c = index.vote(own, at, n, base)
-                score.append(min(1.0, max(0.0, s)))
-                near.append(index.ids[who[:3]].tolist())
-                cosines.append(c[:3].tolist())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(near, pa.list_(pa.int64())), "cosines": pa.array(cosines, pa.list_(pa.float64()))})
+            for low in range(0, batch.num_rows, 256):
+                for part in slices(batch.slice(low, 256)):
+                    yield scored(part)
+
+    def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+        m = part.num_rows
+        score, near, cosines = np.full(m, base), [[] for _ in range(m)], [[] for _ in range(m)]
+        if index is not None:
+            counts = Counts(part.column("text"), vocabulary)
+            row = np.repeat(np.arange(m), np.diff(counts.ends))
+            known = counts.known
+            w = (1 + np.log(counts.count)) * np.where(known, index.weight[np.where(known, counts.place, 0)], unseen)
+            w /= np.maximum(1e-300, np.sqrt(np.bincount(row, w * w, m)))[row]
+            ids = part.column("doc_id")
+            own = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min, np.asarray(ids.fill_null(0)))
+            who, cosine = index.search(own, row[known], counts.place[known], w[known], NEIGHBOURS)
+            vote = cosine**2 * index.mass[who]
+            prior = PRIOR * index.mass.mean() * np.maximum(cosine[:, 0] ** 2, 1e-9)
+            score = np.clip(((vote * index.labels[who]).sum(axis=1) + prior * base) / (vote.sum(axis=1) + prior), 0.0, 1.0)
+            near = [index.ids[x[x >= 0]].tolist() for x in who[:, :3]]
+            cosines = [c[x >= 0].tolist() for x, c in zip(who[:, :3], cosine[:, :3], strict=True)]
+        return pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(near, pa.list_(pa.int64())), "cosines": pa.array(cosines, pa.list_(pa.float64()))})
 
     return run
 
@@ -159,35 +250,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taught = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in taught.groupBy("label").count().collect()}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary, chosen = np.zeros(0, np.uint64), None
+    total = sum(totals.values())
+    base = totals.get(1, 0) / total if total else 0.0
+    vocabulary, index, unseen = np.zeros(0, np.uint64), None, 1.0
     if len(totals) == 2:
         picks = [taught.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(EXAMPLES) for y in (0, 1)]
         picked = work.keep(picks[0].unionAll(picks[1]).dropDuplicates(["doc_id"]), "picked")
         chosen = work.keep(rows.join(picked, "doc_id").dropDuplicates(["doc_id"]), "examples")
         n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
         n0, n1 = n.get(0, 0), n.get(1, 0)
-        counts = work.keep(chosen.repartition(24).mapInArrow(_distinct_terms, "term long, label int").groupBy("term").agg(F.sum(F.col("label").cast("long")).alias("b"), F.sum(1 - F.col("label").cast("long")).alias("a")), "terms")
-        tried = counts.count()
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
-        all_n, seen = float(n0 + n1), F.col("a") + F.col("b")
-
-        def part(x: Any, row: Any, col: float) -> Any:
-            return F.when(x > 0, x * F.log(x * all_n / (row * col))).otherwise(0.0)
-
-        ratio = 2 * (part(a, seen, n0) + part(b, seen, n1) + part(n0 - a, all_n - seen, n0) + part(n1 - b, all_n - seen, n1))
-        strong = counts.withColumn("g", ratio).where((F.col("g") >= 2 * float(np.log(100 * max(1, tried)))) & (b * n0 > a * n1)).orderBy(F.desc("g"), "term").limit(VOCABULARY)
-        vocabulary = np.sort(np.array([r["term"] for r in strong.select("term").collect()], np.int64).view(np.uint64))
-    counted = work.keep(rows.mapInArrow(_term_counts(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "counted")
-    total = sum(totals.values())
-    base = totals.get(1, 0) / total if total else 0.0
-    index, bare = None, base
+        counts = chosen.repartition(24).mapInArrow(_distinct_terms, "term long, label int").groupBy("term").agg(F.sum(F.col("label").cast("long")).alias("b"), F.sum(1 - F.col("label").cast("long")).alias("a")).toArrow()
+        term = np.asarray(counts.column("term")).view(np.uint64)
+        order = np.argsort(term)
+        vocabulary = term[order]
     if len(vocabulary):
-        seen = {r["t"]: r["count"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-        df = np.array([seen.get(i, 0) for i in range(len(vocabulary))], float)
-        idf = np.log((1 + counted.count()) / (1 + df)) + 1
-        vectors = chosen.mapInArrow(_term_counts(vocabulary), "doc_id long, terms array<int>, counts array<int>").join(picked, "doc_id").collect()
+        a, b = (np.asarray(counts.column(c), float)[order] for c in "ab")
+        seen = rows.mapInArrow(_frequencies(vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(len(vocabulary))
+        df[np.asarray(seen.column("t"))] = np.asarray(seen.column("n"))
+        unseen = float(np.log(1 + rows.count()) + 1)
+        weight = (unseen - np.log(1 + df)) * (1 + likelihood_ratio(a, b, n0, n1))
+        vectors = chosen.repartition(24).mapInArrow(_term_counts(vocabulary), "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
         stands = (totals[0] / max(1, n0), totals[1] / max(1, n1))
-        index = BlockMaxIndex([(r["doc_id"], r["label"], r["terms"], r["counts"]) for r in vectors if r["terms"]], idf, stands)
-        without = [stands[y] * sum(r["label"] == y and not r["terms"] for r in vectors) for y in (0, 1)]
-        bare = without[1] / sum(without) if sum(without) else 0.0
-    return counted.mapInArrow(_score(index, base, bare), "doc_id long, score double, evidence array<long>, cosines array<double>")
+        flat = [[x.values.to_numpy() for x in vectors.column(c)] for c in ("terms", "counts")]
+        examples = zip(vectors.column("doc_id").to_pylist(), vectors.column("label").to_pylist(), *flat, strict=True)
+        index = BlockMaxIndex([e for e in examples if len(e[2])], weight, stands)
+    return rows.mapInArrow(_score(index, vocabulary, unseen, base), "doc_id long, score double, evidence array<long>, cosines array<double>")

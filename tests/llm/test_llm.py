@@ -230,6 +230,16 @@ def test_toxicity_finds_held_out(spark, labelled):
     assert [r["score"] for r in none] == [0.0]
 
 
+def test_toxicity_from_few_labels(spark):
+    """Three toxic examples tie no single term surely to toxicity; the search still runs over all terms."""
+    rows = [(i, " ".join(words(40, 900 + i, 2000) + (["scum", "idiot"] if i % 8 == 0 else []))) for i in range(40)]
+    taught = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(24)], "doc_id long, label int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), taught).collect()}
+    assert got[24]["score"] >= 0.3 and got[32]["score"] >= 0.3 and set(got[24]["evidence"]) >= {0, 8, 16}
+    clean = [got[i] for i in range(25, 40) if i % 8]
+    assert all(r["evidence"] for r in clean) and max(r["score"] for r in clean) < min(got[24]["score"], got[32]["score"])
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(8)
     rows = [(i, int(i % 2), sorted(rng.choice(40, 5, replace=False).tolist()), rng.integers(1, 4, 5).tolist()) for i in range(300)]
