@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples.
 
-A text's terms are its lower-cased words and the 4-, 5- and 6-byte beginnings of longer words.
+A text's terms are its lower-cased words and the beginnings of longer words (``BEGINNINGS``).
 Similarity is the TF-IDF cosine over all terms (tf 1 + ln n, document frequencies over all
 documents, norms over the whole text; a term that no example holds counts in the norm as one seen in
 no document).  A term that examples tie to toxicity weighs 1 + its log-likelihood ratio times as much;
@@ -8,9 +8,9 @@ no term is left out.  The ``NEIGHBOURS`` nearest examples vote with their square
 vote counts for the labelled rows its example stands for; the base rate has ``PRIOR`` of the nearest
 neighbour's weight.  Texts that share no term with an example score the base rate.
 
-The examples lie in a block-max index: per block of examples the largest weight of each frequent
-term; rare terms' postings are summed exactly first and join the bound.  Blocks are scored in falling
-order of their bounds, each only for the texts whose kth neighbour the bound reaches.
+The examples lie in a block-max index: per block of like examples the largest weight of each frequent
+term; rare terms' postings are summed exactly first and join the bound.  Each text's blocks of the
+highest bounds are scored first, then those whose bound reaches its kth neighbour.
 
 Bounds: at most ``EXAMPLES`` examples a class (the smallest hashes of the doc_id) serve as neighbours
 and for the ratios; that bounds what is broadcast.  Document frequencies and class rates count all rows.
@@ -34,14 +34,18 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .words import Words, as_long, mix64, slices
 
-EXAMPLES, NEIGHBOURS, BLOCK, COMMON, STRIP = 3000, 15, 64, 1024, 8
+EXAMPLES, NEIGHBOURS, BLOCK, COMMON, STRIP = 600, 15, 64, 1024, 2
+#: Over the error of a sum of COMMON products in single precision.
+SLACK = 1e-4
+#: Beginnings of longer words, in bytes, that are terms too.
+BEGINNINGS = (5,)
 #: Strength of the base rate against the nearest vote.
 PRIOR = 0.5
 
 
 def terms(words: Words) -> list[np.ndarray]:
-    """Four term hashes for each word; 0 where there is none."""
-    return [words.hash, *(np.where(p > 0, mix64(p), np.uint64(0)) for p in (words.prefix(k) for k in (4, 5, 6)))]
+    """The term hashes of each word, one array a kind; 0 where there is none."""
+    return [words.hash, *(np.where(p > 0, mix64(p), np.uint64(0)) for p in (words.prefix(k) for k in BEGINNINGS))]
 
 
 class Counts:
@@ -51,20 +55,27 @@ class Counts:
 
     def __init__(self, column: pa.Array, vocabulary: np.ndarray):
         words = Words(column, lower=True, letters=True)
-        size, entry = len(vocabulary), np.zeros((0, 4), np.int64)
-        _, first, again = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(first):
-            one = copy(words)
-            one.hash, one.start, one.end = words.hash[first], words.start[first], words.end[first]
-            h = np.stack(terms(one), axis=1)
+        size, shift = len(vocabulary), np.int64(41)
+        kinds, first, again = np.unique(words.hash, return_index=True, return_inverse=True)
+        pair, times = np.unique(words.owner() * max(1, len(kinds)) + again, return_counts=True)
+        text, kind = pair // max(1, len(kinds)), pair % max(1, len(kinds))
+        one = copy(words)
+        one.hash, one.start, one.end = kinds, words.start[first], words.end[first]
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for h in terms(one):
             at = np.searchsorted(vocabulary, h)
             known = np.append(vocabulary, np.uint64(0))[at] == h
-            entry = np.where(known & (at < size), at, size + 1 + (h >> np.uint64(25)).astype(np.int64))
-            entry[h == 0] = -1
-        key = entry[again] + (words.owner()[:, None] << 41)
-        key, self.count = np.unique(key[entry[again] >= 0], return_counts=True)
-        self.ends = np.searchsorted(key, np.arange(words.n + 1) << 41)
-        self.place = key & ((1 << 41) - 1)
+            entry = np.where(known & (at < size), at, size + 1 + (h >> np.uint64(25)).astype(np.int64))[kind]
+            there = h[kind] != 0
+            keys.append((entry + (text << shift))[there])
+            counts.append(times[there])
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, self.count = key[new], np.add.reduceat(count, new) if len(new) else count
+        self.ends = np.searchsorted(key, np.arange(words.n + 1) << shift)
+        self.place = key & ((np.int64(1) << shift) - 1)
         self.known = self.place < size
 
 
@@ -73,7 +84,7 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for part in slices(batch):
             words = Words(part.column("text"), lower=True, letters=True)
             found, owner = [], []
-            all_terms = np.stack(terms(words), axis=1) if len(words.hash) else np.zeros((0, 4), np.uint64)
+            all_terms = np.stack(terms(words), axis=1) if len(words.hash) else np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
             for i in range(part.num_rows):
                 own = np.unique(all_terms[words.first[i] : words.first[i + 1]])
                 own = own[own != 0]
@@ -133,20 +144,40 @@ class BlockMaxIndex:
     """
 
     def __init__(self, rows: list[tuple[int, int, Any, Any]], weight: np.ndarray, stands_for: tuple[float, float]):
-        rows = sorted(rows, key=lambda r: (r[1], sorted(r[2], key=lambda t: (-weight[t], t))[:8], r[0]))  # like examples share blocks
+        rows = sorted(rows, key=lambda r: r[0])
         self.weight = weight
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.int64)
         self.mass = np.array([stands_for[r[1]] for r in rows], float)
         vectors = [self.vector(r[2], r[3]) for r in rows]
         term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
+        order = self._alike(term, np.concatenate([np.zeros(0), *[v[1] for v in vectors]]), np.array([len(v[0]) for v in vectors], np.int64))
+        self.ids, self.labels, self.mass, vectors = self.ids[order], self.labels[order], self.mass[order], [vectors[i] for i in order]
+        term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
         who = np.repeat(np.arange(len(rows), dtype=np.int64), [len(v[0]) for v in vectors])
         by = np.argsort(term, kind="stable")
-        self.who, self.x = who[by], np.concatenate([np.zeros(0), *[v[1] for v in vectors]])[by]
+        self.who, self.x = who[by].astype(np.int32), np.concatenate([np.zeros(0), *[v[1] for v in vectors]])[by]
         self.first = np.searchsorted(term[by], np.arange(len(weight) + 1))
         self.common = np.argsort(-np.diff(self.first), kind="stable")[:COMMON]
         self._ready = False
 
+    @staticmethod
+    def _alike(term: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """An order of the examples in which each block holds the first example left and its nearest."""
+        common = np.full(int(term.max(initial=-1)) + 1, -1)
+        top = np.argsort(-np.bincount(term), kind="stable")[:COMMON] if len(term) else np.zeros(0, np.int64)
+        common[top] = np.arange(len(top))
+        dense = np.zeros((len(size), len(top)), np.float32)
+        column, row = common[term], np.repeat(np.arange(len(size)), size)
+        dense[row[column >= 0], column[column >= 0]] = x[column >= 0]
+        left, out = np.arange(len(size)), []
+        while len(left):
+            near = np.argsort(-(dense[left] @ dense[left[0]]), kind="stable")
+            near = np.append(0, near[near != 0])[:BLOCK]
+            out.append(left[near])
+            left = np.delete(left, near)
+        return np.concatenate([np.zeros(0, np.int64), *out])
+
     def vector(self, at: Any, n: Any, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, of length one with the squares of terms that no example holds."""
         at, n = np.asarray(at, np.int64), np.asarray(n, float)
@@ -162,21 +193,15 @@ class BlockMaxIndex:
             part = slice(self.first[t], self.first[t + 1])
             self.matrix[self.who[part], c] = self.x[part]
         self.edges = np.append(np.arange(0, len(self.ids), BLOCK), len(self.ids))
-        self.peak = np.maximum.reduceat(self.matrix, self.edges[:-1], axis=0)
+        self.peak = np.maximum.reduceat(self.matrix, self.edges[:-1], axis=0).astype(np.float32)
+        self.single = self.matrix.astype(np.float32)
+        self.scored = self.passed = 0
         self._ready = True
 
-    def search(self, own: np.ndarray, row: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest of each text, given by entries (row, term, weight); cosines
-        at nine decimals, ties to the earlier example; places left over are -1 and 0."""
-        if not self._ready:
-            self._prepare()
-        m, n = len(own), len(self.ids)
-        column = self.column[at]
-        often = column >= 0
-        frequent = np.zeros((m, len(self.common)))
-        frequent[row[often], column[often]] = w[often]
+    def _rare(self, m: int, row: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What rare terms add to each (text, example), from their postings."""
+        n = len(self.ids)
         rare = np.zeros((m, n))
-        row, at, w = row[~often], at[~often], w[~often]
         low, size = self.first[at], np.diff(self.first)[at]
         cuts = np.searchsorted(row, np.append(np.arange(0, m, STRIP), m))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):  # strips that stay in the cache
@@ -186,24 +211,55 @@ class BlockMaxIndex:
             key = self.who[place] + ((row[a:b] - i * STRIP) * n)[entry - a]
             strip = rare[i * STRIP : (i + 1) * STRIP]
             strip += np.bincount(key, self.x[place] * w[entry], strip.size).reshape(strip.shape)
-        bound = frequent @ self.peak.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
+        return rare
+
+    def search(self, own: np.ndarray, row: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest of each text, given by entries (row, term, weight); cosines
+        at nine decimals, ties to the earlier example; places left over are -1 and 0.
+
+        Single precision, with ``SLACK`` for its error, decides what is looked at; what may be among the
+        k nearest is computed again in doubles.
+        """
+        if not self._ready:
+            self._prepare()
+        m, n = len(own), len(self.ids)
+        column = self.column[at]
+        often = column >= 0
+        frequent = np.zeros((m, len(self.common)))
+        frequent[row[often], column[often]] = w[often]
+        single = frequent.astype(np.float32)
+        rare = self._rare(m, row[~often], at[~often], w[~often])
+        bound = single @ self.peak.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1) + SLACK
+        score = np.full((m, n), -1, np.float32)
+
+        def take(wanted: np.ndarray) -> np.ndarray:
+            """Score the wanted (text, block)s; the kth scores so far."""
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some, part = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b + 1])
+                found = single[some] @ self.single[part].T + rare[some, part].astype(np.float32)
+                found[self.ids[part][None, :] == own[some][:, None]] = -1
+                score[some, part] = found
+                self.scored += len(some)
+            return np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(m, -1, np.float32)
+
+        blocks = bound.shape[1]
+        best = np.zeros(bound.shape, bool)
+        np.put_along_axis(best, np.argsort(-bound, axis=1, kind="stable")[:, : max(1, blocks // 8)], True, axis=1)
+        best &= bound > SLACK
+        kth = take(best)
+        kth = take(~best & (bound > SLACK) & (bound >= kth[:, None]))
+        self.passed += m * blocks
+        text, example = np.nonzero((score >= kth[:, None] - 2 * SLACK) & (score > -1))
+        exact = np.zeros(len(text))
+        for low in range(0, len(text), 4096):
+            t, e = text[low : low + 4096], example[low : low + 4096]
+            exact[low : low + 4096] = np.round(np.einsum("ij,ij->i", frequent[t], self.matrix[e]) + rare[t, e], 9)
+        order = np.lexsort((example, -exact, text))
+        text, example, exact = text[order], example[order], exact[order]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        good = (place < k) & (exact > 0)
         who, cosine = np.full((m, k), -1), np.zeros((m, k))
-        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
-            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= cosine[:, -1] - 1e-8))
-            if not len(some):
-                continue
-            part = slice(self.edges[b], self.edges[b + 1])
-            score = np.round(frequent[some] @ self.matrix[part].T + rare[some, part], 9)
-            score[self.ids[part][None, :] == own[some][:, None]] = 0
-            top = score.max(axis=1)
-            hit = (top > 0) & (top >= cosine[some, -1])
-            some, score = some[hit], score[hit]
-            if len(some):
-                all_who = np.concatenate([who[some], np.broadcast_to(np.arange(part.start, part.stop), score.shape)], axis=1)
-                all_who[:, k:][score <= 0] = -1
-                all_cosine = np.concatenate([cosine[some], score], axis=1)
-                best = np.lexsort((all_who, -all_cosine), axis=1)[:, :k]
-                who[some], cosine[some] = np.take_along_axis(all_who, best, 1), np.take_along_axis(all_cosine, best, 1)
+        who[text[good], place[good]], cosine[text[good], place[good]] = example[good], exact[good]
         return who, cosine
 
     def nearest(self, own_id: int | None, at: Any, n: Any, k: int) -> tuple[np.ndarray, np.ndarray]:
