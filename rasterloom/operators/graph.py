@@ -7,34 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 from ..workspace import Rounds
+from .links import connected_components
 from .stencil import across, down
 
 _SHIFT = 1 << 32
 
 
-def least_reachable(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of edges(a, b): the smallest id that it reaches.
-
-    Alternating large-star and small-star steps: joins and minima only, so no neighbourhood is ever
-    gathered; a round's edges are written before the next.
-    """
-    rounds = Rounds(edges.sparkSession, "components")
-    now = rounds.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if not r["n"] or (r["n"], r["h"]) == before:
-            break
-        before = (r["n"], r["h"])
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = rounds.keep(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-
-
 def components(labels: DataFrame, corners: bool = False) -> DataFrame:
     """Add comp: the connected component of equal labels, counted from 0 by first pixel in each image.
 
@@ -54,8 +32,9 @@ def components(labels: DataFrame, corners: bool = False) -> DataFrame:
     for a, b, lab in touching:
         e = above.where(F.col("label").isNotNull() & (F.col(lab) == F.col("label"))).select(F.col(a).alias("a"), F.col(b).alias("b"))
         edges = e if edges is None else edges.unionAll(e)
-    roots = least_reachable(edges)
-    placed = runs.join(roots.withColumnRenamed("id", "run"), "run", "left").withColumn("root", F.coalesce("root", "run"))
+    rounds = Rounds(labels.sparkSession, "components")
+    roots = connected_components(edges, rounds.keep, rounds.drop).select(F.col("id").alias("run"), F.col("component").alias("root"))
+    placed = runs.join(roots, "run", "left").withColumn("root", F.coalesce("root", "run"))
     order = placed.where("root is not null").select("img", "root").distinct().withColumn("comp", F.row_number().over(Window.partitionBy("img").orderBy("root")).cast("int") - 1)
     return placed.join(order, ["img", "root"], "left").select("img", "i", "x", "y", "label", "comp")
 
