@@ -1,43 +1,13 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
-
-Each step is two aggregations and two joins over the edge table; no node's neighbours are ever
-gathered in one task, and the edges are written to the shared folder after every round.
-"""
+"""Connected components over a workspace's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import links
 from .store import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b")))
-
-
 def connected_components(work: Workspace, edges: DataFrame) -> DataFrame:
-    """(id, component) for every node in edges(a, b); component is the smallest id reachable.
-
-    Self-loops, repeated edges and both directions are allowed; rows with a null are ignored.  Nodes
-    without an edge to another node do not appear.
-    """
-    now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state or not seen["n"]:
-            break
-        state = (seen["n"], seen["h"])
-        was, now = now, work.keep(_small_star(_large_star(now)).distinct(), "stars")
-        work.drop(was)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    """(id, component) for every node in edges(a, b); component is the smallest id reachable."""
+    return links.connected_components(edges, lambda df: work.keep(df, "stars"), work.drop)

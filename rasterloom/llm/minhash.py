@@ -13,11 +13,13 @@ Cost and completeness
     hub; members that the links join into one component need no more tests there.  A few rounds
     choose other hubs; then every pair of members of one bucket whose components still differ is
     tested.  Thus each link between candidates either is tested or joins what is already joined.
-  * A pair at the threshold shares no band with probability (1 - 0.8^4)^32, about 5e-8.
+  * A pair at the threshold shares no band with probability (1 - 0.8^4)^32, about 5e-8; the README has
+    the recall measured against all pairs.
 
 Defined cases: null or empty text, or text of white space only, has the empty set and links with
-nothing; a null doc_id is never linked (component_id null, kept true); repeated rows of one doc_id
-are one document; an empty table gives an empty result; other columns are ignored.
+nothing; a null doc_id is never linked (component_id null, kept true); rows that repeat a doc_id
+each get a row with that id, and where their texts differ each text is linked by itself; an empty
+table gives an empty result; very long texts are one set each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.links import join_by_weight, weight_limit
 from .components import connected_components
 from .store import Workspace
 from .words import Words, as_long, mix64, shingle_sets, slices
@@ -237,13 +240,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = work.keep(rows.mapInArrow(_sketch(k, False), _SKETCH), "sketch")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = work.keep(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "classes")
+    classes = work.keep(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"), F.count("*").alias("copies")), "classes")
     bands = classes.select("id", "regs").mapInArrow(_bands, "key long, band int, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
     buckets = work.keep(bands.join(shared, "key"), "buckets")
     active = buckets.select("id").distinct()
     items = work.keep(rows.join(active.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sketch(k, True), _SKETCH + ", items array<long>").select(F.col("doc_id").alias("id"), "n_shingles", "regs", "items"), "items")
-    work.release()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         brief = items.select("id", F.col("n_shingles").alias("n"), "regs")
@@ -274,7 +276,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
         if not more.isEmpty():
             found = connected_components(work, links)
 
-    named = classes.select("f1", "f2", "n_shingles", "id").join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = sketched.join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.select("f1", "f2", "n_shingles", "id", "copies").join(found, "id", "left").select("f1", "f2", "n_shingles", "copies", F.coalesce("component", "id").alias("component_id"))
+    # copies of one text are one key: heavy ones are joined where they lie, and empty texts are not joined
+    own = join_by_weight(usable.select("doc_id", "f1", "f2", "n_shingles"), named, ["f1", "f2", "n_shingles"], "copies", weight_limit(usable.count()))
+    alone = sketched.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    return own.select(columns).unionAll(alone.select(columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

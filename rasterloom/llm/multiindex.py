@@ -6,17 +6,18 @@ its own.  Cells are visited in rising cost until the cost that reaches the targe
 is measured on sampled vectors and random neighbours of theirs at exactly the threshold, which are
 the hardest to find.  Candidates in visited cells are verified by cosine in doubles.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors; every vector is indexed.  Equal vectors are
-one class.  Visits are dealt by first-half centroid, in chunks of residents and of visitors, so a hot
-cell spreads over many tasks.  A task returns, of what it found, the number of links each vector
-gained and a spanning forest of the links instead of all pairs; a link that only one side's
+Vectors of each length have codebooks of their own, fitted on at most ``SAMPLE`` vectors and
+``SAMPLE_BYTES``; every vector is indexed.  Equal vectors are one class.  Visits are dealt by length and
+first-half centroid, in chunks of residents and of visitors, so a hot cell spreads over many tasks.  A
+task compares ``STEP`` visitors with ``STEP`` residents at once and returns the number of links each
+vector gained and a spanning forest of the links instead of all pairs; a link that only one side's
 traversal would find is counted for both.
 
 Defined cases: null, empty and zero vectors and vectors with a null or non-finite component link
-with nothing (n_links 0, their own component); vectors of another length than the most frequent one
-are compared only with their exact copies; a null vec_id is returned with component_id null and kept
-true; repeated rows of one vec_id with equal vectors are one vector; an empty table gives an empty
-result.
+with nothing (n_links 0, their own component); vectors of different lengths are not compared; a null
+vec_id is returned with component_id null and kept true; repeated rows of one vec_id with equal vectors
+are one vector, and with different vectors each is linked by itself; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.links import join_by_weight, weight_limit
 from .components import connected_components
 from .store import Workspace
 
-SAMPLE, PER_CELL, RESIDENTS, VISITORS = 20_000, 16, 4096, 8192
+SAMPLE, SAMPLE_BYTES, PER_CELL, RESIDENTS, VISITORS, STEP = 20_000, 64 << 20, 16, 4096, 8192, 1024
 RECALL = 0.9995
 
 
@@ -98,91 +100,111 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors as bytes, all of one length at once."""
     for batch in batches:
-        unit = [_unit(np.array([x], np.float64))[0].tobytes() for x in batch.column("v").to_pylist()]
-        yield pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "u": pa.array(unit, pa.binary())})
+        lists = batch.column("v")
+        ends = np.asarray(lists.offsets)
+        flat, size = np.asarray(lists.values, np.float64), np.diff(ends)
+        for d in np.unique(size):
+            rows = np.flatnonzero(size == d)
+            unit = _unit(flat[ends[rows][:, None] + np.arange(d)])
+            at = pa.array(rows)
+            yield pa.record_batch({"d": pa.array(np.full(len(rows), d, np.int32)), "id": batch.column("id").take(at), "n": batch.column("n").take(at), "u": pa.array([u.tobytes() for u in unit], pa.binary())})
 
 
-_VISIT = "i int, home boolean, j int, js array<int>, id long, n long, u binary"
+_VISIT = "d int, i int, home boolean, j int, js array<int>, id long, n long, u binary"
 
 
-def _visits(books: Codebooks, dim: int):
+def _visits(books: dict[int, Codebooks]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                (own, a), (own_j, b) = books.moves(_vectors(part.column("u"), dim))
-                order = np.argsort(b, axis=1)
-                rising = np.take_along_axis(b, order, axis=1)
-                rows = [], [], [], []
-                for r in range(part.num_rows):
-                    for i in np.flatnonzero(a[r] <= books.limit):
-                        last = int(np.searchsorted(rising[r], books.limit - a[r, i], side="right"))
-                        if last or i == own[r]:
-                            for box, value in zip(rows, (r, int(i), bool(i == own[r]), order[r, :last].tolist()), strict=True):
-                                box.append(value)
-                at = pa.array(rows[0], pa.int64())
-                yield pa.record_batch({"i": pa.array(rows[1], pa.int32()), "home": pa.array(rows[2], pa.bool_()), "j": pa.array(own_j.astype(np.int32)).take(at), "js": pa.array(rows[3], pa.list_(pa.int32())), "id": part.column("id").take(at), "n": part.column("n").take(at), "u": part.column("u").take(at)})
+            for d in np.unique(np.asarray(batch.column("d"))):
+                own_length = batch.filter(pa.array(np.asarray(batch.column("d")) == d))
+                for low in range(0, own_length.num_rows, 512):
+                    yield visits(own_length.slice(low, 512), int(d))
+
+    def visits(part: pa.RecordBatch, d: int) -> pa.RecordBatch:
+        book = books[d]
+        (own, a), (own_j, b) = book.moves(_vectors(part.column("u"), d))
+        order = np.argsort(b, axis=1)
+        rising = np.take_along_axis(b, order, axis=1)
+        rows = [], [], [], []
+        for r in range(part.num_rows):
+            for i in np.flatnonzero(a[r] <= book.limit):
+                last = int(np.searchsorted(rising[r], book.limit - a[r, i], side="right"))
+                if last or i == own[r]:
+                    for box, value in zip(rows, (r, int(i), bool(i == own[r]), order[r, :last].tolist()), strict=True):
+                        box.append(value)
+        at = pa.array(rows[0], pa.int64())
+        taken = {c: part.column(c).take(at) for c in ("d", "id", "n", "u")}
+        return pa.record_batch({"d": taken["d"], "i": pa.array(rows[1], pa.int32()), "home": pa.array(rows[2], pa.bool_()), "j": pa.array(own_j.astype(np.int32)).take(at), "js": pa.array(rows[3], pa.list_(pa.int32())), "id": taken["id"], "n": taken["n"], "u": taken["u"]})
 
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges that keep what the edges (a, b) connect, one for each join of two trees."""
-    root: dict[int, int] = {}
+class Forest:
+    """What links connect, with one link for each join of two trees."""
 
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
+    def __init__(self, size: int):
+        self.root = np.arange(size)
+        self.edges: list[np.ndarray] = []
 
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            left.append(x)
-            right.append(y)
-    return left, right
+    def add(self, x: int, others: np.ndarray) -> None:
+        """Link x with others."""
+        root = self.root[others]
+        new, first = np.unique(root, return_index=True)
+        first, new = first[new != self.root[x]], new[new != self.root[x]]
+        if len(new):
+            self.edges.append(np.stack([np.full(len(new), x), others[first]]))
+            self.root[np.isin(self.root, new)] = self.root[x]
 
+    def links(self) -> np.ndarray:
+        return np.concatenate([np.zeros((2, 0), np.int64), *self.edges], axis=1)
 
-def _compare(books: Codebooks, dim: int, threshold: float):
+
+def _compare(books: dict[int, Codebooks], threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        dim = table.column("d")[0].as_py()
+        book = books[dim]
         resident = np.asarray(table.column("resident").combine_chunks().to_numpy(zero_copy_only=False), bool)
         ids, n, j = (table.column(c).to_numpy() for c in ("id", "n", "j"))
         vectors = _vectors(table.column("u").combine_chunks(), dim)
+        same = np.unique(ids, return_inverse=True)[1]  # a vector can be here as a resident and as a visitor
         lists = table.column("js").combine_chunks()
-        here, there = np.flatnonzero(resident), np.flatnonzero(~resident)
-        size = np.diff(np.asarray(lists.offsets))
-        flat = np.asarray(lists.flatten())
-        asking = np.repeat(np.arange(len(ids)), size)
+        here, size = np.flatnonzero(resident), np.diff(np.asarray(lists.offsets))
+        flat, asking = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), size)
         keep = ~resident[asking]
         flat, asking = flat[keep], asking[keep]
         by = np.argsort(flat, kind="stable")
         flat, asking = flat[by], asking[by]
         here = here[np.argsort(j[here], kind="stable")]
-        gained = np.zeros(len(ids), np.int64)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        gained, forest = np.zeros(len(ids), np.int64), Forest(int(same.max()) + 1)
         for cell in np.unique(j[here]):
-            r = here[np.searchsorted(j[here], cell) : np.searchsorted(j[here], cell, side="right")]
-            q = asking[np.searchsorted(flat, cell) : np.searchsorted(flat, cell, side="right")]
-            for low in range(0, len(q), 1024):
-                a = q[low : low + 1024]
-                x, y = np.nonzero((vectors[a] @ vectors[r].T >= threshold) & (ids[a][:, None] != ids[r][None, :]))
-                if len(x):
-                    x, y = a[x], r[y]
-                    np.add.at(gained, x, n[y])
-                    i_x, j_x = books.cells(vectors[x])
-                    missed = books.cost(vectors[y], i_x, j_x) > books.limit
-                    np.add.at(gained, y[missed], n[x[missed]])
-                    pairs.append((ids[x], ids[y]))
-        left, right = forest(*(np.concatenate(p) for p in zip(*pairs, strict=True))) if pairs else ([], [])
+            residents = here[np.searchsorted(j[here], cell) : np.searchsorted(j[here], cell, side="right")]
+            visitors = asking[np.searchsorted(flat, cell) : np.searchsorted(flat, cell, side="right")]
+            for low in range(0, len(residents), STEP):
+                r = residents[low : low + STEP]
+                (_, to_i), (_, to_j) = book.moves(vectors[r])
+                for start in range(0, len(visitors), STEP):
+                    a = visitors[start : start + STEP]
+                    hit = (vectors[a] @ vectors[r].T >= threshold) & (ids[a][:, None] != ids[r][None, :])
+                    linked = np.flatnonzero(hit.any(axis=1))
+                    if not len(linked):
+                        continue
+                    a, hit = a[linked], hit[linked]
+                    gained[a] += hit @ n[r]
+                    i_a, j_a = book.cells(vectors[a])
+                    missed = hit & ((to_i[:, i_a] + to_j[:, j_a]).T > book.limit)
+                    gained[r] += n[a] @ missed
+                    for x, row in zip(same[a].tolist(), hit, strict=True):
+                        forest.add(x, same[r[row]])
+        links, name = forest.links(), np.zeros(int(same.max()) + 1, np.int64)
+        name[same] = ids
         got = np.flatnonzero(gained)
         return pa.table({
-            "id": pa.array(np.concatenate([ids[got], np.array(left, np.int64)])), "gained": pa.array(np.concatenate([gained[got], np.zeros(len(left), np.int64)])),
-            "other": pa.array([None] * len(got) + right, pa.int64()),
+            "id": pa.array(np.concatenate([ids[got], name[links[0]]])), "gained": pa.array(np.concatenate([gained[got], np.zeros(links.shape[1], np.int64)])),
+            "other": pa.array([None] * len(got) + name[links[1]].tolist(), pa.int64()),
         })
 
     return run
@@ -195,27 +217,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = RE
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, v).alias("v"))
     classes = work.keep(rows.where("v is not null").distinct().groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    dims = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    counts = classes.select("id", F.lit(0).cast("long").alias("gained"))
-    found = None
-    if dims is not None:
-        dim, total = dims["d"], dims["c"]
-        packed = work.keep(classes.where(F.size("v") == dim).mapInArrow(_pack, "id long, n long, u binary"), "unit")
-        sample = packed.select("id", "u").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    packed = work.keep(classes.mapInArrow(_pack, "d int, id long, n long, u binary"), "unit")
+    books: dict[int, Codebooks] = {}
+    for r in packed.groupBy("d").count().orderBy("d").collect():
+        dim, total = r["d"], r["count"]
+        some = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        sample = packed.where(F.col("d") == dim).select("id", "u").orderBy(F.xxhash64("id"), "id").limit(some).toArrow()
         size = int(np.clip(round(np.sqrt(total / PER_CELL)), 1, 4096))
-        books = Codebooks(np.frombuffer(b"".join(bytes(r["u"]) for r in sample), np.float64).reshape(-1, dim), size, threshold, recall)
-        visits = work.keep(packed.mapInArrow(_visits(books, dim), _VISIT), "visits")
-        load = visits.groupBy("i").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / RESIDENTS).cast("int").alias("rs"), F.ceil(F.count("*") / VISITORS).cast("int").alias("qs"))
-        dealt = visits.join(load, "i")
-        one, every = (lambda n: F.array(F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int"))), (lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
-        columns = ["i", "r", "q", "resident", "j", "js", "id", "n", "u"]
-        residents = dealt.where("home").withColumn("resident", F.lit(True)).withColumn("js", F.array().cast("array<int>")).withColumn("r", F.explode(one(F.col("rs")))).withColumn("q", F.explode(every(F.col("qs")))).select(columns)
-        askers = dealt.where(F.size("js") > 0).withColumn("resident", F.lit(False)).withColumn("r", F.explode(every(F.col("rs")))).withColumn("q", F.explode(one(F.col("qs")))).select(columns)
-        out = work.keep(residents.unionAll(askers).groupBy("i", "r", "q").applyInArrow(_compare(books, dim, threshold), "id long, gained long, other long"), "found")
-        counts = counts.unionAll(out.where("other is null").select("id", "gained"))
-        found = connected_components(work, out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = counts.groupBy("id").agg(F.sum("gained").alias("gained"))
-    named = classes.join(links, "id").withColumn("links", F.col("n") - 1 + F.col("gained"))
-    named = (named.join(found, "id", "left") if found is not None else named.withColumn("component", F.lit(None).cast("long"))).select("v", "links", F.coalesce("component", "id").alias("component"))
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return rows.join(named, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+        books[dim] = Codebooks(_vectors(sample.column("u").combine_chunks(), dim), size, threshold, recall)
+    visits = work.keep(packed.mapInArrow(_visits(books), _VISIT), "visits")
+    load = visits.groupBy("d", "i").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / RESIDENTS).cast("int").alias("rs"), F.ceil(F.count("*") / VISITORS).cast("int").alias("qs"), F.count("*").alias("rows"))
+    dealt = join_by_weight(visits, load, ["d", "i"], "rows", weight_limit(visits.count()))
+    one, every = (lambda n: F.array(F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int"))), (lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
+    columns = ["d", "i", "r", "q", "resident", "j", "js", "id", "n", "u"]
+    residents = dealt.where("home").withColumn("resident", F.lit(True)).withColumn("js", F.array().cast("array<int>")).withColumn("r", F.explode(one(F.col("rs")))).withColumn("q", F.explode(every(F.col("qs")))).select(columns)
+    askers = dealt.where(F.size("js") > 0).withColumn("resident", F.lit(False)).withColumn("r", F.explode(every(F.col("rs")))).withColumn("q", F.explode(one(F.col("qs")))).select(columns)
+    out = work.keep(residents.unionAll(askers).groupBy("d", "i", "r", "q").applyInArrow(_compare(books, threshold), "id long, gained long, other long"), "found")
+    found = connected_components(work, out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    links = classes.select("id", F.lit(0).cast("long").alias("gained")).unionAll(out.where("other is null").select("id", "gained")).groupBy("id").agg(F.sum("gained").alias("gained"))
+    named = classes.join(links, "id").join(found, "id", "left").select("v", "n", (F.col("n") - 1 + F.col("gained")).alias("links"), F.coalesce("component", "id").alias("component"))
+    # copies of one vector are one key: heavy ones are joined where they lie
+    own = join_by_weight(rows.where("v is not null"), named, ["v"], "n", weight_limit(rows.count())).select("vec_id", "links", "component")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    return own.unionAll(alone).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))

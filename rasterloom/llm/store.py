@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Folders of sessions that have none set, by application.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        app = spark.sparkContext.applicationId
-        at = _OWN.setdefault(app, _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='rasterloom-')}")
-    return at.rstrip("/")
+from ..workspace import delete, shared_dir
 
 
 class Workspace:
@@ -35,30 +21,15 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def keep(self, df: DataFrame, name: str, sort_within: list[str] | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         self._n += 1
         at = f"{self.path}/{self._n:03d}-{name}"
-        if sort_within:
-            df = df.sortWithinPartitions(*sort_within)
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this workspace that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            for f in {f.rpartition("/")[0] for f in table.inputFiles()}:
-                if "/" + self.path.split("/")[-1] + "/" in f:
-                    p = jvm.org.apache.hadoop.fs.Path(f)
-                    p.getFileSystem(conf).delete(p, True)
-
-    def release(self, rounds: int = 1) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs now, not when the driver's
-        heap happens to fill.  A job's end reaches Spark's listeners a little later, and until then
-        they hold its plan; a second round finds it free."""
-        for _ in range(rounds):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            if rounds > 1:
-                time.sleep(1.5)
+            for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+                if "/" + self.path.split("/")[-1] + "/" in folder + "/":
+                    delete(self.spark, folder)

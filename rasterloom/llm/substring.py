@@ -21,6 +21,7 @@ have no windows; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -136,6 +137,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(carried | {"n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs when the driver's heap is collected, which may be
+    long after the last batch; this asks for it, so that batches do not add up on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class FingerprintIndex:
     """Sorted immutable runs of (anchor, doc_id), merged level by level."""
 
@@ -223,17 +231,17 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
             batch = batch.where(F.col("doc_id") <= high)
         found = index.ingest(batch)
         suspects = found if suspects is None else suspects.unionAll(found)
-        work.release()
+        _free_shuffles(spark)
         index.compact()
     listed = work.keep(index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
     index.close()
-    work.release(2)
+    _free_shuffles(spark)
     windows = rows.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
     # rows that are lost already are dealt by document, so that they cannot pile up at their window
     dealt = windows.repartition(F.when(F.col("lost"), F.xxhash64("doc_id")).otherwise(F.xxhash64("window", "anchor"))).sortWithinPartitions("window", "anchor", "doc_id")
     lost = work.keep(dealt.mapInArrow(_losers, "doc_id long, window long").groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "lost")
     work.drop(listed)
-    work.release(2)
+    _free_shuffles(spark)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
     return carried.join(lost, "doc_id", "left").mapInArrow(_strip, f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")

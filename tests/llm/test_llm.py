@@ -179,10 +179,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), "vec_id % 2 = 0").count() == 0
 
 
+def test_blocks_of_clustered_vectors_are_left_out():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-1000, 1000, (30, 16))
+    values = (centres[rng.integers(0, 30, 6000)] + rng.integers(-30, 30, (6000, 16))).astype(float)
+    blocks = topk.Blocks(np.arange(6000), values)
+    scores = values[:20] @ values.T
+    for i in range(20):
+        found, ids = blocks.search(i, values[i], 10)
+        order = [j for j in np.lexsort((np.arange(6000), -scores[i])) if j != i][:10]
+        assert ids.tolist() == order and found.tolist() == scores[i][order].tolist()
+    assert blocks.scored < 20 * (len(blocks.edges) - 1) / 4
+
+
 def test_near_vectors_equal_brute_force(spark):
     rows, df = vectors(spark)
-    fine = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    near = {i: {j for j in fine if j != i and fine[i] @ fine[j] >= 0.95} for i in fine}
+    fine = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    near = {i: {j for j in fine if j != i and len(fine[i]) == len(fine[j]) and fine[i] @ fine[j] >= 0.95} for i in fine}
     got = {r["vec_id"]: r for r in multiindex.near_vectors(df).collect()}
     for i, v in rows:
         if i is None:
@@ -199,8 +212,10 @@ def test_near_vectors_equal_brute_force(spark):
 
 
 def test_forest_keeps_what_is_connected():
-    a, b = np.array([1, 2, 3, 7]), np.array([2, 3, 1, 8])
-    assert len(multiindex.forest(a, b)[0]) == 3
+    forest = multiindex.Forest(9)
+    for x, others in ((1, [2, 3]), (2, [3]), (7, [8]), (3, [1, 2])):
+        forest.add(x, np.array(others))
+    assert sorted(map(tuple, forest.links().T.tolist())) == [(1, 2), (1, 3), (7, 8)]
 
 
 @pytest.fixture(scope="module")
@@ -377,10 +392,79 @@ PAGE = (
 )
 
 
+def kept(page):
+    return [t for t, _ in htmltext.blocks(page)[0]]
+
+
 def test_marked_article(spark):
-    assert htmltext.blocks(PAGE) == (["Head", "one & two three", "four five", "x", "y"], True)
-    assert htmltext.blocks("") == ([], False) and htmltext.blocks("a < b <") [0] == ["a < b <"]
-    assert htmltext.blocks('<div id="content" class="no-sidebar"><p>kept</p></div><div>side</div>') == (["kept"], True)
+    assert kept(PAGE) == ["Head", "one & two three", "four five", "x", "y"] and htmltext.blocks(PAGE)[1]
+    assert htmltext.blocks("") == ([], False) and kept("a < b <") == ["a < b <"]
+    assert kept('<div id="content" class="no-sidebar"><p>kept</p></div><div>side</div>') == ["kept"]
+
+
+@pytest.mark.parametrize("gone", [
+    "<nav>x</nav>", "<aside>x</aside>", "<footer>x</footer>", "<form><p>x</p></form>", "<script>x</script>", "<style>x</style>", "<noscript>x</noscript>", "<button>x</button>", "<select><option>x</option></select>",
+    "<textarea>x</textarea>", "<template>x</template>", "<svg><text>x</text></svg>", "<iframe>x</iframe>", "<dialog>x</dialog>", "<menu><li>x</li></menu>", "<div hidden>x</div>", '<p style="display: none">x</p>', '<div aria-hidden="true">x</div>',
+    '<div role="navigation">x</div>', '<div role="alert">x</div>', '<div class="ad">x</div>', '<div class="advert-box">x</div>', '<ul class="breadcrumbs">x</ul>', '<div id="comments">x</div>', '<div class="comment-list">x</div>', '<div class="sidebar">x</div>',
+    '<div class="newsletter">x</div>', '<div class="cookie-banner">x</div>', "<!-- x -->", '<div class="share"><a href="#">x</a></div>', '<div class="related"><a>x</a></div>',
+])
+def test_furniture_inside_an_article_goes(gone):
+    assert kept(f"<article><p>before</p>{gone}<p>after</p></article>") == ["before", "after"]
+
+
+@pytest.mark.parametrize("stays", [
+    '<div class="share-price">x</div>', '<section class="legal">x</section>', '<div class="social-history">x</div>', '<div class="notice">x</div>', "<header><p>x</p></header>", '<div class="header">x</div>', "<label>x</label>", "<object>x</object>",
+    "<math><mi>x</mi></math>", '<div class="menu-reform">x</div>', '<div class="ad-hoc">x</div>', "<fieldset>x</fieldset>", '<div class="search-for-truth">x</div>',
+])
+def test_names_alone_decide_nothing_inside_an_article(stays):
+    assert kept(f"<article><div>before</div>{stays}<div>after</div></article>") == ["before", "x", "after"]
+
+
+def test_suffix_array_decides_names_in_doubt(spark):
+    """The same element stays where it is the page's own and goes where the host repeats it."""
+    line = "please read our legal notice before you use this paper"
+    page = lambda i, text: f'<article><p>{" ".join(words(20, i))}</p><div class="legal">{text}</div></article>'
+    rows = [(i, "http://one/", page(i, line)) for i in range(3)] + [(9, "http://one/", page(9, "a court has said something new about the old case"))] + [(20 + i, "http://two/", page(20 + i, line)) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(line not in got[i] for i in range(3)) and "court" in got[9] and all(line in got[20 + i] for i in range(2))
+
+
+def test_revisions_and_quotes_stay(spark):
+    story = [" ".join(words(25, 300 + k)) for k in range(8)]
+    body = lambda parts: "".join(f"<p>{t}</p>" for t in parts)
+    rows = [(1, "http://h/", body(story)), (2, "http://h/", body([*story[:7], " ".join(words(25, 400))])), (3, "http://h/", body(story))]
+    quote = " ".join(words(30, 500))
+    rows += [(10 + k, "http://h/", body([" ".join(words(25, 600 + k)), quote])) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[3] == "\n\n".join(story) and got[2].startswith("\n\n".join(story[:7])) and all(quote in got[10 + k] for k in range(2))
+
+
+def test_longest_repeats_equal_brute_force(spark):
+    rng = random.Random(12)
+    passages = [[f"p{k}w{j}" for j in range(12)] for k in range(4)]
+    pages = []
+    for i in range(12):
+        text = [f"u{rng.randrange(12)}" for _ in range(10)]
+        for k in rng.sample(range(4), 2):
+            text += passages[k][rng.randrange(3) : 12 - rng.randrange(3)] + [f"u{rng.randrange(12)}" for _ in range(4)]
+        pages.append(text)
+    contents = htmltext._content(htmltext.Words(htmltext.pa.array([" ".join(p) for p in pages], htmltext.pa.large_string())))
+    want, covered = set(), {}
+    for i, page in enumerate(pages):
+        for at in range(len(page) - htmltext.DEPTH + 1):
+            for size in range(min(htmltext.SPAN, len(page) - at), htmltext.DEPTH - 1, -1):
+                part = page[at : at + size]
+                if len({contents[j] for j, other in enumerate(pages) if any(other[k : k + size] == part for k in range(len(other)))}) >= htmltext.PAGES:
+                    want.add((i, at, size))
+                    covered.setdefault(i, set()).update(range(at, at + size))
+                    break
+    df = spark.createDataFrame([(i, 7, f"<p>{' '.join(p)}</p>") for i, p in enumerate(pages)], "page_id long, host long, html string")
+    suffixes = df.mapInArrow(htmltext._suffixes, htmltext._SUFFIX)
+    assert {(r["page_id"], r["at"], r["words"]) for r in htmltext.repeated_places(suffixes).collect()} == want and len(want) > 30
+    heavy: dict = {}
+    for r in htmltext.repeated_places(suffixes, limit=0).collect():
+        heavy.setdefault(r["page_id"], set()).update(range(r["at"], r["at"] + r["words"]))
+    assert heavy == covered  # unordered beginnings cover the same words
 
 
 def test_suffix_array_drops_what_a_host_repeats(spark):
