@@ -15,7 +15,8 @@ Defined cases: documents without a source are the source ''; null or empty texts
 are replicated like others of their source; a source of mass 0 or weight 0 has rate 0; a null doc_id
 counts as the empty string; repeated rows get equal counts; a rate over ``MAX_RATE`` that follows
 from given weights is refused with an error, as a slip in them, while one that follows from the
-masses holds at any size; an empty table gives an empty result.
+masses holds at any size; other columns go along, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -75,15 +76,27 @@ def _upward(rate: Column, low: Column, high: Column, limit: Column) -> Column:
     return F.aggregate(F.sequence(low + 1, high), start, add)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it differ from the taken ones (in any case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, rate: float = 1.0, seed: int = 1) -> DataFrame:
-    """The columns of docs and copy (from 1), each row as often as its count says, in random order."""
-    rates = Workspace(docs.sparkSession, "mixing").keep(source_rates(docs, weights, power, rate), "rates").select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "cdf", "low", "high", "total")])
-    at = uniform(seed, F.col("doc_id"))
+    """The columns of docs and copy (from 1), each row as often as its count says, in random order.  If docs
+    has a column copy already, the new one is copy_ (and so on)."""
+    # the row travels as one struct, so no column of docs can meet the operator's own
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rates = Workspace(docs.sparkSession, "mixing").keep(source_rates(docs.select("source", "text"), weights, power, rate), "rates")
+    at = uniform(seed, F.col("row.doc_id"))
     # the uniform number goes in as the start of the fold, so that it is computed once a row
-    inverse = F.aggregate("__cdf", F.struct(at.alias("u"), F.lit(0).alias("n")), lambda acc, c: F.struct(acc["u"].alias("u"), (acc["n"] + (c <= acc["u"]).cast("int")).alias("n")))
-    beyond = F.col("__low") + _upward(F.col("__rate"), F.col("__low"), F.col("__high"), at * F.col("__total"))["n"]
-    count = F.when(F.col("__cdf").isNotNull(), inverse["n"]).otherwise(beyond)
-    counted = docs.join(rates, F.coalesce(docs["source"], F.lit("")) == F.col("__source")).withColumn("__n", count)
-    copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key").select(*docs.columns, "copy")
+    inverse = F.aggregate("cdf", F.struct(at.alias("u"), F.lit(0).alias("n")), lambda acc, c: F.struct(acc["u"].alias("u"), (acc["n"] + (c <= acc["u"]).cast("int")).alias("n")))
+    beyond = F.col("low") + _upward(F.col("rate"), F.col("low"), F.col("high"), at * F.col("total"))["n"]
+    count = F.when(F.col("cdf").isNotNull(), inverse["n"]).otherwise(beyond)
+    counted = row.join(rates, F.coalesce("row.source", F.lit("")) == F.col("source")).select("row", count.alias("n"))
+    copies = counted.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+    dealt = copies.withColumn("key", key).repartition("key").sortWithinPartitions("key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("copy").alias(free_name("copy", docs.columns)))

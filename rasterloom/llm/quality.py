@@ -2,17 +2,25 @@
 
 Each line has features of its own (letter case, symbols, digits, words that end in symbols, word
 lengths, repetition inside the document) and those of the lines before and after it.  The chain
-labels every line good or bad; forward-backward gives each line's marginal, and a document's score
-is the mean marginal of "good" weighted by line length.
+labels every line good or bad and forward-backward gives each line's marginal; the mean marginal of
+"good", weighted by line length, is a document's quality, which a logistic curve fitted on the same
+examples turns into the probability of the label good.
 
-Training maximises the L2-penalised conditional likelihood (Adam on the exact gradient from
-forward-backward), with a document's label on all of its lines, over at most ``EXAMPLES`` labelled
-documents (the smallest hashes of the doc_id); whole texts of these, and every document is scored.
-The model is a few dozen numbers.
+Labels are of documents, so lines are labelled by weak supervision: a good document's lines are good; a
+bad document has at least one bad line, and which of its lines are bad is settled by alternation.  First
+lines are told apart by their own features alone, with all lines of bad documents bad, so that a line
+that good documents have as well is not held bad for its company; then the whole chain is fitted.  After
+each of the ``TURNS`` fits, lines of bad documents with a marginal over ``SURE`` become good, except the
+worst line of each.  Fitting maximises the L2-penalised conditional likelihood (Adam on the exact gradient).
+
+Bounds: at most ``EXAMPLES`` labelled documents a class (the smallest hashes of the doc_id) with at most
+``LINES`` lines a class, whole texts of these; examples weigh as their class does among all labelled
+rows.  Every document is scored over its whole text.  The model is a few dozen numbers.
 
 Defined cases: null and empty texts are one empty line; lines without characters weigh nothing unless
 all are so; without labelled documents of both classes the score is the rate of good labels (0.5
-without labels); null ids and labels teach nothing; other columns are ignored.
+without labels); null ids and labels teach nothing; rows that repeat a doc_id each get a row, and one of
+them teaches; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
 from .words import Words, gram_places, grams, mix64, slices
 
-EXAMPLES, STEPS, RATE, PENALTY = 1500, 150, 0.1, 1e-3
+EXAMPLES, LINES, STEPS, RATE, PENALTY = 750, 100_000, 150, 0.1, 1e-3
+SURE, TURNS = 0.5, 3
 OWN = 11
 _KIND = np.full(256, 4, np.uint8)  # 0 white space, 1 upper, 2 other letters, 3 digits, 4 symbols
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -106,8 +115,8 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def forward_backward(score: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginal of label 1 per line, expected label pairs 2 x 2, log partition per text).
+def forward_backward(score: np.ndarray, move: np.ndarray, bounds: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginal of label 1 per line, expected label pairs 2 x 2 weighted by text, log partition per text).
 
     score is the unary score of label 1 (label 0 has 0).  All texts advance together, line by line;
     those that have ended drop out.
@@ -131,7 +140,8 @@ def forward_backward(score: np.ndarray, move: np.ndarray, bounds: np.ndarray) ->
     inner = np.ones(len(score), bool)
     inner[bounds[:-1]] = False
     at = np.flatnonzero(inner)
-    pairs = np.exp(alpha[at - 1][:, :, None] + move[None] + (unary[at] + beta[at])[:, None, :] - per_line[at][:, None, None]).sum(axis=0)
+    each = np.exp(alpha[at - 1][:, :, None] + move[None] + (unary[at] + beta[at])[:, None, :] - per_line[at][:, None, None])
+    pairs = each.sum(axis=0) if weight is None else np.tensordot(np.repeat(weight, length)[at], each, 1)
     return good, pairs, total
 
 
@@ -140,38 +150,67 @@ class LineField:
         self.mean, self.scale = np.zeros(width), np.ones(width)
         self.w, self.move = np.zeros(width), np.zeros((2, 2))
 
-    def fit(self, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> LineField:
+    def fit(self, x: np.ndarray, size: np.ndarray, bounds: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> LineField:
+        """Fit to documents with labels and weights; size is each line's length."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
         self.mean[0], self.scale[self.scale < 1e-9] = 0.0, 1.0
-        x = (x - self.mean) / self.scale
-        y = np.repeat(labels, np.diff(bounds))
+        unit, weight = (x - self.mean) / self.scale, weight / weight.mean()
+        bad = np.repeat(labels == 0, np.diff(bounds))
+        y = 1.0 - bad
+        own = np.arange(len(self.w) + 4) <= OWN
+        for turn in range(TURNS):
+            self._ascend(unit, y, bounds, weight, STEPS if turn < 2 else STEPS // 3, own if turn == 0 else np.ones(len(own), bool))
+            good, _, _ = forward_backward(unit @ self.w, self.move, bounds)
+            worst = good <= np.repeat(np.minimum.reduceat(good, bounds[:-1]), np.diff(bounds))
+            y = np.where(bad & ((good <= SURE) | worst), 0.0, 1.0)
+        self.lines = y
+        self._calibrate(self._odds(x, size, bounds), labels, weight)
+        return self
+
+    def _ascend(self, x: np.ndarray, y: np.ndarray, bounds: np.ndarray, weight: np.ndarray, steps: int, free: np.ndarray) -> None:
+        """Raise the likelihood of the lines' labels y over the free parameters."""
         inner = np.ones(len(x), bool)
         inner[bounds[:-1]] = False
+        at = np.flatnonzero(inner)
+        each = np.repeat(weight, np.diff(bounds))
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[inner], y[inner]), 1)
-        n = len(labels)
-        theta, m, v = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
-        for step in range(1, STEPS + 1):
-            good, pairs, _ = forward_backward(x @ theta[:-4], theta[-4:].reshape(2, 2), bounds)
-            grad = np.concatenate([x.T @ (y - good), (seen - pairs).ravel()]) / n - PENALTY * theta
+        np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), each[at])
+        theta = np.concatenate([self.w, self.move.ravel()])
+        m, v = np.zeros(len(theta)), np.zeros(len(theta))
+        for step in range(1, steps + 1):
+            good, pairs, _ = forward_backward(x @ theta[:-4], theta[-4:].reshape(2, 2), bounds, weight)
+            grad = np.concatenate([x.T @ (each * (y - good)), (seen - pairs).ravel()]) / len(weight) - PENALTY * theta
+            grad[~free] = 0
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         self.w, self.move = theta[:-4], theta[-4:].reshape(2, 2)
-        return self
 
-    def score(self, x: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _calibrate(self, odds: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
+        """The logistic curve over the log odds of the mean marginals, by Newton steps with a small penalty."""
+        z, self.curve = np.stack([odds, np.ones(len(odds))], axis=1), np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
+            grad = z.T @ (weight * (labels - p)) - 1e-2 * self.curve
+            self.curve = self.curve + np.clip(np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), grad), -2, 2)
+
+    def _odds(self, x: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log odds of the length-weighted mean marginal of each document."""
         good, _, _ = forward_backward(((x - self.mean) / self.scale) @ self.w, self.move, bounds)
-        empty = np.add.reduceat(weights, bounds[:-1]) == 0
-        weights = weights + np.repeat(empty, np.diff(bounds))
-        return np.add.reduceat(good * weights, bounds[:-1]) / np.add.reduceat(weights, bounds[:-1])
+        empty = np.add.reduceat(size, bounds[:-1]) == 0
+        size = size + np.repeat(empty, np.diff(bounds))
+        mean = np.clip(np.add.reduceat(good * size, bounds[:-1]) / np.add.reduceat(size, bounds[:-1]), 1e-6, 1 - 1e-6)
+        return np.log(mean / (1 - mean))
+
+    def score(self, x: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._odds(x, size, bounds) * self.curve[0] + self.curve[1], -30, 30)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            x, _, bounds = line_features(Words(part.column("text")))
-            packed = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.record_batch({"label": part.column("label"), "x": pa.array(packed, pa.binary())})
+            x, size, bounds = line_features(Words(part.column("text")))
+            packed = [np.column_stack([x[a:b], size[a:b]]).astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "lines": pa.array(np.diff(bounds)), "x": pa.array(packed, pa.binary())})
 
 
 def _score(field: LineField | None, rate: float):
@@ -198,12 +237,19 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rate = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     field = None
     if len(totals) == 2:
-        few = work.keep(taught.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(EXAMPLES), "picked")
-        sample = rows.join(few, "doc_id").mapInArrow(_features, "label int, x binary").collect()
-        sample = sorted(((r["label"], bytes(r["x"])) for r in sample))
-        lines = [np.frombuffer(x, np.float32).reshape(-1, OWN).astype(float) for _, x in sample]
-        if len({y for y, _ in sample}) == 2:
+        order = F.xxhash64("doc_id", F.lit(3))
+        once = taught.dropDuplicates(["doc_id"])
+        picks = [once.where(F.col("label") == y).orderBy(order, "doc_id").limit(EXAMPLES) for y in (0, 1)]
+        few = work.keep(picks[0].unionAll(picks[1]), "picked")
+        found = work.keep(rows.join(few, "doc_id").mapInArrow(_features, "doc_id long, label int, lines long, x binary").dropDuplicates(["doc_id"]), "features")
+        so_far = F.sum("lines").over(Window.partitionBy("label").orderBy(order, "doc_id"))  # at most EXAMPLES rows a label
+        sample = found.where(F.col("lines") <= LINES).withColumn("so_far", so_far).where(F.col("so_far") <= LINES).orderBy("doc_id").select("label", "x").collect()
+        labels_of = np.array([r["label"] for r in sample])
+        if len(set(labels_of.tolist())) == 2:
+            lines = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, OWN + 1).astype(float) for r in sample]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
-            x = with_neighbours(np.concatenate(lines), bounds)
-            field = LineField(x.shape[1]).fit(x, bounds, np.array([y for y, _ in sample]))
+            both = np.concatenate(lines)
+            x = with_neighbours(both[:, :OWN], bounds)
+            weight = np.array([totals[y] / (labels_of == y).sum() for y in labels_of.tolist()])
+            field = LineField(x.shape[1]).fit(x, both[:, OWN], bounds, labels_of, weight)
     return rows.mapInArrow(_score(field, rate), "doc_id long, score double")

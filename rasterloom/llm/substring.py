@@ -16,7 +16,8 @@ batch of documents, and it streams by in sorted order.
 
 Defined cases: null text has no words; a null doc_id neither removes nor loses anything; rows of one
 doc_id count as one document and never remove from each other; documents under ``WINDOW`` words
-have no windows; empty tables give empty results; other columns are ignored.
+have no windows; a very long text is one document, read whole; empty tables give empty results; other
+columns are ignored unless they are carried.
 """
 
 from __future__ import annotations

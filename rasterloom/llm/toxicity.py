@@ -16,8 +16,10 @@ Bounds: at most ``EXAMPLES`` examples a class (the smallest hashes of the doc_id
 and for the ratios; that bounds what is broadcast.  Document frequencies and class rates count all rows.
 
 Defined cases: null or empty texts have no terms; null ids and labels teach nothing; a document is
-never its own neighbour; without labelled rows of both classes each score is the overall rate (0
-without labels); other columns are ignored.
+never its own neighbour; rows that repeat a doc_id each get a row, and one of them is an example; equal
+cosines go to the earlier example in the order of blocks; very long texts are read whole; without
+labelled rows of both classes each score is the overall rate (0 without labels); an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,7 +271,7 @@ class BlockMaxIndex:
         return who[0][who[0] >= 0], cosine[0][who[0] >= 0]
 
 
-def _score(index: BlockMaxIndex | None, vocabulary: np.ndarray, unseen: float, base: float):
+def _score(index: BlockMaxIndex | None, vocabulary: np.ndarray, unseen: float, base: float, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -293,14 +295,15 @@ def _score(index: BlockMaxIndex | None, vocabulary: np.ndarray, unseen: float, b
             score = np.clip(((vote * index.labels[who]).sum(axis=1) + prior * base) / (vote.sum(axis=1) + prior), 0.0, 1.0)
             near = [index.ids[x[x >= 0]].tolist() for x in who[:, :3]]
             cosines = [c[x >= 0].tolist() for x, c in zip(who[:, :3], cosine[:, :3], strict=True)]
-        return pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(near, pa.list_(pa.int64())), "cosines": pa.array(cosines, pa.list_(pa.float64()))})
+        carried = {c: part.column(c) for c in carry}
+        return pa.record_batch(carried | {"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(near, pa.list_(pa.int64())), "cosines": pa.array(cosines, pa.list_(pa.float64()))})
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, evidence (the nearest three examples' ids), cosines for every row of
-    docs(doc_id, text), learnt from labels(doc_id, label) of these documents, label 0 or 1."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns of docs, doc_id, score, evidence (the nearest three examples' ids), cosines for
+    every row of docs(doc_id, text, ...), learnt from labels(doc_id, label) of these documents, label 0 or 1."""
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
     taught = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
@@ -331,4 +334,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         flat = [[x.values.to_numpy() for x in vectors.column(c)] for c in ("terms", "counts")]
         examples = zip(vectors.column("doc_id").to_pylist(), vectors.column("label").to_pylist(), *flat, strict=True)
         index = BlockMaxIndex([e for e in examples if len(e[2])], weight, stands)
-    return rows.mapInArrow(_score(index, vocabulary, unseen, base), "doc_id long, score double, evidence array<long>, cosines array<double>")
+    carried = docs.select(*[c for c in carry if c not in ("doc_id", "text")], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = "".join(f"`{c}` {carried.schema[c].dataType.simpleString()}, " for c in carry)
+    return carried.mapInArrow(_score(index, vocabulary, unseen, base, carry), f"{kinds}doc_id long, score double, evidence array<long>, cosines array<double>")

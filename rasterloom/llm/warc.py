@@ -11,7 +11,8 @@ task that runs twice leaves a stray file, never a double record.
 
 Defined cases: null html is the empty payload, null url leaves the target out, a null page_id gets a
 random record id and reads back as null; rows that repeat the largest page_id of equal payloads
-are all responses; an empty table writes no archive; other columns are ignored.
+are all responses, and other repeated rows are records of their own; a long payload is read in chunks and
+held once; an empty table writes no archive; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -478,3 +478,80 @@ def test_suffix_array_drops_what_a_host_repeats(spark):
     assert got[11]["text"] == "" and got[12]["text"].startswith("Head") and got[None]["text"] == "no id"
     assert got[13]["text"] == "all the sections of our great daily paper"  # nothing else: a copy, kept whole
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- odd tables, for every operator
+
+CLASHES = ("score", "label", "id", "n", "v", "copy", "rate", "mass", "key", "row", "component", "component_id", "kept", "anchor", "anchors", "windows", "low", "high", "host", "head", "content", "repeated", "digest", "keep", "bytes", "record_type", "query_id", "part", "turn", "rank", "u", "d", "i", "j", "regs", "f1", "n_shingles", "term", "cdf", "total", "__n", "__source", "__key", "ids", "held_out", "so_far", "lines")
+
+
+def labels_of(docs):
+    return docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+
+
+OPERATORS = {
+    "warc": ("pages", lambda spark, t: warc.page_archive_records(spark, t).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")),
+    "topk": ("embeddings", lambda spark, t: topk.top_k(t, "vec_id % 2 = 0", k=3)),
+    "minhash": ("documents", lambda spark, t: minhash.near_duplicates(t, k=4)),
+    "substring": ("documents", lambda spark, t: substring.remove_repeats(t).select("doc_id", "n_words", "n_removed", "kept_text")),
+    "toxicity": ("documents", lambda spark, t: toxicity.score_toxicity(t, labels_of(t)).select("doc_id", "score")),
+    "sentencepieces": ("documents", lambda spark, t: sentencepieces.encode_documents(t)),
+    "mixing": ("documents", lambda spark, t: mixing.mix_sources(t)),
+    "htmltext": ("pages", lambda spark, t: htmltext.extract_text(t)),
+    "multiindex": ("embeddings", lambda spark, t: multiindex.near_vectors(t)),
+    "quality": ("documents", lambda spark, t: quality.score_quality(t, labels_of(t))),
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs):
+    long = " ".join(words(60_000, 77, 9000))
+    pages = [(i, f"http://h/{i % 2}", f"<article><p>{' '.join(words(300, i % 4))}</p></article>") for i in range(8)] + [(8, None, None), (9, "http://h/", ""), (10, "http://h/", f"<p>{long}</p>"), (None, "u", "<p>x</p>")]
+    return {
+        "documents": docs.unionAll(spark.createDataFrame([(900, long, "en", "s1", len(long))], DOCS)),
+        "pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "embeddings": vectors(spark)[1],
+    }
+
+
+def plain(rows):
+    return sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict(True).items()}) for r in rows)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns_repeated_rows_and_empty_tables(spark, tables, name):
+    if name == "sentencepieces" and not __import__("os").path.exists(sentencepieces.MODEL):
+        pytest.skip("no model here")
+    table, run = OPERATORS[name]
+    own = tables[table]
+    want = run(spark, own)
+    rows = want.collect()
+    extra = own.select("*", *[F.lit(7).alias(c) for c in CLASHES if c not in own.columns])
+    got = run(spark, extra)
+    if name == "mixing":
+        assert got.columns == [*extra.columns, "copy_"] and len(set(got.columns)) == len(got.columns)
+        got = got.select(*own.columns, F.col("copy_").alias("copy"))
+    assert plain(got.collect()) == plain(rows)
+    assert run(spark, own.limit(0)).collect() == []
+    key = own.columns[0]
+    twice = run(spark, own.unionAll(own.where(f"{key} is not null")))
+    assert twice.columns == want.columns
+    again = twice.collect()
+    once = {r[key if name != "topk" else "query_id"] for r in again}
+    assert once == {r[key if name != "topk" else "query_id"] for r in rows}
+    if name in ("minhash", "substring", "sentencepieces", "htmltext", "multiindex"):  # repeated rows change nothing but their number
+        named = lambda found: {str(sorted(r.asDict(True).items())) for r in found}
+        assert named(again) == named(rows)
+
+
+def test_lines_differ_inside_bad_documents():
+    """One bad line among good ones: the field finds which, though only documents are labelled."""
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["the", "house", "of", "green", "river", "walks", "slowly"]) for _ in range(9))
+    bad = lambda: " ".join("%$#@" + str(rng.randrange(99)) for _ in range(9))
+    texts = ["\n".join(good() for _ in range(6)) if k % 2 else "\n".join(good() if j < 3 else bad() for j in range(6)) for k in range(80)]
+    x, size, bounds = quality.line_features(quality.Words(quality.pa.array(texts, quality.pa.large_string())))
+    wide = quality.with_neighbours(x, bounds)
+    field = quality.LineField(wide.shape[1]).fit(wide, size, bounds, np.arange(80) % 2, np.ones(80))
+    want = np.array([[1] * 6 if k % 2 else [1, 1, 1, 0, 0, 0] for k in range(80)]).ravel()
+    assert (field.lines == want).mean() > 0.95 and (field.lines == want).reshape(80, 6)[1::2].all()
+    assert ((field.score(wide, size, bounds) >= 0.7) == (np.arange(80) % 2 == 1)).all()

@@ -46,6 +46,21 @@ def test_stages_take_effect_and_keep_clean_documents(spark, folder):
     assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
 
 
+def test_stages_on_odd_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    toxic = docs.where("doc_id = 0").selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.toxicity(spark, docs.unionAll(toxic), folder).where("doc_id is null").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        own = stage(spark, docs, folder)
+        rows = sorted(map(str, own.collect()))
+        wide = docs.selectExpr("*", "1 as original", "2 as copy", "3 as row", "4 as score", "5 as label", "6 as kept", "7 as n_removed")
+        assert sorted(map(str, stage(spark, wide, folder).collect())) == rows, name
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+        assert set(map(str, stage(spark, docs.unionAll(docs), folder).collect())) >= (set(rows) if name in ("near_dedup", "substring_dedup", "tokens") else set()), name
+        if name != "tokens":
+            assert own.columns == docs.columns
+
+
 def test_run_gives_ids_for_every_copy(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r["ids"] is None or r["round_trip"] for r in rows)
