@@ -1,6 +1,8 @@
 """From raw documents to token ids: toxicity, near-duplicates, repeated passages, mixing, tokens.
 
 Each stage is written as Parquet to the shared folder and read again as the next one's documents.
+Stages read the columns of documents (doc_id, text, lang, source, n_chars) and ignore all others, so
+others may have any name.  An empty table stays empty through every stage (tokens then returns no row).
 """
 
 from __future__ import annotations
@@ -24,32 +26,55 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic."""
-    toxic = score_toxicity(docs, training_labels(spark, sf_dir, "toxic")).where(F.col("score") >= TOXIC).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(toxic, "doc_id", "left_anti")
+    """Documents that the nearest labelled examples do not call toxic.
+
+    Every row is judged by its own whole text, however long, and goes if its score is TOXIC or more, with a
+    null doc_id too; null and empty texts score the base rate of the labels (under TOXIC in any usual
+    label set) and stay; repeated rows stay or go together; equal cosines go to the earlier example.
+    """
+    scored = score_toxicity(docs.select(*COLUMNS), training_labels(spark, sf_dir, "toxic"), carry=("text", "lang", "source", "n_chars"))
+    return scored.where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates.
+
+    Null, empty and white-space texts are in no group and stay, as do rows with a null doc_id; rows that
+    repeat a doc_id are one document and stay or go together; long texts are compared whole.
+    """
     copies = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without passages that documents of smaller ids have; untouched texts stay as they are."""
-    out = remove_repeats(docs.withColumn("original", F.col("text")), carry=("original", "lang", "source", "n_chars"))
+    """All documents without passages that documents of smaller ids have; untouched texts stay as they are.
+
+    Of equal passages the smallest doc_id keeps its own; rows that repeat a doc_id do not cut each other, and
+    rows with a null doc_id neither cut nor are cut; null texts stay null and empty ones empty; a text of
+    which nothing is left stays as the empty text; n_chars follows where a text is cut.
+    """
+    out = remove_repeats(docs.select(*COLUMNS, F.col("text").alias("original")), carry=("original", "lang", "source", "n_chars"))
     touched = F.col("n_removed") > 0
     text = F.when(touched, F.col("kept_text")).otherwise(F.col("original"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(touched, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that each source gets a share that goes with the root of its size."""
+    """Documents repeated so that each source gets a share that goes with the root of its size.
+
+    A null source is the source ''; null and empty texts weigh nothing and are repeated as others of their
+    source, and a source of such texts alone is left out; a null doc_id counts as the empty string;
+    repeated rows get equal counts; any rate that follows from the sizes holds.
+    """
     return mix_sources(docs.select(*COLUMNS), power=0.5, rate=1.0, seed=1).drop("copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document: doc_id, n_ids, ids, round_trip.
+
+    A null text has null ids and an empty one none; a null doc_id is carried along; repeated rows give
+    repeated results; long texts are encoded whole.
+    """
     return encode_documents(docs)
 
 
@@ -64,5 +89,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = work.keep(stage(spark, docs, sf_dir), name)
-        work.release(2)
     return docs
