@@ -2,54 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
+from ..workspace import Rounds
 
-#: Catalogue rows that are compared with every pixel at most; more are a slip in the input.
-CATALOGUE_LIMIT = 4096
+#: Catalogue rows that one array holds; larger catalogues are dealt over several.
+CHUNK = 4096
+#: Palette entries compared in one expression.
+UNROLLED = 16
 
 
-def _sq(lightness: float, left: str = "", right: str = "t") -> Column:
-    l, a, b = ((F.col(f"{left}{c}") - F.col(f"{right}{c}")) * (F.col(f"{left}{c}") - F.col(f"{right}{c}")) for c in LAB)
-    return F.round(F.lit(lightness) * l + a + b, 9)
+def _sq(lightness: float, left: dict[str, Column], right: Column) -> Column:
+    l, a, b = ((left[c] - right[c]) * (left[c] - right[c]) for c in LAB)
+    return F.lit(lightness) * l + a + b
 
 
-def checked(threads: DataFrame) -> DataFrame:
-    """The catalogue, broadcast only after its size is checked."""
-    if threads.limit(CATALOGUE_LIMIT + 1).count() > CATALOGUE_LIMIT:
-        raise ValueError(f"a catalogue has at most {CATALOGUE_LIMIT} colours")
-    return F.broadcast(threads)
+def steps(distance_sq: Column) -> Column:
+    """A squared distance in whole units of 1e-9, in which ties are decided; cheaper than rounding doubles."""
+    return F.floor(distance_sq * 1e9 + 0.5)
 
 
 def nearest_literal(pixels: DataFrame, palette: list[tuple[int, float, float, float]], out: str = "label") -> DataFrame:
-    """Nearest of a short palette (index, ok_l, ok_a, ok_b) as one expression without a join; the first of equals.
-
-    Pixels whose mask is false get null.
+    """Nearest of a short palette (index, ok_l, ok_a, ok_b) as plain expressions without a join; the first of
+    equals.  Pixels whose mask is false get null."""
+    best = []
+    own = {c: F.col(c) for c in LAB}
+    for low in range(0, len(palette), UNROLLED):
+        each = [F.struct(steps(_sq(1.0, own, dict(zip(LAB, map(F.lit, map(float, lab)), strict=True)))).alias("d"), F.lit(j).alias("j")) for j, *lab in palette[low : low + UNROLLED]]
+        best.append(F.least(*each) if len(each) > 1 else each[0])
+    nearest = (F.least(*best) if len(best) > 1 else best[0])["j"] if best else F.lit(None).cast("int")
+    return pixels.withColumn(out, F.when(F.coalesce(F.col("mask"), F.lit(True)), nearest) if "mask" in pixels.columns else nearest)
+
+
+def _beside(rows: DataFrame, threads: DataFrame) -> tuple[DataFrame, int]:
+    """Each row with an array of the catalogue's colours (ord, number, ok_*), and in how many parts.
+
+    A usual catalogue is one array, whose size is checked before it goes to every task; a larger one is
+    dealt into arrays by a hash, and rows meet each of them in a shuffled join.
     """
-    out_of = F.lit(None).cast("int")
-    if palette:
-        # a fold: the pixel's colour goes in as its start, so it is computed once however long the palette is
-        entries = F.array(*[F.struct(F.lit(j).alias("j"), *[F.lit(float(v)).alias(c) for c, v in zip(LAB, lab, strict=True)]) for j, *lab in palette])
-        start = F.struct(*[F.col(c).alias(c) for c in LAB], F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("j"))
+    entry = F.sort_array(F.collect_list(F.struct("ord", "number", *LAB))).alias("entries")
+    parts = max(1, -(-threads.count() // CHUNK))
+    if parts == 1:
+        return rows.join(F.broadcast(threads.agg(entry))), 1
+    packed = threads.groupBy(F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int").alias("part")).agg(entry)
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed.hint("shuffle_hash"), "part"), parts
 
-        def step(acc: Column, e: Column) -> Column:
-            d = F.round(sum(((acc[c] - e[c]) * (acc[c] - e[c]) for c in LAB), F.lit(0.0)), 9)
-            return F.struct(*[acc[c].alias(c) for c in LAB], F.least(d, acc["d"]).alias("d"), F.when(d < acc["d"], e["j"]).otherwise(acc["j"]).alias("j"))
 
-        out_of = F.aggregate(entries, start, step)["j"]
-    return pixels.withColumn(out, F.when(F.coalesce(F.col("mask"), F.lit(True)), out_of) if "mask" in pixels.columns else out_of)
+def _measured(lightness: float) -> Column:
+    """The entries with their distances from the row, as (steps, ord, number, d)."""
+    own = {c: F.col(c) for c in LAB}
+    return F.transform("entries", lambda t: F.struct(steps(_sq(lightness, own, t)).alias("s"), t["ord"].alias("ord"), t["number"].alias("number"), _sq(lightness, own, t).alias("d")))
 
 
 def nearest_thread(rows: DataFrame, key: list[str], threads: DataFrame, excluded: DataFrame | None = None, lightness: float = 1.0) -> DataFrame:
     """key, ord, number, distance_sq: for each row the nearest catalogue colour not excluded; the first
     in catalogue order of equals, null if all are excluded.  Distances are to nine decimals."""
     free = threads.join(excluded.select("number"), "number", "left_anti") if excluded is not None else threads
-    short = checked(free.select("ord", "number", *[F.col(c).alias(f"t{c}") for c in LAB]))
-    pairs = rows.select(*key, *LAB).join(short, how="left") if excluded is not None else rows.select(*key, *LAB).join(short)
-    best = pairs.groupBy(*key).agg(F.min(F.when(F.col("ord").isNotNull(), F.struct(_sq(lightness).alias("d"), "ord", "number"))).alias("best"))
-    return best.select(*key, F.col("best.ord").alias("ord"), F.col("best.number").alias("number"), F.col("best.d").alias("distance_sq"))
+    pairs, parts = _beside(rows.select(*key, *LAB), free)
+    best = pairs.select(*key, F.array_min(_measured(lightness)).alias("best"))
+    if parts > 1:
+        best = best.groupBy(*key).agg(F.min("best").alias("best"))
+    return best.select(*key, F.col("best.ord").alias("ord"), F.col("best.number").alias("number"), F.round("best.d", 9).alias("distance_sq"))
 
 
 def snap(rows: DataFrame, key: list[str], palette: DataFrame, threads: DataFrame, radius: float = 0.2) -> DataFrame:
@@ -60,9 +75,13 @@ def snap(rows: DataFrame, key: list[str], palette: DataFrame, threads: DataFrame
 
 def rank_threads(rows: DataFrame, key: list[str], threads: DataFrame, k: int = 12) -> DataFrame:
     """The k nearest colours of each row by distance, then number."""
-    short = checked(threads.select("number", *[F.col(c).alias(f"t{c}") for c in LAB]))
-    order = Window.partitionBy(*key).orderBy("distance_sq", "number")
-    return rows.select(*key, *LAB).join(short).select(*key, "number", _sq(1.0).alias("distance_sq")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs, parts = _beside(rows.select(*key, *LAB), threads)
+    first = F.transform(_measured(1.0), lambda t: F.struct(t["s"].alias("s"), t["number"].alias("number"), t["d"].alias("d")))
+    best = pairs.select(*key, F.slice(F.array_sort(first), 1, k).alias("best"))
+    if parts > 1:
+        best = best.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    ranked = best.select(*key, F.posexplode("best").alias("at", "t"))
+    return ranked.select(*key, F.col("t.number").alias("number"), F.round("t.d", 9).alias("distance_sq"), (F.col("at") + 1).alias("rank"))
 
 
 def search_threads(threads: DataFrame, asked: str, k: int = 12) -> DataFrame:
@@ -77,15 +96,16 @@ def effective_threads(palette: DataFrame, replacements: DataFrame, threads: Data
     return palette.join(known, "number", "left").select("img", "idx", F.coalesce("to", "number").alias("number"))
 
 
-def resolve_merges(palette: DataFrame, merges: DataFrame, depth: int = 40) -> DataFrame:
-    """number, target: where a chain of merges(number, to) ends; chains that come back stop before the
-    repeated number, and a target outside the palette (or itself) leaves the number as it is."""
+def resolve_merges(palette: DataFrame, merges: DataFrame) -> DataFrame:
+    """number, target: where a chain of merges(number, to) ends, however long; chains that come back stop
+    before the repeated number, and a target outside the palette (or itself) leaves the number as it is."""
+    rounds = Rounds(palette.sparkSession, "merges")
     now = palette.select("number").distinct().select("number", F.col("number").alias("target"), F.array("number").alias("seen"))
     steps = merges.select(F.col("number").alias("target"), "to")
-    for _ in range(depth):
+    while True:
         moved = now.join(steps, "target", "left")
         go = F.col("to").isNotNull() & ~F.array_contains("seen", F.coalesce("to", F.lit("")))
-        after = moved.select("number", F.when(go, F.col("to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("to"))).otherwise(F.col("seen")).alias("seen"), go.alias("go"))
+        after = rounds.keep(moved.select("number", F.when(go, F.col("to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("to"))).otherwise(F.col("seen")).alias("seen"), go.alias("go")))
         if after.where("go").isEmpty():
             break
         now = after.drop("go")

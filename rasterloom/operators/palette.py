@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 from ..workspace import Rounds
-from .nearest import nearest_literal
+from .nearest import _beside, _measured, _sq, steps
 
 
 def samples(pixels: DataFrame, stride: int, contrast_weight: float, ramp_weight: float | None = None) -> DataFrame:
@@ -39,85 +37,120 @@ def closest_pair(palette: DataFrame) -> DataFrame:
     return best.select("img", "m.i", "m.j", "m.distance")
 
 
-@dataclass(frozen=True)
-class Thread:
-    ord: int
-    number: str
-    lab: tuple[float, float, float]
+def nearest_slot(rows: DataFrame, slots: DataFrame, out: str = "slot", key: str = "slot") -> DataFrame:
+    """Add the nearest slot of the row's image, the first of equals; slots(img, slot, ok_*) are a few dozen
+    rows an image.  Rows whose mask is false get null."""
+    packed = slots.groupBy("img").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("slot"), *LAB))).alias("__slots"))
+    own = {c: F.col(c) for c in LAB}
+    best = F.array_min(F.transform("__slots", lambda t: F.struct(steps(_sq(1.0, own, t)).alias("d"), t["slot"].alias("slot"))))["slot"]
+    if "mask" in rows.columns:
+        best = F.when(F.coalesce(F.col("mask"), F.lit(True)), best)
+    return rows.join(packed, "img", "left").withColumn(out, best).drop("__slots")
+
+
+def _least_distance(slots: str) -> Column:
+    own = {c: F.col(c) for c in LAB}
+    return F.array_min(F.transform(slots, lambda t: F.round(_sq(1.0, own, t), 9)))
 
 
-def _d2(a: tuple[float, ...], b: tuple[float, ...]) -> float:
-    return round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)), 12)
+_SLOT = "img, slot, ord, number, ok_l, ok_a, ok_b, fixed"
 
 
-def _free_nearest(lab: tuple[float, ...], threads: list[Thread], used: set[int]) -> Thread | None:
-    return min((t for t in threads if t.ord not in used), key=lambda t: (_d2(lab, t.lab), t.ord), default=None)
+def _free_threads(rows: DataFrame, threads: DataFrame, used: str) -> DataFrame:
+    """Each row with the nearest colour that its list of used ones lacks, as best."""
+    pairs, parts = _beside(rows, threads)
+    best = F.array_min(F.filter(_measured(1.0), lambda t: ~F.array_contains(used, t["ord"])))
+    if parts == 1:
+        return pairs.withColumn("best", best)
+    return pairs.withColumn("best", best).groupBy("img").agg(F.min("best").alias("best"))
 
 
-def extract_palette(sampled: DataFrame, threads: list[Thread], k: int, locked: tuple[str, ...] = (), halo: float = 1.1, iterations: int = 24) -> list[tuple[Thread, float, bool]]:
-    """(thread, share, locked) of one image's samples, lightest first.
+def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tuple[str, ...] = (), halo: float = 1.1, iterations: int = 24) -> DataFrame:
+    """img, idx, ord, number, ok_*, share, locked: the palette of every image of the samples, lightest first.
 
-    Samples stay in Spark: a round is one projection (argmin over k literals) and one aggregation, and
-    k rows reach the driver, where each free slot moves to the nearest thread no other slot has.
-    Starts are the locked threads, then threads nearest to the sample farthest from all starts (the
-    first of equals), which needs no random draw.  An empty slot dies.
+    All images advance together and stay in Spark: a round is one projection (argmin over the image's own
+    slots) and one aggregation, after which each free slot moves to the nearest thread that no other slot
+    of its image has.  Starts are the locked threads, then threads nearest to the sample farthest from all
+    starts (the first of equals), which needs no random draw.  A slot without samples dies.
     """
     rounds = Rounds(sampled.sparkSession, "palette")
     data = rounds.keep(sampled)
-    k = max(1, min(k, len(threads)))
-    slots: list[Thread] = []
-    by_number = {t.number: t for t in threads}
-    for number in dict.fromkeys(locked):
-        if number in by_number and len(slots) < k:
-            slots.append(by_number[number])
-    fixed = len(slots)
-    while len(slots) < k:
-        if slots:
-            d = F.least(*[F.round(sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(LAB, t.lab, strict=True)), F.lit(0.0)), 9) for t in slots]) if len(slots) > 1 else F.round(sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(LAB, slots[0].lab, strict=True)), F.lit(0.0)), 9)
-            row = data.agg(F.max(F.struct((d * F.col("w")).alias("d"), (-F.col("i")).alias("o"), *LAB)).alias("m")).first()["m"]
-        else:
-            row = data.agg(F.max(F.struct("w", (-F.col("i")).alias("o"), *LAB)).alias("m")).first()["m"]
-        if row is None:
-            break
-        slots.append(_free_nearest((row["ok_l"], row["ok_a"], row["ok_b"]), threads, {t.ord for t in slots}))
-    if not slots or data.isEmpty():
-        return []
-
-    def means(alive: list[Thread]) -> dict[int, dict]:
-        assigned = nearest_literal(data, [(j, *t.lab) for j, t in enumerate(alive)], "slot")
-        return {r["slot"]: r.asDict() for r in slot_means(assigned).collect()}
+    library = rounds.keep(threads.select("ord", "number", *LAB))
+    images = rounds.keep(data.select("img").distinct())
+    size = library.count()
+    k = max(1, min(k, size))
+    wanted = sampled.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(locked))], "number string, slot int")
+    kept = library.join(wanted, "number").withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1).where(F.col("slot") < k)  # a few rows that the caller named
+    fixed = kept.count()
+    slots = rounds.keep(images.join(F.broadcast(kept.withColumn("fixed", F.lit(True)))).selectExpr(*_SLOT.split(", ")))
+    for at in range(fixed, k):
+        mine = slots.groupBy("img").agg(F.collect_list(F.struct(*LAB)).alias("slots"), F.collect_list("ord").alias("used"))
+        far = F.max(F.struct(F.when(F.col("slots").isNull(), F.col("w")).otherwise(_least_distance("slots") * F.col("w")).alias("d"), (-F.col("i")).alias("o"), *LAB)).alias("m")
+        starts = data.join(mine, "img", "left").groupBy("img").agg(far).join(mine.select("img", "used"), "img", "left").select("img", "m.*", F.coalesce("used", F.array().cast("array<int>")).alias("used"))
+        new = _free_threads(starts.select("img", *LAB, "used"), library, "used").select("img", F.lit(at).alias("slot"), "best.ord", "best.number").join(library.select("ord", *LAB), "ord").withColumn("fixed", F.lit(False))
+        slots = rounds.keep(slots.unionByName(new))
+    colours = {r["ord"]: (r["number"], r["ok_l"], r["ok_a"], r["ok_b"]) for r in library.collect()} if size <= 4096 else None
+    if colours is None:
+        raise ValueError("palettes are drawn from catalogues of at most 4096 colours")
+
+    def means() -> DataFrame:
+        return slot_means(nearest_slot(data, slots)).withColumnsRenamed({c: f"m{c}" for c in LAB})
+
+    def move(rows: pd.DataFrame) -> pd.DataFrame:
+        """The slots of one image, each at its nearest free thread; k rows."""
+        rows = rows.sort_values("slot")
+        used, out = set(rows.loc[rows.fixed, "ord"].tolist()), []
+        for r in rows.itertuples():
+            to = r.ord
+            if not r.fixed:
+                if pd.isna(r.mok_l):
+                    continue
+                to = min((o for o in colours if o not in used), key=lambda o: (round((colours[o][1] - r.mok_l) ** 2 + (colours[o][2] - r.mok_a) ** 2 + (colours[o][3] - r.mok_b) ** 2, 12), o))
+                used.add(to)
+            out.append((r.img, len(out), to, *colours[to], r.fixed, to != r.ord))
+        return pd.DataFrame(out, columns=["img", "slot", "ord", "number", *LAB, "fixed", "moved"])
 
     for turn in range(iterations):
-        found = means(slots)
-        moved, used = [t for t in slots[:fixed]], {t.ord for t in slots[:fixed]}
-        for j in range(fixed, len(slots)):
-            if j in found:
-                to = _free_nearest(tuple(found[j][c] for c in LAB), threads, used)
-                used.add(to.ord)
-                moved.append(to)
-        if moved == slots and turn:
+        known = slots.join(means().drop("weight", "share", "ramp_share"), ["img", "slot"], "left")
+        after = rounds.keep(known.groupBy("img").applyInPandas(move, f"img {dict(slots.dtypes)['img']}, slot int, ord int, number string, ok_l double, ok_a double, ok_b double, fixed boolean, moved boolean"))
+        same = turn and after.where("moved").isEmpty() and after.count() == slots.count()
+        slots = after.drop("moved")
+        if same:
             break
-        slots = moved
-    found = means(slots)
     if halo <= 1:
-        kept = [j for j in range(len(slots)) if j < fixed or found.get(j, {"ramp_share": 0.0})["ramp_share"] <= halo]
-        slots = [slots[j] for j in kept] or [slots[max(found, key=lambda j: found[j]["share"])]]
-        found = means(slots)
-    out = [(t, found[j]["share"] if j in found else 0.0, j < fixed) for j, t in enumerate(slots)]
-    return sorted(out, key=lambda e: (-e[0].lab[0], e[0].number))
-
-
-def merge_close(palette: list[tuple[Thread, float, bool]], threshold: float) -> list[tuple[Thread, float, bool]]:
-    """Join the closest two entries, not both locked, while they are under the threshold; the locked one
-    or else the larger share survives.  A few dozen entries: control flow, not data."""
-    entries = list(palette)
-    while True:
-        pairs = [(math.sqrt(_d2(a[0].lab, b[0].lab)), i, j) for i, a in enumerate(entries) for j, b in enumerate(entries) if i < j and not (a[2] and b[2])]
-        best = min(pairs, default=None)
-        if best is None or best[0] >= threshold:
-            return entries
-        _, i, j = best
-        a, b = entries[i], entries[j]
-        keep, gone = (i, j) if a[2] or (not b[2] and a[1] >= b[1]) else (j, i)
-        entries[keep] = (entries[keep][0], a[1] + b[1], entries[keep][2])
-        del entries[gone]
+        measured = slots.join(means().select("img", "slot", "share", "ramp_share"), ["img", "slot"], "left")
+        stays = F.col("fixed") | (F.coalesce("ramp_share", F.lit(0.0)) <= halo)
+        top = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("stays"), F.desc("share"), "slot")) == 1
+        slots = rounds.keep(measured.withColumn("stays", stays).withColumn("top", top).where("stays or top").selectExpr(*_SLOT.split(", ")))
+    shares = slots.join(means().select("img", "slot", "share"), ["img", "slot"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    idx = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("ok_l"), "number")) - 1
+    return shares.withColumn("idx", idx).select("img", "idx", "ord", "number", *LAB, "share", F.col("fixed").alias("locked"))
+
+
+def merge_close(palettes: DataFrame, threshold: float) -> DataFrame:
+    """Join the closest two entries of an image, not both locked, while they are under the threshold; the
+    locked one or else the larger share survives.  An image is a few dozen entries."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        entries = [r._asdict() for r in rows.sort_values("idx").itertuples(index=False)]
+        while True:
+            pairs = [(round(sum((a[c] - b[c]) ** 2 for c in LAB), 12) ** 0.5, i, j) for i, a in enumerate(entries) for j, b in enumerate(entries) if i < j and not (a["locked"] and b["locked"])]
+            best = min(pairs, default=None)
+            if best is None or best[0] >= threshold:
+                return pd.DataFrame(entries, columns=rows.columns).assign(idx=range(len(entries)))
+            a, b = entries[best[1]], entries[best[2]]
+            keep, gone = (a, b) if a["locked"] or (not b["locked"] and a["share"] >= b["share"]) else (b, a)
+            keep["share"] += gone["share"]
+            entries = [e for e in entries if e is not gone]
+
+    return palettes.groupBy("img").applyInPandas(run, palettes.schema)
+
+
+def union_strokes(palette: DataFrame, strokes: DataFrame) -> DataFrame:
+    """img, number of every thread that fills regions or sews strokes, once each."""
+    return palette.select("img", "number").union(strokes.select("img", "number")).distinct()
+
+
+def toggle_lock(locks: DataFrame, toggled: DataFrame) -> DataFrame:
+    """locks(number) with each toggled number taken out if it is there and put in if it is not."""
+    return locks.select("number").exceptAll(toggled.select("number")).union(toggled.select("number").exceptAll(locks.select("number"))).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 from .graph import adjacency, neighbours
+from .stencil import across, down
 
 
 def area_rank(sizes: DataFrame) -> DataFrame:
@@ -48,3 +49,11 @@ def region_graph(pixels: DataFrame, palette: DataFrame, mm_per_px: float) -> Dat
     stats, edges = region_stats(pixels), adjacency(pixels)
     out = area_rank(stats).join(importance(edges, stats, palette), ["img", "comp"], "left").join(enclosed_by(edges), ["img", "comp"], "left")
     return out.withColumn("area_mm2", F.col("area") * (mm_per_px * mm_per_px)).withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+
+
+def outline_sides(pixels: DataFrame) -> DataFrame:
+    """img, comp, sides: pixel sides of each region that face another region, the mask or the border."""
+    here = F.col("comp")
+    faces = [F.when(F.coalesce(f("comp").over(w) == here, F.lit(False)), 0).otherwise(1) for w in (across(), down()) for f in (F.lag, F.lead)]
+    counted = pixels.select("img", "comp", sum(faces[1:], faces[0]).alias("n"))
+    return counted.where("comp is not null").groupBy("img", "comp").agg(F.sum("n").alias("sides"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 
 
-
 def across() -> WindowSpec:
     """A row of pixels from left to right."""
     return Window.partitionBy("img", "y").orderBy("x")
@@ -89,8 +91,8 @@ def sobel(raster: DataFrame, columns: tuple[str, ...], out: str = "g2") -> DataF
 def contrast(raster: DataFrame, lightness: str = "ok_l") -> DataFrame:
     """Gradient size over half of the image's largest, at most 1."""
     g = sobel(raster, (lightness,), "__g2")
-    top = F.greatest(F.lit(1e-6), F.max(F.sqrt("__g2")).over(Window.partitionBy("img")))
-    return g.withColumn("contrast", F.least(F.lit(1.0), F.sqrt("__g2") / (top * 0.5))).drop("__g2")
+    top = g.groupBy("img").agg(F.greatest(F.lit(1e-6), F.sqrt(F.max("__g2"))).alias("__top"))  # a row an image
+    return g.join(top, "img").withColumn("contrast", F.least(F.lit(1.0), F.sqrt("__g2") / (F.col("__top") * 0.5))).drop("__g2", "__top")
 
 
 def ramp_mask(raster: DataFrame, columns: tuple[str, ...] = LAB, threshold: float = 0.06, feature: str | None = None) -> DataFrame:
@@ -111,18 +113,74 @@ def shifted(raster: DataFrame, offsets: list[tuple[int, int]], columns: list[str
     return raster.select("img", "x", "y", *columns, step).select("img", (F.col("x") - F.col("d.dx")).alias("x"), (F.col("y") - F.col("d.dy")).alias("y"), F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"), *columns)
 
 
-def mode_filter(labels: DataFrame, r: int) -> DataFrame:
-    """Majority label of a disc; ties keep the pixel's own label, else the lowest; null stays null.
+#: Side of a tile.
+TILE = 128
+
+
+def tiled(raster: DataFrame, r: int, columns: dict[str, str], run: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """Replace columns (name: type) by what run makes of them, tile by tile.
 
-    Votes are counted by (pixel, label) before anything is compared, so a pixel's rows shrink to its
-    distinct labels in the map-side combine.
+    A pixel goes to its own tile and to those whose margin of r it lies in, so one shuffle serves any
+    neighbourhood, and a group is at most a tile with its margin.  run gets the columns as planes (height x
+    width with the margin; numbers, nulls as nan) and which places hold a pixel, and returns planes.
     """
+    kinds = dict(raster.dtypes)
+    kinds.update(columns)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in raster.columns)
+
+    def spread(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - r) / TILE), F.floor((F.col(c) + r) / TILE)))
+
+    def tile(table: pa.Table) -> pa.Table:
+        tx, ty = table.column("__tx")[0].as_py(), table.column("__ty")[0].as_py()
+        x, y = (table.column(c).to_numpy() - t * TILE + r for c, t in (("x", tx), ("y", ty)))
+        side = TILE + 2 * r
+        there = np.zeros((side, side), bool)
+        there[y, x] = True
+        planes = {}
+        for c in columns:
+            planes[c] = np.full((side, side), np.nan)
+            planes[c][y, x] = table.column(c).to_numpy().astype(float)
+        made = run(planes, there)
+        own = (x >= r) & (x < r + TILE) & (y >= r) & (y < r + TILE)
+        table = table.drop_columns(["__tx", "__ty"]).filter(pa.array(own))
+        for c in columns:
+            value = made[c][y[own], x[own]]
+            kind = table.schema.field(c).type
+            at = table.schema.get_field_index(c)
+            table = table.set_column(at, c, pa.array(value, mask=np.isnan(value)).cast(kind))
+        return table
+
+    dealt = raster.withColumn("__tx", spread("x")).withColumn("__ty", spread("y"))
+    return dealt.groupBy("img", "__tx", "__ty").applyInArrow(tile, schema)
+
+
+def _moved(plane: np.ndarray, dx: int, dy: int, fill: float) -> np.ndarray:
+    """What lies dx and dy beside each place."""
+    out = np.full_like(plane, fill)
+    h, w = plane.shape
+    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = plane[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
+
+
+def mode_filter(labels: DataFrame, r: int) -> DataFrame:
+    """Majority label of a disc; ties keep the pixel's own label, else the lowest; null stays null."""
     if r < 1:
         return labels
-    votes = shifted(labels.where("label is not null"), disc(r), ["label"]).groupBy("img", "x", "y", F.col("label").alias("vote")).agg(F.count("*").alias("n"))
-    own = labels.where("label is not null")
-    best = own.join(votes, ["img", "x", "y"]).groupBy("img", "x", "y").agg(F.max(F.struct("n", (F.col("vote") == F.col("label")).cast("int"), -F.col("vote"), F.col("vote").alias("vote"))).alias("best"))
-    return labels.join(best, ["img", "x", "y"], "left").withColumn("label", F.when(F.col("label").isNotNull(), F.col("best.vote"))).drop("best")
+    offsets = disc(r)
+
+    def run(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
+        own = planes["label"]
+        best, most = np.full_like(own, np.nan), np.zeros(own.shape)
+        for v in np.unique(own[~np.isnan(own)]):
+            is_v = (own == v).astype(np.int16)
+            votes = sum(_moved(is_v, dx, dy, 0) for dx, dy in offsets)
+            rank = 2 * votes + (own == v)  # of equal votes the own label, then the lower one, which came first
+            better = rank > most
+            best[better], most[better] = v, rank[better]
+        return {"label": np.where(np.isnan(own), np.nan, best)}
+
+    return tiled(labels, r, {"label": dict(labels.dtypes)["label"]}, run)
 
 
 def ramp_reassign(pixels: DataFrame, palette: DataFrame, r: int = 2) -> DataFrame:
@@ -142,13 +200,22 @@ def bilateral(raster: DataFrame, columns: tuple[str, ...], sigma_px: float, sigm
     if sigma_px <= 0.3:
         return raster
     r = min(3, math.ceil(1.5 * sigma_px))
-    square = [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    near = shifted(raster, square, list(columns)).select("img", "x", "y", "dx", "dy", *[F.col(c).alias(f"n{c}") for c in columns])
-    d2 = sum(((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in columns), F.lit(0.0))
-    w = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / F.lit(2 * sigma_px**2)) * F.exp(-F.col("d2") / F.lit(2 * sigma_range**2))
-    weighed = raster.select("img", "x", "y", *columns).join(near, ["img", "x", "y"]).withColumn("d2", d2).where(F.col("d2") < (4 * sigma_range) ** 2).withColumn("w", w)
-    means = weighed.groupBy("img", "x", "y").agg(*[(F.sum(F.col(f"n{c}") * F.col("w")) / F.sum("w")).alias(c) for c in columns])
-    return raster.drop(*columns).join(means, ["img", "x", "y"])
+
+    def run(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
+        total = {c: np.zeros(there.shape) for c in columns}
+        weight = np.zeros(there.shape)
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                near = {c: _moved(planes[c], dx, dy, np.nan) for c in columns}
+                d2 = sum((planes[c] - near[c]) ** 2 for c in columns)
+                w = math.exp(-(dx * dx + dy * dy) / (2 * sigma_px**2)) * np.exp(-d2 / (2 * sigma_range**2))
+                use = d2 < (4 * sigma_range) ** 2  # false where there is no pixel
+                weight[use] += w[use]
+                for c in columns:
+                    total[c][use] += (near[c] * w)[use]
+        return {c: np.divide(total[c], weight, out=np.full(there.shape, np.nan), where=weight > 0) for c in columns}
+
+    return tiled(raster, r, dict.fromkeys(columns, "double"), run)
 
 
 def gaussian(raster: DataFrame, columns: tuple[str, ...], sigma: float) -> DataFrame:

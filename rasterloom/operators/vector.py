@@ -80,7 +80,7 @@ def chaikin(line: Column, corner_degrees: float = 80.0) -> Column:
     return F.when(n < 3, line).otherwise(F.concat(F.slice(line, 1, 1), F.flatten(inner), F.slice(line, -1, 1)))
 
 
-def simplify(lines: DataFrame, key: list[str], tolerance: float, rounds: int = 64) -> DataFrame:
+def simplify(lines: DataFrame, key: list[str], tolerance: float) -> DataFrame:
     """Douglas-Peucker on points(key..., seq, x, y): the points that stay.
 
     All lines split at once: a round finds, between two neighbouring kept points, the farthest point by
@@ -95,7 +95,7 @@ def simplify(lines: DataFrame, key: list[str], tolerance: float, rounds: int = 6
     by = Window.partitionBy(*key)
     along = by.orderBy("seq")
     now = table.keep(lines.select(*key, "seq", "x", "y").withColumn("kept", (F.col("seq") == F.min("seq").over(by)) | (F.col("seq") == F.max("seq").over(by))))
-    for _ in range(rounds):
+    while True:  # each round keeps at least one point more, or is the last
         here = F.struct("seq", "x", "y")
         spans = now.withColumn("a", F.last(F.when(F.col("kept"), here), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(F.when(F.col("kept"), here), ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing)))
         dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")

@@ -12,18 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import geometry, graph, palette, pattern, regions, stencil
-from ..operators.nearest import nearest_literal
 from ..functions.color import LAB
 from ..workspace import Rounds
 from . import params as P
 
 
 class Plan:
-    """Runs the stages for one image and keeps each stage's table by the key of all it depends on."""
+    """Runs the stages for all images of a raster and keeps each stage's table by the key of all it depends on."""
 
     def __init__(self, raster: DataFrame, width: int, height: int, library: DataFrame):
-        self.raster, self.width, self.height = raster, width, height
-        self.threads = [palette.Thread(r["ord"], r["number"], (r["ok_l"], r["ok_a"], r["ok_b"])) for r in library.select("ord", "number", *LAB).orderBy("ord").limit(4097).collect()]
+        self.raster, self.width, self.height, self.library = raster, width, height, library
         self.rounds = Rounds(raster.sparkSession, "plan")
         self.kept: dict[str, tuple[str, Any]] = {}
         self.timings: dict[str, float] = {}
@@ -55,15 +53,12 @@ class Plan:
         prepared = self._stage("prepare", [grade, p.blur_mm], working)
         stride = max(1, w * h // 60_000)
         look = [grade, p.blur_mm, s.thread_count, p.contrast_weight, p.merge_delta, list(s.locked)]
-        chosen = self._stage("palette", look, lambda: palette.merge_close(palette.extract_palette(palette.samples(prepared, stride, p.contrast_weight, p.ramp_weight), self.threads, s.thread_count, s.locked, p.halo), p.merge_delta))
-        colours = [(j, *t.lab) for j, (t, _, _) in enumerate(chosen)]
-        spark = self.raster.sparkSession
-        images = small.select("img").distinct()
-        table = images.join(F.broadcast(spark.createDataFrame(colours, "label int, ok_l double, ok_a double, ok_b double")))
+        chosen = self._stage("palette", look, lambda: palette.merge_close(palette.extract_palettes(palette.samples(prepared, stride, p.contrast_weight, p.ramp_weight), self.library, s.thread_count, s.locked, p.halo), p.merge_delta))
+        table = chosen.select("img", F.col("idx").alias("label"), *LAB)
         min_area = max(1, int(p.min_area_mm2 / (mm * mm)))
 
         def segment() -> DataFrame:
-            labelled = nearest_literal(prepared, colours)
+            labelled = palette.nearest_slot(prepared, table, "label", "label")
             labelled = stencil.ramp_reassign(labelled, table)
             labelled = stencil.mode_filter(labelled.select("img", "i", "x", "y", "label"), max(0, min(6, int(p.mode_radius_mm / mm + 0.5))))
             return graph.absorb_islands(labelled, table, min_area, p.keep_delta)
@@ -72,4 +67,6 @@ class Plan:
         pixels = self._stage("regions", [look, min_area, p.mode_radius_mm, p.keep_delta], lambda: graph.components(clean))
         graph_rows = regions.region_graph(pixels, table, mm)
         legend = pattern.legend(graph_rows.select("img", F.col("label").alias("palette_idx"), F.col("area_mm2").alias("area")))
-        return {"settings": asdict(s), "size": (w, h), "palette": chosen, "labels": clean, "regions": graph_rows, "legend": legend, "timings": dict(self.timings)}
+        sides = regions.outline_sides(pixels).withColumn("ring_mm", F.col("sides") * mm)
+        effort = pattern.estimate_effort(graph_rows.join(sides, ["img", "comp"]), self.raster.sparkSession.createDataFrame([], f"img {dict(pixels.dtypes)['img']}, number string, length_mm double"), s.thread_count, s.strands)
+        return {"settings": asdict(s), "size": (w, h), "palette": chosen, "labels": clean, "regions": graph_rows, "legend": legend, "effort": effort, "timings": dict(self.timings) | {"total": sum(self.timings.values())}}

@@ -44,16 +44,39 @@ def test_merge_chains_stop_at_cycles_and_outside(spark):
 
 def test_palette_recovers_flat_colours(spark, threads):
     px = quadrants(spark).withColumns(dict(zip(LAB, color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), strict=True))).withColumn("mask", F.lit(True)).withColumn("ramp", F.lit(False)).withColumn("contrast", F.lit(0.0))
-    library = [palette.Thread(r["ord"], r["number"], tuple(r[c] for c in LAB)) for r in threads.orderBy("ord").collect()]
     sample = palette.samples(px, 1, 1.0, 0.35)
-    found = palette.extract_palette(sample, library, 4)
-    assert {t.number for t, _, _ in found} == {"310", "B1", "321", "798"} and all(abs(s - 0.25) < 1e-9 for _, s, _ in found)
-    assert [t.lab[0] for t, _, _ in found] == sorted((t.lab[0] for t, _, _ in found), reverse=True)
-    locked = palette.extract_palette(sample, library, 4, ("800", "800", "nope"))
-    assert any(t.number == "800" and fixed for t, _, fixed in locked) and len({t.number for t, _, _ in locked}) == len(locked)
-    assert palette.extract_palette(sample.where("i < 0"), library, 4) == []
-    merged = palette.merge_close([(library[3], 0.3, False), (library[4], 0.7, False), (library[0], 0.0, True)], 0.05)
-    assert [t.number for t, _, _ in merged] == ["800", "310"] and merged[0][1] == pytest.approx(1.0)
+    found = palette.extract_palettes(sample, threads, 4).orderBy("idx").collect()
+    assert {r["number"] for r in found} == {"310", "B1", "321", "798"} and all(abs(r["share"] - 0.25) < 1e-9 for r in found)
+    assert [r["ok_l"] for r in found] == sorted((r["ok_l"] for r in found), reverse=True)
+    locked = palette.extract_palettes(sample, threads, 4, ("800", "800", "nope")).collect()
+    assert any(r["number"] == "800" and r["locked"] for r in locked) and len({r["number"] for r in locked}) == len(locked)
+    assert palette.extract_palettes(sample.where("i < 0"), threads, 4).collect() == []
+    lab = {r["number"]: [r[c] for c in LAB] for r in threads.collect()}
+    rows = [(0, j, j, n, *lab[n], share, fixed) for j, (n, share, fixed) in enumerate([("798", 0.3, False), ("800", 0.7, False), ("310", 0.0, True)])]
+    merged = palette.merge_close(spark.createDataFrame(rows, "img int, idx int, ord int, number string, ok_l double, ok_a double, ok_b double, share double, locked boolean"), 0.05).orderBy("idx").collect()
+    assert [r["number"] for r in merged] == ["800", "310"] and merged[0]["share"] == pytest.approx(1.0)
+
+
+def test_images_have_palettes_of_their_own(spark, threads):
+    one = quadrants(spark, 12)
+    two = one.where("y < 6").withColumn("img", F.lit(1))
+    both = one.unionAll(two).withColumns(dict(zip(LAB, color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), strict=True))).withColumn("mask", F.lit(True)).withColumn("ramp", F.lit(False)).withColumn("contrast", F.lit(0.0))
+    got = palette.extract_palettes(palette.samples(both, 1, 1.0), threads, 4).where("share > 0").collect()
+    assert {(r["img"], r["number"]) for r in got} == {(0, n) for n in ("310", "B1", "321", "798")} | {(1, "310"), (1, "B1")}
+
+
+def test_large_catalogues_are_dealt(spark, threads, monkeypatch):
+    want = [sorted(map(tuple, f.collect())) for f in (nearest.nearest_thread(threads.withColumnRenamed("number", "own"), ["own"], threads), nearest.rank_threads(threads.withColumnRenamed("number", "own"), ["own"], threads, 3))]
+    monkeypatch.setattr(nearest, "CHUNK", 2)
+    assert [sorted(map(tuple, f.collect())) for f in (nearest.nearest_thread(threads.withColumnRenamed("number", "own"), ["own"], threads), nearest.rank_threads(threads.withColumnRenamed("number", "own"), ["own"], threads, 3))] == want
+
+
+def test_strokes_and_locks(spark):
+    p = spark.createDataFrame([(0, "1"), (0, "2")], "img int, number string")
+    s = spark.createDataFrame([(0, "2"), (0, "3"), (0, "3")], "img int, number string")
+    assert sorted(r["number"] for r in palette.union_strokes(p, s).collect()) == ["1", "2", "3"]
+    one, two = (spark.createDataFrame([(n,) for n in x], "number string") for x in ("ab", "bc"))
+    assert sorted(r["number"] for r in palette.toggle_lock(one, two).collect()) == ["a", "c"]
 
 
 def test_plan_runs_reuses_stages_and_keeps_the_area(spark, threads):
@@ -61,10 +84,10 @@ def test_plan_runs_reuses_stages_and_keeps_the_area(spark, threads):
     settings = P.Settings(thread_count=4, width_mm=40, height_mm=40, min_detail_mm=1.0, color_fidelity=1.0)
     out = plan.run(settings)
     w, h = out["size"]
-    assert (w, h) == (256, 256) and {t.number for t, _, _ in out["palette"]} == {"310", "B1", "321", "798"}
+    assert (w, h) == (256, 256) and {r["number"] for r in out["palette"].collect()} == {"310", "B1", "321", "798"}
     legend = out["legend"].collect()
     assert len(legend) == 4 and sum(r["share"] for r in legend) == pytest.approx(1) and sum(r["area"] for r in legend) == pytest.approx(1600)
-    assert set(plan.run(settings)["timings"]) == set()
+    assert out["effort"].count() == 1 and set(plan.run(settings)["timings"]) == {"total"}
 
 
 def test_params():
