@@ -6,6 +6,7 @@ Doubles are rounded on both sides; integers and strings are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import color
 from .functions.text import file_name, xml_escape
 from .functions.color import LAB
 from .operators import export, geometry, graph, nearest, palette, pattern, regions, stencil, vector
+from .sources import catalogue
 from .sources.lattice import RASTER_SQL, THREADS_SQL, event_raster, part_threads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,6 +322,16 @@ def border_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stencils
 
 
+def _cc_sql(src: str, near: str) -> str:
+    return f"""reach(img, i, root) as (select img, i, i from {src} where label is not null union select q.img, q.i, r.root from reach r join {src} p on p.img = r.img and p.i = r.i join {src} q on q.img = p.img and {near} and q.label = p.label where r.root < q.i),
+  roots as (select img, i, min(root) as root from reach group by img, i), cc as (select s.*, cast(dense_rank() over (partition by s.img order by root) - 1 as integer) as comp from {src} s join roots using (img, i))"""
+
+
+_N4 = "abs(q.x - p.x) + abs(q.y - p.y) = 1"
+_N8 = "greatest(abs(q.x - p.x), abs(q.y - p.y)) = 1"
+_CC_HAT = _cc_sql("hat", _N8)
+
+
 def _square(f: str, c: str, r: int, src: str, out: str, name: str) -> str:
     return f"{name}_x as (select *, {f}({c}) over (partition by img, y order by x rows between {r} preceding and {r} following) as sq_ from {src}), {name} as (select * exclude (sq_), {f}(sq_) over (partition by img, x order by y rows between {r} preceding and {r} following) as {out} from {name}_x)"
 
@@ -405,11 +417,39 @@ def fabric_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("img", "i", ((F.col("eroded") == 1) & (F.col("a") >= 128)).alias("mask"))
 
 
-@query()
+_KERNEL = [math.exp(-(d * d) / 2) for d in range(-3, 4)]
+_KERNEL_SQL = "kern(d, k) as (values " + ", ".join(f"({d}, {k / sum(_KERNEL)!r}::double)" for d, k in zip(range(-3, 4), _KERNEL, strict=True)) + ")"
+
+
+def _blur_sql(src: str, name: str, at: str) -> str:
+    sums = ", ".join(f"sum(k * q.{c}) as {c}" for c in LAB)
+    return f"{name} as (select p.img, p.i, p.x, p.y, p.h, {sums} from {src} p cross join kern join {src} q on q.img = p.img and {at} group by all)"
+
+
+@query(f"""with {PIXELS_SQL}, {_KERNEL_SQL}, g0 as (select *, max(y) over (partition by img) as h from px), {_blur_sql('g0', 'g1', 'q.y = p.y and q.x = greatest(0, least(99, p.x + d))')}, {_blur_sql('g1', 'g2', 'q.x = p.x and q.y = greatest(0, least(p.h, p.y + d))')}
+select img, i, round(ok_l, 6) as l_ok, round(ok_a, 6) as a_ok, round(ok_b, 6) as b_ok from g2""")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.gaussian(pixels(spark, sf_dir), LAB, 1.0).select("img", "i", r6("ok_l", "l_ok"), r6("ok_a", "a_ok"), r6("ok_b", "b_ok"))
 
 
+@query(f"""with {RASTER_SQL}, g0 as (select *, max(y) over (partition by img) as h from raster),
+  w as (select p.img, p.i, q.g from g0 p cross join range(-2, 3) a(dx) cross join range(-2, 3) b(dy) join g0 q on q.img = p.img and q.x = greatest(0, least(99, p.x + dx)) and q.y = greatest(0, least(p.h, p.y + dy)))
+select img, i, round(list_sort(list(g))[13] / 255e0, 9) as median from w group by img, i""")
+def local_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.median_at(event_raster(spark, sf_dir), "g", 2).select("img", "i", F.round("g", 9).alias("median"))
+
+
+@query(f"""with recursive {PIXELS_SQL}, {_square('max', 'ok_l', 2, 'px', 'c1', 's1')}, {_square('min', 'c1', 2, 's1', 'c2', 's2')}, {_square('min', 'ok_l', 2, 's2', 'o1', 's3')}, {_square('max', 'o1', 2, 's3', 'o2', 's4')},
+  hat as (select img, i, x, y, ok_l, c2 - ok_l as dark, ok_l - o2 as light, case when greatest(c2 - ok_l, ok_l - o2) > 0.3 then 1 end as label from s4),
+  {_CC_HAT}, pk as (select *, max(greatest(dark, light)) over (partition by img, comp) as peak from cc), core as (select * from pk where greatest(dark, light) >= 0.5 * peak)
+select img, comp, count(*) as core_pixels, round(avg(ok_l), 6) as lightness, sum(cast(dark >= light as integer)) * 2 >= count(*) as is_dark from core group by img, comp""")
+def line_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hat = stencil.top_hat(pixels(spark, sf_dir), "ok_l", 2).withColumn("response", F.greatest("dark", "light")).withColumn("label", F.when(F.col("response") > 0.3, 1))
+    comps = graph.components(hat.select("img", "i", "x", "y", "label"), corners=True).where("comp is not null").select("img", "i", "comp")
+    cores = regions.component_core(hat.join(comps, ["img", "i"]))
+    return regions.component_polarity(cores).select("img", "comp", "core_pixels", r6("lightness", "lightness"), "is_dark")
+
+
 # --- graph and regions
 
 
@@ -422,15 +462,6 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(kind_labels(spark, sf_dir), "label")
 
 
-def _cc_sql(src: str, near: str) -> str:
-    return f"""reach(img, i, root) as (select img, i, i from {src} where label is not null union select q.img, q.i, r.root from reach r join {src} p on p.img = r.img and p.i = r.i join {src} q on q.img = p.img and {near} and q.label = p.label where r.root < q.i),
-  roots as (select img, i, min(root) as root from reach group by img, i), cc as (select s.*, cast(dense_rank() over (partition by s.img order by root) - 1 as integer) as comp from {src} s join roots using (img, i))"""
-
-
-_N4 = "abs(q.x - p.x) + abs(q.y - p.y) = 1"
-_N8 = "greatest(abs(q.x - p.x), abs(q.y - p.y)) = 1"
-
-
 @query(f"with recursive {KINDS_SQL}, {_cc_sql('kinds', _N4)} select k.img, k.i, cc.comp from kinds k left join cc using (img, i)")
 def cc4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(kind_labels(spark, sf_dir)).select("img", "i", "comp")
@@ -470,11 +501,21 @@ def region_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("img", "comp", r6("importance", "importance"))
 
 
-@query()
+_EDGE_SQL = "e as (select k.*, coalesce(bool_or(n.v is distinct from k.v), false) or count(n.i) < 4 as edge from {t} k left join {t} n on n.img = k.img and abs(n.x - k.x) + abs(n.y - k.y) = 1 group by all)"
+_STEPS = "min({seed} + greatest(abs(q.x - p.x), abs(q.y - p.y)) + 0.4142e0 * least(abs(q.x - p.x), abs(q.y - p.y)))"
+
+
+@query(f"with {KINDS_SQL}, k as (select img, i, x, y, coalesce(label, -1) as v from kinds), {_EDGE_SQL.format(t='k')} select p.img, p.i, round({_STEPS.format(seed='0.5e0')}, 6) as dist from e p join e q on q.img = p.img and q.edge group by p.img, p.i")
 def chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chamfer(kind_labels(spark, sf_dir), "label").select("img", "i", r6("dist", "dist"))
 
 
+@query(f"""with {MASK_SQL}, k as (select img, i, x, y, "on" as v from m), {_EDGE_SQL.format(t='k')}
+select p.img, p.i, round(case when p.v = 0 then 0 else {_STEPS.format(seed='(case when q.v = 0 then 0 else 0.5e0 end)')} end, 6) as dist from e p join e q on q.img = p.img and (q.v = 0 or q.edge) group by p.img, p.i, p.v""")
+def mask_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mask_distance(high_mask(spark, sf_dir)).select("img", "i", r6("dist", "dist"))
+
+
 @query()
 def inpaint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = kind_labels(spark, sf_dir)
@@ -636,7 +677,14 @@ def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rings(spark, sf_dir).select("k", F.round(vector.polyline_length(F.col("ring")), 5).alias("length"))
 
 
-@query()
+_TURN = "abs(degrees(atan2((x - px) * (ny - y) - (y - py) * (nx - x) + 0e0, (x - px) * (nx - x) + (y - py) * (ny - y) + 0e0)))"  # + 0 makes -0 a 0
+
+
+@query(f"""with {_LINE_SQL}, o as (select *, row_number() over w as n, count(*) over (partition by k) as c, lag(x) over w as px, lag(y) over w as py, lead(x) over w as nx, lead(y) over w as ny from pt window w as (partition by k order by seq, x, y)),
+  t as (select *, n = 1 or n = c or c < 3 or coalesce({_TURN}, 0) >= 80 as stays from o),
+  s as (select k, 2 * n as s, x, y from t where stays union all select k, 2 * n, x + (px - x) * 0.25e0, y + (py - y) * 0.25e0 from t where not stays union all select k, 2 * n + 1, x + (nx - x) * 0.25e0, y + (ny - y) * 0.25e0 from t where not stays),
+  l as (select k, s, x, y, lead(x) over (partition by k order by s) as bx, lead(y) over (partition by k order by s) as by_ from s)
+select k, cast(count(*) as integer) as points, round(coalesce(sum(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y))), 0), 5) as length from l group by k""")
 def chaikin(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = _rings(spark, sf_dir).select("k", vector.chaikin(F.col("ring")).alias("line"))
     return smooth.select("k", F.size("line").alias("points"), F.round(vector.polyline_length(F.col("line")), 5).alias("length"))
@@ -648,6 +696,38 @@ def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.simplify(places, ["k"], 40.0).select("k", "seq", "x", "y")
 
 
+# --- the catalogue
+
+
+_ABBREVIATED = "p_name || ' Vy?Dk  ' || p_type || ' Lt Grn M'"
+
+
+def _cleaned_sql() -> str:
+    e = f"regexp_replace(trim({_ABBREVIATED}), '\\s+', ' ', 'g')"
+    for short, full in catalogue.ABBREVIATIONS:
+        e = f"regexp_replace({e}, '\\b{short}\\b', '{full}', 'g')"
+    return f"trim(regexp_replace(regexp_replace({e}, '\\?', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"select p_partkey, {_cleaned_sql()} as name from part")
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", catalogue.clean_name(F.concat("p_name", F.lit(" Vy?Dk  "), "p_type", F.lit(" Lt Grn M"))).alias("name"))
+
+
+@query(f"with {THREADS_SQL} select number, cast(row_number() over (order by ord * 7 % 23, ord % 5, number) - 1 as integer) as ord from threads")
+def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("ord")
+    rows = part_threads(spark, sf_dir).select("number", F.concat((k * 7 % 23).cast("string"), F.lit("-"), (k % 5).cast("string")).alias("card_row"))
+    return catalogue.ordered(rows).select("number", "ord")
+
+
+@query(f"with {THREADS_SQL}, {_lab_sql('threads', 'lib')}, {_cielab_sql('lib', 'cie')} select number, round(cl, 5) as l_star, round(ca, 5) as a_star, round(cb, 5) as b_star, round(ok_l, 6) as l_ok, round(ok_a, 6) as a_ok, round(ok_b, 6) as b_ok from cie")
+def thread_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = catalogue.build_library(part_threads(spark, sf_dir))
+    return built.select("number", *[F.round(F.col("lab")[n], 5).alias(f"{n.lower()}_star") for n in "Lab"], r6("ok_l", "l_ok"), r6("ok_a", "a_ok"), r6("ok_b", "b_ok"))
+
+
 # --- exports
 
 
@@ -661,15 +741,17 @@ def _legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern.legend(rows).join(t.select(F.col("ord").alias("palette_idx"), "number", "name", "hex"), "palette_idx")
 
 
-@query(f"""with {_LEG_SQL} select img, legend_no as no, legend_no || ',"' || replace(number, '"', '""') || '","' || replace(name, '"', '""') || '",' || hex || ',' || regions || ',' || printf('%.1f', round(area, 1)) || ',' || printf('%.4f', round(share, 4)) as line from le""")
+@query(f"""with {_LEG_SQL} select img, legend_no as no, legend_no || ',"' || replace(number, '"', '""') || '","' || replace(name, '"', '""') || '",' || hex || ',' || regions || ',' || printf('%.1f', round(area, 1)) || ',' || printf('%.4f', round(share, 4)) as line from le union all select distinct img, 0, 'legend_index,dmc,name,hex,regions,area_mm2,share' from le""")
 def thread_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _legend_rows(spark, sf_dir).withColumns({"area": F.round("area", 1), "share": F.round("share", 4)})
-    return export.thread_csv(rows)
+    return export.thread_csv_file(rows)
 
 
-@query(f"""with {_LEG_SQL} select img, cast(row_number() over (partition by img order by round(area, 4) desc, legend_no) as integer) as no, 'Thread ' || rpad(number, greatest(6, length(number))::integer, ' ') || ' ' || rpad(name, greatest(34, length(name))::integer, ' ') || ' ~' || cast(floor(round(share, 6) * 100 + 0.5) as integer) || '% of area, ' || regions || ' region' || case when regions = 1 then '' else 's' end as line from le""")
+@query(f"""with {_LEG_SQL} select img, cast(row_number() over (partition by img order by round(area, 4) desc, legend_no) as integer) as no, 'Thread ' || rpad(number, greatest(6, length(number))::integer, ' ') || ' ' || rpad(name, greatest(34, length(name))::integer, ' ') || ' ~' || cast(floor(round(share, 6) * 100 + 0.5) as integer) || '% of area, ' || regions || ' region' || case when regions = 1 then '' else 's' end as line from le
+union all select distinct img, -1, 'pattern — Thread list' from le union all select distinct img, 0, '' from le
+union all select img, cast(count(*) + 1 as integer), '' from le group by img union all select img, cast(count(*) + 2 as integer), count(*) || ' colours. Area shares are approximate.' from le group by img""")
 def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.thread_text(_legend_rows(spark, sf_dir).withColumns({"area": F.round("area", 4), "share": F.round("share", 6)}))
+    return export.thread_list(_legend_rows(spark, sf_dir).withColumns({"area": F.round("area", 4), "share": F.round("share", 6)}), "pattern")
 
 
 @query(f"""with {_NEXT_SQL} select k, 'M' || string_agg(cast(cast(x as bigint) as varchar) || ' ' || cast(cast(y as bigint) as varchar), 'L' order by n) || 'Z' as d from o where c >= 3 group by k""")

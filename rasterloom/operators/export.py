@@ -16,6 +16,24 @@ def thread_text(legend: DataFrame, library: str = "Thread") -> DataFrame:
     return legend.select("img", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("area"), "legend_no")).alias("no"), line.alias("line"))
 
 
+def thread_list(legend: DataFrame, project: str, library: str = "Thread") -> DataFrame:
+    """img, no, line: the whole list with its title above (from no -1) and the number of colours below."""
+    rows = thread_text(legend, library)
+    total = rows.groupBy("img").agg(F.max("no").alias("n"))
+    head = total.select("img", F.explode(F.array(F.struct(F.lit(-1).alias("no"), F.lit(f"{project} — {library} list").alias("line")), F.struct(F.lit(0).alias("no"), F.lit("").alias("line")))).alias("r"))
+    foot = total.select("img", F.explode(F.array(F.struct((F.col("n") + 1).alias("no"), F.lit("").alias("line")), F.struct((F.col("n") + 2).alias("no"), F.concat(F.col("n").cast("string"), F.lit(" colours. Area shares are approximate.")).alias("line")))).alias("r"))
+    return rows.unionByName(head.unionAll(foot).select("img", "r.no", "r.line"))
+
+
+#: Fixed value: the header of the CSV.
+CSV_HEADER = "legend_index,dmc,name,hex,regions,area_mm2,share"
+
+
+def thread_csv_file(legend: DataFrame) -> DataFrame:
+    """img, no, line: the CSV rows under the header (no 0)."""
+    return thread_csv(legend).unionByName(legend.select("img").distinct().select("img", F.lit(0).alias("no"), F.lit(CSV_HEADER).alias("line")))
+
+
 def csv_field(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 

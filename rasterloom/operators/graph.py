@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
@@ -53,27 +53,42 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return listed.select("img", "id", F.transform("l", lambda s: F.struct(s["id"].alias("id"), (-s["n"]).alias("shared"))).alias("neighbours"))
 
 
-def chamfer(regions: DataFrame, column: str = "comp", limit: int = 10_000) -> DataFrame:
-    """Add dist: chamfer distance (1 and 1.4142 a step, 0.5 at the seed) to another region or the border.
-
-    Rounds of relaxation over row and column windows until nothing changes; a pixel d steps from its
-    border is final after d rounds.
-    """
-    rounds = Rounds(regions.sparkSession, "chamfer")
-    edge = F.lit(False)
-    for w in (across(), down()):
-        for f in (F.lag, F.lead):
-            edge = edge | F.coalesce(f(F.coalesce(F.col(column), F.lit(-1))).over(w) != F.coalesce(F.col(column), F.lit(-1)), F.lit(True))
-    now = rounds.keep(regions.withColumn("dist", F.when(edge, F.lit(0.5)).otherwise(F.lit(float("inf")))))
-    for _ in range(limit):
+def _relaxed(rounds: Rounds, now: DataFrame) -> DataFrame:
+    """dist as far as steps of 1 and 1.4142 can lower it: rounds over row and column windows until nothing
+    changes; a pixel d steps from its nearest seed is final after d rounds."""
+    while True:
         side = F.least(*[F.coalesce(f("dist").over(across()), F.lit(float("inf"))) for f in (F.lag, F.lead)])
         wide = now.withColumn("__s", side)
         near = F.least(F.col("__s") + 1.0, *[F.coalesce(f("dist").over(down()), F.lit(float("inf"))) + 1.0 for f in (F.lag, F.lead)], *[F.coalesce(f("__s").over(down()), F.lit(float("inf"))) + 1.4142 for f in (F.lag, F.lead)])
         after = rounds.keep(wide.withColumn("__n", near).withColumn("__moved", F.col("__n") < F.col("dist")).withColumn("dist", F.least("dist", "__n")).drop("__s", "__n"))
+        rounds.drop(now)
         now = after.drop("__moved")
         if after.where("__moved").isEmpty():
-            break
-    return now
+            return now
+
+
+def _at_edge(value: Column) -> Column:
+    """Whether one of the four pixels beside differs or lies outside."""
+    edge = F.lit(False)
+    for w in (across(), down()):
+        for f in (F.lag, F.lead):
+            edge = edge | F.coalesce(f(value).over(w) != value, F.lit(True))
+    return edge
+
+
+def chamfer(regions: DataFrame, column: str = "comp") -> DataFrame:
+    """Add dist: chamfer distance (1 and 1.4142 a step, 0.5 at the seed) to another region or the border."""
+    rounds = Rounds(regions.sparkSession, "chamfer")
+    seeds = F.when(_at_edge(F.coalesce(F.col(column), F.lit(-1))), F.lit(0.5)).otherwise(F.lit(float("inf")))
+    return _relaxed(rounds, rounds.keep(regions.withColumn("dist", seeds)))
+
+
+def mask_distance(mask: DataFrame, column: str = "on") -> DataFrame:
+    """Add dist: chamfer distance of each pixel of a 0/1 mask to the nearest 0, 0.5 on the mask's own edge."""
+    rounds = Rounds(mask.sparkSession, "distance")
+    on = F.coalesce(F.col(column).cast("int"), F.lit(0))
+    seeds = F.when(on == 0, F.lit(0.0)).when(_at_edge(on), F.lit(0.5)).otherwise(F.lit(float("inf")))
+    return _relaxed(rounds, rounds.keep(mask.withColumn("dist", seeds)))
 
 
 def absorb_islands(labels: DataFrame, palette: DataFrame, min_area: int, keep_delta: float, passes: int = 8) -> DataFrame:

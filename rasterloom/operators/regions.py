@@ -57,3 +57,17 @@ def outline_sides(pixels: DataFrame) -> DataFrame:
     faces = [F.when(F.coalesce(f("comp").over(w) == here, F.lit(False)), 0).otherwise(1) for w in (across(), down()) for f in (F.lag, F.lead)]
     counted = pixels.select("img", "comp", sum(faces[1:], faces[0]).alias("n"))
     return counted.where("comp is not null").groupBy("img", "comp").agg(F.sum("n").alias("sides"))
+
+
+def component_core(pixels: DataFrame) -> DataFrame:
+    """Add peak, the largest response of the pixel's component, and core: at least half of it."""
+    peaks = pixels.where("comp is not null").groupBy("img", "comp").agg(F.max("response").alias("peak"))
+    return pixels.join(peaks, ["img", "comp"], "left").withColumn("core", F.coalesce(F.col("response") >= 0.5 * F.col("peak"), F.lit(False)))
+
+
+def component_polarity(pixels: DataFrame) -> DataFrame:
+    """img, comp, core_pixels, lightness (mean of the core), is_dark (most core pixels answer darker than
+    lighter) of pixels(img, comp, core, ok_l, dark, light)."""
+    votes = F.sum((F.col("dark") >= F.col("light")).cast("int"))
+    by = pixels.where("core").groupBy("img", "comp").agg(F.count("*").alias("core_pixels"), F.avg("ok_l").alias("lightness"), votes.alias("votes"))
+    return by.withColumn("is_dark", F.col("votes") * 2 >= F.col("core_pixels")).drop("votes")

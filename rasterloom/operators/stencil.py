@@ -218,6 +218,21 @@ def bilateral(raster: DataFrame, columns: tuple[str, ...], sigma_px: float, sigm
     return tiled(raster, r, dict.fromkeys(columns, "double"), run)
 
 
+def median_at(raster: DataFrame, column: str, r: int, where: Column | None = None) -> DataFrame:
+    """Replace a column of values from 0 to 255 by the median of the (2r + 1)-square around, over 255; the
+    border repeats.  Only pixels that meet the condition get a value, others null."""
+
+    def run(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
+        y, x = np.flatnonzero(there.any(axis=1)), np.flatnonzero(there.any(axis=0))
+        side = np.arange(len(there))
+        whole = planes[column][np.clip(side, y[0], y[-1])][:, np.clip(side, x[0], x[-1])]
+        around = [_moved(whole, dx, dy, 0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+        return {column: np.median(np.stack(around), axis=0) / 255}
+
+    out = tiled(raster.withColumn(column, F.col(column).cast("double")), r, {column: "double"}, run)
+    return out if where is None else out.withColumn(column, F.when(where, F.col(column)))
+
+
 def gaussian(raster: DataFrame, columns: tuple[str, ...], sigma: float) -> DataFrame:
     """Separable Gaussian; the border repeats, which a window's cut frame is given as extra weight."""
     r = max(1, math.ceil(3 * sigma))

@@ -53,6 +53,12 @@ def signed_area(ring: Column) -> Column:
     return F.aggregate(_steps(ring, True), F.lit(0.0), lambda acc, s: acc + s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"]) / F.lit(2.0)
 
 
+def ring_sort(rings: Column) -> Column:
+    """Rings of a region with the largest absolute area, the outer one, first."""
+    keyed = F.transform(rings, lambda r, i: F.struct((-F.abs(signed_area(r))).alias("a"), i.alias("i"), r.alias("r")))
+    return F.transform(F.array_sort(keyed), lambda k: k["r"])
+
+
 def polyline_length(line: Column, closed: bool = False) -> Column:
     return F.aggregate(_steps(line, closed), F.lit(0.0), lambda acc, s: acc + F.hypot(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]))
 
