@@ -5,32 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import delete
+from ..workspace import delete, versions
 
 SCHEMA = "id string, saved bigint, settings string, source string"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    names = [f.getPath().getName() for f in store.listStatus(folder)]
-    done = [n for n in names if n.startswith("v") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
-
-
 def load_projects(spark: SparkSession, path: str) -> DataFrame:
     """All saved projects (id, saved, settings, source); empty if nothing was saved."""
-    versions = _versions(spark, path)
-    return spark.read.schema(SCHEMA).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], SCHEMA)
+    found = versions(spark, path)
+    return spark.read.schema(SCHEMA).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], SCHEMA)
 
 
 def _write(spark: SparkSession, path: str, table: DataFrame) -> None:
-    versions = _versions(spark, path)
-    at = versions[-1] + 1 if versions else 0
-    table.write.parquet(f"{path}/v{at}")
-    for old in versions[:-1]:  # the last one stays for readers that began before
+    found = versions(spark, path)
+    table.write.parquet(f"{path}/v{found[-1] + 1 if found else 0}")
+    for old in found[:-1]:  # the last one stays for readers that began before
         delete(spark, f"{path}/v{old}")
 
 

@@ -35,6 +35,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions (folders v0, v1, ... with a success marker) under a path."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    store = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(make(path)):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(make(path))]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and store.exists(make(f"{path}/{n}/_SUCCESS")))
+
+
 class Rounds:
     """Tables of an iteration: each round is written and read back, which cuts the lineage on storage
     that outlives executors."""
