@@ -7,12 +7,15 @@ about a fifth of all windows, finds every pair of equal windows.
 ``FingerprintIndex`` keeps the postings (anchor, doc_id) of past batches as immutable runs: tables
 bucketed by anchor and sorted by anchor within each bucket.  A new batch becomes a run and is
 merge-joined, bucket by bucket, with the runs there are; anchors found in more than one document
-are suspects.  When a level holds ``fanout`` runs, they are merged into one run of the next level.
+are suspects.  When a level holds ``fanout`` runs, they are merged into one run of the next level.  An
+index with a path of its own outlives the session: its manifest, a versioned table beside the runs, says
+which runs count, and opening it registers them again.
 
-``remove_repeats`` verifies: documents with suspect anchors emit the fingerprints of exactly those windows
-(64 bits of the window beside 64 bits of its anchor), each window's smallest document is its owner,
-and all later documents lose the words it covers.  What meets at a hot window is a row for each
-batch of documents, and it streams by in sorted order.
+``remove_repeats`` verifies: documents with suspect anchors emit the fingerprints of exactly those windows,
+each window's smallest document is its owner, and all later documents lose the words it covers.  A
+fingerprint is a 64-bit hash of the window beside the 64-bit hash of its anchor, both made of 64-bit word
+hashes; texts themselves are not compared.  What meets at a hot window is a row for each batch of
+documents, and it streams by in sorted order.
 
 Defined cases: null text has no words; a null doc_id neither removes nor loses anything; rows of one
 doc_id count as one document and never remove from each other; documents under ``WINDOW`` words
@@ -32,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import delete, versions
 from .store import Workspace
 from .words import Words, as_long, gram_places, grams, slices
 
 WINDOW, GRAM = 13, 5
-_POSTING = "anchor long, doc_id long"
+#: Text that a bucket's postings come from at most, before the number of shuffle partitions asks for more.
+BUCKET_BYTES = 512 << 20
+_POSTING = "anchor bigint, doc_id bigint"
+_MANIFEST = "level int, place int, name string, buckets int"
 
 
 def window_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,19 +153,41 @@ def _free_shuffles(spark: SparkSession) -> None:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id), merged level by level."""
+    """Sorted immutable runs of (anchor, doc_id), merged level by level.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    With a path the index is opened if it is there, and kept; without one it goes when it is closed.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, path: str | None = None, text_bytes: int = 0):
+        self.spark, self.fanout, self.kept = spark, fanout, path is not None
         self.work = Workspace(spark, "fingerprints")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path.rstrip("/") if path else self.work.path
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // BUCKET_BYTES))
         self.levels: list[list[str]] = []
+        found = versions(spark, f"{self.path}/manifest") if self.kept else []
+        if found:
+            for r in spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/v{found[-1]}").orderBy("level", "place").collect():  # a row a run
+                self.buckets = r["buckets"]
+                while len(self.levels) <= r["level"]:
+                    self.levels.append([])
+                if r["name"]:
+                    self.levels[r["level"]].append(r["name"])
+                    at = f"{self.path}/{r['name']}"
+                    spark.sql(f"create table if not exists {r['name']} ({_POSTING}) using parquet clustered by (anchor) sorted by (anchor) into {self.buckets} buckets location '{at}'")
+
+    def _save(self) -> None:
+        """Make the runs there are the ones that count."""
+        if self.kept:
+            rows = [(k, i, name, self.buckets) for k, level in enumerate(self.levels) for i, name in enumerate(level or [""])]
+            found = versions(self.spark, f"{self.path}/manifest")
+            self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/v{found[-1] + 1 if found else 0}")
+            for old in found[:-1]:
+                delete(self.spark, f"{self.path}/manifest/v{old}")
 
     def _write(self, postings: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex[:12]}"
-        at = f"{self.work.path}/{name}"
         dealt = postings.repartition(self.buckets, "anchor").distinct()
-        dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", at).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -177,6 +206,7 @@ class FingerprintIndex:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(name)
+        self._save()
         return suspects
 
     def compact(self) -> None:
@@ -190,12 +220,10 @@ class FingerprintIndex:
                     self.levels.append([])
                 self.levels[depth + 1].append(self._write(merged))
                 self.levels[depth] = []
-                self._delete(level)
-
-    def _delete(self, names: list[str]) -> None:
-        for name in names:
-            self.work.drop(self.spark.table(name))
-            self.spark.sql(f"drop table {name}")
+                self._save()
+                for name in level:
+                    self.spark.sql(f"drop table {name}")
+                    delete(self.spark, f"{self.path}/{name}")
 
     def postings(self, suspects: DataFrame) -> DataFrame:
         """(anchor, doc_id) of every indexed document that has one of the suspect anchors."""
@@ -206,23 +234,33 @@ class FingerprintIndex:
         return out
 
     def close(self) -> None:
-        self._delete([name for level in self.levels for name in level])
+        """Take the runs out of the session's catalogue; the files of an index without a path go too."""
+        for name in (name for level in self.levels for name in level):
+            self.spark.sql(f"drop table {name}")
+            if not self.kept:
+                delete(self.spark, f"{self.path}/{name}")
         self.levels = []
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int = 4, fanout: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int = 4, fanout: int = 4, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """Return doc_id, the carried columns of docs, n_words, n_removed, kept_text for every row of
     docs(doc_id, text, ...).
 
     Every word is removed that a window covers whose word sequence also starts in a document with a
-    smaller doc_id.  The documents enter the index in ``batches`` ranges of doc_id.
+    smaller doc_id.  The documents enter an index of their own in ``batches`` ranges of doc_id.  With an
+    index of earlier batches docs are its next batch, and history(doc_id, text) holds the documents
+    indexed before, of which only those with suspect anchors are read on to verify.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = FingerprintIndex(spark, fanout)
+    own = index is None
+    if index is None:
+        index = FingerprintIndex(spark, fanout, text_bytes=rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        cuts = rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) or []
+        edges = [None, *sorted({int(c) for c in cuts}), None]
+    else:
+        edges = [None, None]
     work = index.work
-    cuts = rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) or []
-    edges = [None, *sorted({int(c) for c in cuts}), None]
     suspects = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = rows
@@ -235,9 +273,11 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
         _free_shuffles(spark)
         index.compact()
     listed = work.keep(index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
-    index.close()
+    if own:
+        index.close()
     _free_shuffles(spark)
-    windows = rows.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
+    known = rows if history is None else rows.unionByName(history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    windows = known.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
     # rows that are lost already are dealt by document, so that they cannot pile up at their window
     dealt = windows.repartition(F.when(F.col("lost"), F.xxhash64("doc_id")).otherwise(F.xxhash64("window", "anchor"))).sortWithinPartitions("window", "anchor", "doc_id")
     lost = work.keep(dealt.mapInArrow(_losers, "doc_id long, window long").groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "lost")

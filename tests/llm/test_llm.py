@@ -123,6 +123,22 @@ def test_index_merges_levels(spark, docs):
     index.close()
 
 
+def test_index_is_reopened_for_each_batch(spark, docs, tmp_path):
+    """Batch by batch, with the index closed and opened between, gives what all at once gives."""
+    at = f"file://{tmp_path}/index"
+    want = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(docs).collect()}
+    got, edges = {}, [-1, 60, 110, 10**9]
+    for low, high in zip(edges[:-1], edges[1:]):
+        index = substring.FingerprintIndex(spark, 2, path=at)
+        batch, before = (docs.where((F.col("doc_id") > a) & (F.col("doc_id") <= b)) for a, b in ((low, high), (-1, low)))
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(batch, index=index, history=before).collect()}
+        index.close()
+    last = substring.FingerprintIndex(spark, 2, path=at)
+    assert sum(map(len, last.levels)) == 2 and got == {i: v for i, v in want.items() if i is not None}
+    last.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 PAGES = [(1, "http://a/x", "p" * 1200), (2, "http://a/y", "p" * 1200), (3, None, "short"), (4, "u\r\nv", "short"), (5, "z", None), (6, "http://b", "é" * 700), (9, "http://c", "p" * 1200), (None, "n", "null id")]
 
 
