@@ -58,7 +58,9 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
             break
         state = (seen["n"], seen["h"])
         was, limit = now, weight_limit(2 * seen["n"])
-        now = keep(_small_star(_large_star(now, limit), limit).distinct())
+        large = keep(_large_star(now, limit).distinct())  # written, so that the next plan reads it once and not for each of its uses
+        now = keep(_small_star(large, limit).distinct())
         if drop is not None:
             drop(was)
+            drop(large)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

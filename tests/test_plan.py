@@ -9,7 +9,7 @@ from rasterloom.functions.color import LAB
 from rasterloom.operators import export, nearest, palette, pattern
 from rasterloom.plans import params as P
 from rasterloom.plans.pipeline import Plan
-from rasterloom.sources import catalogue, images
+from rasterloom.sources import catalogue, images, projects
 
 COLOURS = [("310", 0, 0, 0), ("B1", 255, 255, 255), ("321", 200, 20, 40), ("798", 20, 60, 190), ("800", 25, 65, 185)]
 
@@ -138,3 +138,21 @@ def test_bmp(spark, tmp_path):
     assert [(r["r"], r["g"], r["b"]) for r in got] == [tuple(map(int, p)) for p in rgb.reshape(-1, 3)] and {r["a"] for r in got} == {255}
     via_spark = images.read_images(spark, str(tmp_path / "*.bmp")).orderBy("i").collect()
     assert [tuple(r)[1:] for r in via_spark] == [tuple(r)[1:] for r in got]
+
+
+def test_projects_are_replaced_and_pruned(spark, tmp_path):
+    at, kind = f"file://{tmp_path}/projects", "id string, settings string, source string"
+    assert projects.load_last(spark, at).count() == 0
+    projects.save_projects(spark, at, spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], kind))
+    projects.save_projects(spark, at, spark.createDataFrame([("a", "3", "x")], kind))
+    assert {(r["id"], r["settings"]) for r in projects.load_projects(spark, at).collect()} == {("a", "3"), ("b", "2")}
+    assert projects.load_last(spark, at).first()["id"] == "a"
+    projects.prune_others(spark, at, spark.createDataFrame([("b",)], "id string"))
+    assert [r["id"] for r in projects.load_projects(spark, at).collect()] == ["b"]
+
+
+def test_list_files(spark):
+    legend = spark.createDataFrame([(0, 1, "321", "Red", "#C81428", 1, 12.34, 0.75), (0, 2, "310", "Black", "#000000", 2, 4.0, 0.25)], "img int, legend_no int, number string, name string, hex string, regions int, area double, share double")
+    lines = [r["line"] for r in export.thread_list(legend, "Bird").orderBy("no").collect()]
+    assert lines[0] == "Bird — Thread list" and lines[1] == lines[-2] == "" and lines[-1] == "2 colours. Area shares are approximate." and len(lines) == 6
+    assert export.thread_csv_file(legend).orderBy("no").first()["line"] == export.CSV_HEADER

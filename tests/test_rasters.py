@@ -174,3 +174,42 @@ def test_simplify_against_recursion(spark):
     got = vector.simplify(spark.createDataFrame(pts, "k int, seq int, x double, y double"), ["k"], 4.0).collect()
     for k in (1, 2):
         assert {r["seq"] for r in got if r["k"] == k} == keep([p for p in pts if p[0] == k], 4.0)
+
+
+def test_tiles_meet_without_seams(spark, monkeypatch):
+    """Filters over several tiles equal what numpy gives on the whole raster."""
+    monkeypatch.setattr(stencil, "TILE", 8)
+    grid = np.random.default_rng(5).integers(0, 256, (19, 23))
+    got = back(stencil.median_at(raster(spark, grid, "v"), "v", 2), "v", grid.shape)
+    wide = np.pad(grid, 2, mode="edge")
+    want = np.array([[np.median(wide[y : y + 5, x : x + 5]) for x in range(23)] for y in range(19)]) / 255
+    assert np.allclose(got, want)
+    labels = grid % 3
+    voted = back(stencil.mode_filter(raster(spark, labels), 1), "label", grid.shape)
+    for y in range(19):
+        for x in range(23):
+            near = [labels[p] for p in neighbours(y, x, grid.shape, False)] + [labels[y, x]]
+            top = max(near.count(v) for v in near)
+            best = [v for v in set(near) if near.count(v) == top]
+            assert voted[y, x] == (labels[y, x] if labels[y, x] in best else min(best))
+
+
+def test_mask_distance_is_zero_outside(spark):
+    grid = np.zeros((7, 9), int)
+    grid[1:6, 2:8] = 1
+    got = back(graph.mask_distance(raster(spark, grid, "on")), "dist", grid.shape)
+    assert (got[grid == 0] == 0).all() and got[1, 2] == 0.5 and got[2, 3] == pytest.approx(1.5) and got[3, 5] == pytest.approx(2.5)
+
+
+def test_cores_and_polarity(spark):
+    rows = [(0, 0, 0, 1.0, 0.9, 0.1, 0.2), (0, 1, 0, 0.4, 0.4, 0.0, 0.3), (0, 2, 0, 0.6, 0.1, 0.6, 0.4), (0, 3, 1, 0.2, 0.0, 0.2, 0.9), (0, 4, None, 0.9, 0.9, 0.0, 0.1)]
+    cores = regions.component_core(spark.createDataFrame(rows, "img int, i int, comp int, response double, dark double, light double, ok_l double"))
+    assert {r["i"] for r in cores.where("core").collect()} == {0, 2, 3}
+    got = {r["comp"]: r for r in regions.component_polarity(cores).collect()}
+    assert got[0]["is_dark"] and got[0]["core_pixels"] == 2 and got[0]["lightness"] == pytest.approx(0.3) and not got[1]["is_dark"]
+
+
+def test_outer_ring_comes_first(spark):
+    small, big = [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], [(0.0, 0.0), (0.0, 5.0), (5.0, 0.0)]
+    df = spark.createDataFrame([([small, big],)], "r array<array<struct<x double, y double>>>")
+    assert len(df.select(vector.ring_sort(F.col("r")).alias("r")).first()["r"][0]) == 3 and df.select(vector.ring_sort(F.col("r"))[0][1]["y"]).first()[0] == 5.0
