@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,17 @@ def test_toxicity_finds_held_out(spark, labelled):
     assert [r["score"] for r in none] == [0.0]
 
 
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}{c}" for a in ("an", "the", "wolf", "é") for b in ("", "ing", "stone") for c in "xyz"] + ["idiot", "scum"]
+    texts = {i: " ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for i in range(90)} | {90: None, 91: "", 92: "!?", 93: "unknown wordsthatare long", 94: "The WOLFSTONEX  the"}
+    labels = {i: int("idiot" in texts[i]) for i in range(60)}
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, label int")).collect()}
+    want = plain.toxic_scores(texts, labels)
+    for i, (score, cosines) in want.items():
+        assert np.allclose(got[i]["cosines"], cosines, atol=2e-9) and abs(got[i]["score"] - score) < 1e-6, i
+
+
 def test_toxicity_from_few_labels(spark):
     """Three toxic examples tie no single term surely to toxicity; the search still runs over all terms."""
     rows = [(i, " ".join(words(40, 900 + i, 2000) + (["scum", "idiot"] if i % 8 == 0 else []))) for i in range(40)]
@@ -529,7 +541,7 @@ def tables(spark, docs):
     }
 
 
-def plain(rows):
+def as_text(rows):
     return sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict(True).items()}) for r in rows)
 
 
@@ -546,7 +558,7 @@ def test_clashing_columns_repeated_rows_and_empty_tables(spark, tables, name):
     if name == "mixing":
         assert got.columns == [*extra.columns, "copy_"] and len(set(got.columns)) == len(got.columns)
         got = got.select(*own.columns, F.col("copy_").alias("copy"))
-    assert plain(got.collect()) == plain(rows)
+    assert as_text(got.collect()) == as_text(rows)
     assert run(spark, own.limit(0)).collect() == []
     key = own.columns[0]
     twice = run(spark, own.unionAll(own.where(f"{key} is not null")))

@@ -1,7 +1,11 @@
 """The pipeline's stages, each on its own input, against plain Python."""
 
+import os
 import random
+import zlib
+from collections import Counter
 
+import plain
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -61,6 +65,24 @@ def test_stages_on_odd_tables(spark, folder):
             assert own.columns == docs.columns
 
 
+def test_run_equals_brute_force(spark, folder):
+    """All five stages one after the other, against plain Python and the library's encoder."""
+    sentencepieces = pytest.importorskip("rasterloom.llm.sentencepieces")
+    if not os.path.exists(sentencepieces.MODEL):
+        pytest.skip("no model here")
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    texts, sources = {r["doc_id"]: r["text"] for r in rows}, {r["doc_id"]: r["source"] for r in rows}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    scores = plain.toxic_scores(texts, labels)
+    texts = {i: t for i, t in texts.items() if scores[i][0] < corpus_pipeline.TOXIC}
+    gone = plain.near_duplicates(texts)
+    texts = plain.without_repeats({i: t for i, t in texts.items() if i not in gone})
+    want = Counter({(i, None if texts[i] is None else tuple(library.encode(texts[i]))): n for i, n in plain.copies(texts, sources).items() if n})
+    got = Counter((r["doc_id"], None if r["ids"] is None else tuple(r["ids"])) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == want and gone and sum(want.values()) > 50
+
+
 def test_run_gives_ids_for_every_copy(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r["ids"] is None or r["round_trip"] for r in rows)
