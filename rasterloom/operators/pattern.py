@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ FOOTPRINT = {1: 1.05, 2: 2.1, 3: 3.2, 6: 6.0}
 STITCH_MM, LINE_STITCH_MM = 3.0, 2.5
 FULL_FONT, INDEX_FONT, CHAR_WIDTH = 2.4, 1.9, 0.62
 MIN_LABEL_MM2 = 1.5
+#: Grid on which boxes that may overlap meet.
+CELL_MM = 10.0
 
 
 def legend(regions: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def leader_candidates(labels: DataFrame, width_mm: float, height_mm: float) -> D
     font = F.when(F.col("tier") == "full", FULL_FONT).otherwise(INDEX_FONT)
     boxes = labels.where("tier <> 'leader'").select("img", F.col("x").alias("bx"), F.col("y").alias("by"), ((F.length("text") * font * CHAR_WIDTH + font * 0.4) / 2).alias("bw"), (font * 0.6).alias("bh"))
     # an overlap join on a grid: both sides go to the cells that they cover, so it is an equi-join
-    cell = 10.0
+    cell = CELL_MM
 
     def cells(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
         for n, at, half in (("gx", x, w), ("gy", y, h)):
@@ -74,19 +78,29 @@ def leader_candidates(labels: DataFrame, width_mm: float, height_mm: float) -> D
 def place_leaders(labels: DataFrame, spots: DataFrame) -> DataFrame:
     """img, id, tier, x, y: leaders at their first free spot, larger regions first; none where all collide.
 
-    Greedy by nature: an image's leaders (at most its few hundred regions) are one group.
+    Greedy by nature: an image's leaders are one group.  Placed labels lie in a grid, so a try looks at the few
+    around it and the work goes with the number of leaders.
     """
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        placed: list[tuple[float, float, float, float]] = []
+        placed: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
         out = []
-        for (_, ident), tries in rows.sort_values(["order", "id", "try_no"]).groupby(["order", "id"], sort=False):
-            spot = next(((t.x, t.y, t.hw, t.hh) for t in tries.itertuples() if t.try_no >= 0 and not any(abs(t.x - p[0]) < t.hw + p[2] and abs(t.y - p[1]) < t.hh + p[3] for p in placed)), None)
-            home = tries.iloc[0]
+
+        def cells(x: float, y: float, w: float, h: float) -> list[tuple[int, int]]:
+            return [(i, j) for i in range(int((x - w) // CELL_MM), int((x + w) // CELL_MM) + 1) for j in range(int((y - h) // CELL_MM), int((y + h) // CELL_MM) + 1)]
+
+        def free(x: float, y: float, w: float, h: float) -> bool:
+            return not any(abs(x - p[0]) < w + p[2] and abs(y - p[1]) < h + p[3] for c in cells(x, y, w, h) for p in placed.get(c, ()))
+
+        rows = rows.sort_values(["order", "id", "try_no"])
+        tries = list(zip(*(rows[c].tolist() for c in ("img", "id", "px", "py", "try_no", "x", "y", "hw", "hh")), strict=True))
+        for (img, ident, px, py), own in groupby(tries, key=lambda t: t[:4]):
+            spot = next((t[5:] for t in own if t[4] >= 0 and free(*t[5:])), None)
             if spot:
-                placed.append(spot)
-            out.append((int(home.img), int(ident), "leader" if spot else "none", spot[0] if spot else float(home.px), spot[1] if spot else float(home.py)))
+                for c in cells(*spot):
+                    placed.setdefault(c, []).append(spot)
+            out.append((img, ident, "leader" if spot else "none", *(spot[:2] if spot else (px, py))))
         return pd.DataFrame(out, columns=["img", "id", "tier", "x", "y"])
 
     want = labels.where("tier = 'leader'").select("img", "id", F.col("x").alias("px"), F.col("y").alias("py"), (-F.col("area_mm2")).alias("order"))
