@@ -10,11 +10,9 @@ from ..workspace import Rounds
 
 #: Catalogue rows that one array holds; larger catalogues are dealt over several.
 CHUNK = 4096
-#: Palette entries compared in one expression.
-UNROLLED = 16
 
 
-def _sq(lightness: float, left: dict[str, Column], right: Column) -> Column:
+def _sq(lightness: float, left: Column | dict[str, Column], right: Column | dict[str, Column]) -> Column:
     l, a, b = ((left[c] - right[c]) * (left[c] - right[c]) for c in LAB)
     return F.lit(lightness) * l + a + b
 
@@ -27,15 +25,21 @@ def steps(distance_sq: Column) -> Column:
 def nearest_literal(pixels: DataFrame, palette: list[tuple[int, float, float, float]], out: str = "label") -> DataFrame:
     """Nearest of a short palette (index, ok_l, ok_a, ok_b) as plain expressions without a join; the first of
     equals.  Pixels whose mask is false get null."""
-    best = []
-    own = {c: F.col(c) for c in LAB}
-    for low in range(0, len(palette), UNROLLED):
-        each = [F.struct(steps(_sq(1.0, own, dict(zip(LAB, map(F.lit, map(float, lab)), strict=True)))).alias("d"), F.lit(j).alias("j")) for j, *lab in palette[low : low + UNROLLED]]
-        best.append(F.least(*each) if len(each) > 1 else each[0])
-    nearest = (F.least(*best) if len(best) > 1 else best[0])["j"] if best else F.lit(None).cast("int")
+    if not palette:
+        nearest = F.lit(None).cast("int")
+    else:
+        # the colour is bound once as the lambda's argument: wherever the optimizer repeats this expression
+        # (a filter on the label, for one), it repeats one conversion of the pixel and not one an entry
+        nearest = F.transform(F.array(F.struct(*LAB)), lambda p: _least(p, palette))[0]
     return pixels.withColumn(out, F.when(F.coalesce(F.col("mask"), F.lit(True)), nearest) if "mask" in pixels.columns else nearest)
 
 
+def _least(pixel: Column, palette: list[tuple[int, float, float, float]]) -> Column:
+    """The index of the palette entry nearest to the pixel's struct of ok_*."""
+    each = [F.struct(steps(_sq(1.0, pixel, dict(zip(LAB, map(F.lit, map(float, lab)), strict=True)))).alias("d"), F.lit(j).alias("j")) for j, *lab in palette]
+    return (F.least(*each) if len(each) > 1 else each[0])["j"]
+
+
 def _beside(rows: DataFrame, threads: DataFrame) -> tuple[DataFrame, int]:
     """Each row with an array of the catalogue's colours (ord, number, ok_*), and in how many parts.
 
