@@ -26,6 +26,7 @@ columns are ignored unless they are carried.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -145,11 +146,16 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(carried | {"n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
-def _free_shuffles(spark: SparkSession) -> None:
+def _free_shuffles(spark: SparkSession, rounds: int = 1) -> None:
     """Spark deletes the shuffle files of finished jobs when the driver's heap is collected, which may be
-    long after the last batch; this asks for it, so that batches do not add up on the executors' disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+    long after the last batch; this asks for it, so that batches do not add up on the executors' disks.
+    A job's end reaches Spark's listeners a little later, and until then they hold its plan; a second
+    round finds it free."""
+    for _ in range(rounds):
+        gc.collect()
+        spark._jvm.System.gc()
+        if rounds > 1:
+            time.sleep(1.5)
 
 
 class FingerprintIndex:
@@ -275,14 +281,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
     listed = work.keep(index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
     if own:
         index.close()
-    _free_shuffles(spark)
+    _free_shuffles(spark, 2)
     known = rows if history is None else rows.unionByName(history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     windows = known.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
     # rows that are lost already are dealt by document, so that they cannot pile up at their window
     dealt = windows.repartition(F.when(F.col("lost"), F.xxhash64("doc_id")).otherwise(F.xxhash64("window", "anchor"))).sortWithinPartitions("window", "anchor", "doc_id")
     lost = work.keep(dealt.mapInArrow(_losers, "doc_id long, window long").groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "lost")
     work.drop(listed)
-    _free_shuffles(spark)
+    _free_shuffles(spark, 2)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
     return carried.join(lost, "doc_id", "left").mapInArrow(_strip, f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")
