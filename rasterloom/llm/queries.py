@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytepairs import encode_documents as encode_byte_pairs
 from .htmltext import extract_text
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .multiindex import near_vectors
+from .periodic import periodic_runs
 from .quality import score_quality
 from .sentencepieces import encode_documents
 from .substring import remove_repeats
 from .topk import top_k
 from .toxicity import score_toxicity
+from .turns import damage, repair_conversations
 from .warc import page_archive_records
 
 
@@ -73,7 +78,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_minhash, op4_substring_dedup, op5_toxicity, op6_sentencepiece, op7_mixing, op8_html_text, op9_near_vectors, op10_quality)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(*damage(read(spark, sf_dir, "conversations")))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_byte_pairs(read(spark, sf_dir, "documents"), decode=True, packed=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def rearranged(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The word that stands at each of n places: one document in ten repeats a stretch of its words to its end."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return np.append(np.arange(a), a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(read(spark, sf_dir, "documents"), rearranged)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_minhash, op4_substring_dedup, op5_toxicity, op6_sentencepiece, op7_mixing, op8_html_text, op9_near_vectors, op10_quality, op11_conversations, op12_byte_pairs, op13_periodic_runs)}
 
 _REACH = """
   reach as (select id, other from edges union select r.id, e.other from reach r join edges e on r.other = e.id),
