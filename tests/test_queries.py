@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from rasterloom import catalog
+from rasterloom import catalog, catalog_lines  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
