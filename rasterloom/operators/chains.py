@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Rounds
@@ -45,3 +45,18 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def directed_chains(darts: DataFrame, rounds: Rounds) -> DataFrame:
+    """darts(img, node, twin, prev, key, ...) that make up each chain once, with its id and their seq.
+
+    A chain can be walked from both ends (a dart and its twin are one edge): the walk whose head is smaller stays.
+    ids count an image's chains from 0 by head, so rings come last where their keys are larger.
+    """
+    each = rounds.keep(darts)
+    ranked = rank_chains(each.select("img", "node", "prev", "key"), rounds)
+    placed = each.join(ranked.select("img", "node", "head", "rank"), ["img", "node"])
+    edge = Window.partitionBy("img", F.least("node", "twin"))
+    kept = rounds.keep(placed.withColumn("mine", F.col("head").isNotNull() & (F.col("head") == F.min("head").over(edge))).where("mine").drop("mine", "prev", "key"))
+    heads = kept.where("rank = 0").select("img", "head", (F.row_number().over(Window.partitionBy("img").orderBy("head")).cast("int") - 1).alias("id"))
+    return kept.join(heads, ["img", "head"]).withColumn("seq", F.col("rank").cast("int")).drop("head", "rank", "node", "twin")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Rounds
-from .chains import rank_chains
+from .chains import directed_chains, rank_chains
 from .vector import chaikin, crack_edges, ring_sort, signed_area, simplify
 
 _ROW, _LOOP = 1 << 30, 1 << 60
@@ -51,7 +51,7 @@ def trace_arcs(pixels: DataFrame, column: str = "comp") -> DataFrame:
     arcs from 0 by that start, loops last.
     """
     rounds = Rounds(pixels.sparkSession, "arcs")
-    each = rounds.keep(darts(pixels, column))
+    each = darts(pixels, column)
     at = Window.partitionBy("img", "corner")
     # where two edges meet, the dart before this one is the reverse of the other that starts here
     other = F.sum("direction").over(at).cast("int") - F.col("direction")
@@ -60,16 +60,10 @@ def trace_arcs(pixels: DataFrame, column: str = "comp") -> DataFrame:
     turned = (F.col("other") + 2) % 4
     prev = F.when(F.col("n") == 2, _ahead(F.col("corner"), F.when(F.col("n") == 2, F.col("other")).otherwise(0)) + turned)
     key = F.when(F.col("n") != 2, node).when(F.col("direction") == 0, node + _LOOP)
-    ranked = rank_chains(met.select("img", node.alias("node"), prev.alias("prev"), key.alias("key")), rounds)
-    placed = rounds.keep(each.withColumn("node", node).join(ranked, ["img", "node"]))
-    # the two directions of an edge: the one of the smaller start is the arc's
-    edge = F.least(node, _ahead(F.col("corner"), F.col("direction")) + (F.col("direction") + 2) % 4)
-    mine = F.col("head") == F.min("head").over(Window.partitionBy("img", edge))
-    kept = placed.where("head is not null").withColumn("mine", mine).where("mine")
-    heads = kept.where("rank = 0").select("img", "head", F.row_number().over(Window.partitionBy("img").orderBy("head")).cast("int") - 1)
-    ids = heads.toDF("img", "head", "id")
     to = _ahead(F.col("corner"), F.col("direction"))
-    return kept.join(ids, ["img", "head"]).select("img", "id", F.col("rank").cast("int").alias("seq"), _x(F.col("corner")).alias("x0"), _y(F.col("corner")).alias("y0"), _x(to).alias("x1"), _y(to).alias("y1"), "left", "right")
+    ends = [_x(F.col("corner")).alias("x0"), _y(F.col("corner")).alias("y0"), _x(to).alias("x1"), _y(to).alias("y1")]
+    linked = met.select("img", node.alias("node"), (to + (F.col("direction") + 2) % 4).alias("twin"), prev.alias("prev"), key.alias("key"), *ends, "left", "right")
+    return directed_chains(linked, rounds).select("img", "id", "seq", "x0", "y0", "x1", "y1", "left", "right")
 
 
 def arc_points(arcs: DataFrame) -> DataFrame:
