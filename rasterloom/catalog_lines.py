@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _edge_sql, kind_labels, query, r6
-from .operators import outline, vector
+from .catalog import KINDS_SQL, PIXELS_SQL, _edge_sql, high_mask, kind_labels, palette_table, pixels, query, r6
+from .functions.color import LAB
+from .operators import outline, skeleton, strokes, vector
+from .workspace import Rounds
 
 _WAYS = "(case d when 0 then 1 when 2 then -1 else 0 end)", "(case d when 1 then 1 when 3 then -1 else 0 end)"
 
@@ -50,3 +52,72 @@ def vectorize_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines simplified and smoothed once an arc."""
     rings = outline.vectorize(kind_labels(spark, sf_dir), 0.9, 2, column="label")
     return rings.select("img", "region", F.size("rings").alias("rings"), F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)).alias("points"), r6(outline.outline_area(F.col("rings")), "area"))
+
+
+# --- lines
+
+
+def _kind_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of one event type, as a mask of one component an image."""
+    return kind_labels(spark, sf_dir).where("label = 0").select("img", "x", "y", F.lit(1).alias("comp"))
+
+
+_EIGHT_SQL = "nb(k, dx, dy) as (values (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1))"
+_STEP_SQL = f"{KINDS_SQL}, {_EIGHT_SQL}, on_ as (select img, x, y from kinds where label = 0), step as (select p.img, p.x, p.y, nb.k, q.x as ex, q.y as ey from on_ p cross join nb join on_ q on q.img = p.img and q.x = p.x + nb.dx and q.y = p.y + nb.dy)"
+
+
+@query(f"with {_STEP_SQL} select p.img, p.x, p.y, count(s.k)::integer as degree from on_ p left join step s using (img, x, y) group by p.img, p.x, p.y")
+def degree_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.degree_map(_kind_mask(spark, sf_dir)).select("img", "x", "y", "degree")
+
+
+@query(f"""with recursive {_STEP_SQL}, deg as (select img, x, y, count(*) as n, sum(k) as ks from step group by all),
+  go as (select s.*, (s.y * 1000 + s.x) * 8 + s.k as d, (s.ey * 1000 + s.ex) * 8 + (s.k + 4) % 8 as back, a.n as sn, e.n as en, case when e.n = 2 then (s.ey * 1000 + s.ex) * 8 + e.ks - (s.k + 4) % 8 end as nxt
+         from step s join deg a using (img, x, y) join deg e on e.img = s.img and e.x = s.ex and e.y = s.ey),
+  walk as (select img, d as s, sn, d, 0 as seq from go union all select w.img, w.s, w.sn, g.nxt, w.seq + 1 from walk w join go g on g.img = w.img and g.d = w.d where g.nxt is not null and g.nxt <> w.s),
+  fin as (select w.img, w.s, w.sn, arg_max(g.back, w.seq) as back, bool_or(g.en <> 2) as ends, min(least(g.d, g.back)) as low from walk w join go g using (img, d) group by w.img, w.s, w.sn),
+  arc as (select img, s, row_number() over (partition by img order by sn = 2, s) - 1 as id from fin where case when sn <> 2 then s < back else not ends and low = s end)
+select a.img, a.id::integer as id, w.seq::integer as seq, g.x::integer as x0, g.y::integer as y0, g.ex::integer as x1, g.ey::integer as y1 from arc a join walk w using (img, s) join go g on g.img = w.img and g.d = w.d""")
+def trace_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.trace_skeleton(_kind_mask(spark, sf_dir), Rounds(spark, "skeleton")).select("img", "id", "seq", "x0", "y0", "x1", "y1")
+
+
+@query()
+def thin_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = high_mask(spark, sf_dir).where(F.col("on") == 1).select("img", "x", "y", F.lit(1).alias("comp"))
+    return skeleton.degree_map(skeleton.thin(on, Rounds(spark, "thin"))).select("img", "x", "y", "degree")
+
+
+@query()
+def skeleton_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = high_mask(spark, sf_dir).where(F.col("on") == 1).select("img", "x", "y", F.lit(1).alias("comp"), F.lit(3).alias("spur"))
+    paths = skeleton.skeleton_paths(on, 3)
+    return paths.select("img", "id", F.size("line").alias("points"), r6(vector.polyline_length(F.col("line")), "length"))
+
+
+@query(f"""with {KINDS_SQL}, sq(n, dx, dy) as (select row_number() over (order by b.d, a.d), a.d, b.d from (values (-1), (0), (1)) a(d), (values (-1), (0), (1)) b(d)),
+  t as (select p.img, p.x, p.y, q.label as comp, min(sq.n) as n from kinds p cross join sq join kinds q on q.img = p.img and q.x = p.x + sq.dx and q.y = p.y + sq.dy where p.label is null and q.label is not null group by all)
+select img, x, y, comp from (select *, row_number() over (partition by img, x, y order by n) as r from t) where r <= 2""")
+def rim_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strokes.rim_touch(kind_labels(spark, sf_dir).withColumnRenamed("label", "comp"))
+
+
+@query(f"""with {PIXELS_SQL}, m as (select p.img, p.i, avg(q.ok_l) as l, avg(q.ok_a) as a2, avg(q.ok_b) as b2 from px p join px q on q.img = p.img and greatest(abs(q.x - p.x), abs(q.y - p.y)) = 1 and q.a >= 128 where p.a < 128 group by p.img, p.i)
+select px.img, px.i, round(coalesce(m.l, ok_l), 6) as ok_l, round(coalesce(m.a2, ok_a), 6) as ok_a, round(coalesce(m.b2, ok_b), 6) as ok_b from px left join m using (img, i)""")
+def inpaint_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transparent pixels, which lie apart, take the mean of those around."""
+    holes = pixels(spark, sf_dir).withColumn("hole", (F.col("a") < 128).cast("int"))
+    return strokes.inpaint_colour(holes.select("img", "i", "x", "y", *LAB, "hole")).select("img", "i", *[r6(c, c) for c in LAB])
+
+
+@query()
+def detect_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = strokes.detect_strokes(pixels(spark, sf_dir), 3.2, 6.0, 0.16, 2.0)
+    return found.select("img", "comp", F.size("paths").alias("paths"), r6("width_px", "width_px"), r6("length_px", "length_px"), *[r6(c, c) for c in LAB])
+
+
+@query()
+def lift_thin_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the event types' regions when those that are lines are lifted."""
+    left, _ = strokes.lift_thin_regions(kind_labels(spark, sf_dir), palette_table(spark, sf_dir), 4.0, 6.0, 0.1)
+    return left.select("img", "i", "label")
