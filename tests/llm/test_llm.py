@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import htmltext, minhash, mixing, multiindex, quality, sentencepieces, substring, topk, toxicity, warc
+from rasterloom.llm import htmltext, minhash, mixing, multiindex, quality, queries, sentencepieces, substring, topk, toxicity, warc
 from rasterloom.llm.store import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -477,22 +478,77 @@ def test_longest_repeats_equal_brute_force(spark):
             text += passages[k][rng.randrange(3) : 12 - rng.randrange(3)] + [f"u{rng.randrange(12)}" for _ in range(4)]
         pages.append(text)
     contents = htmltext._content(htmltext.Words(htmltext.pa.array([" ".join(p) for p in pages], htmltext.pa.large_string())))
-    want, covered = set(), {}
+    want = set()
     for i, page in enumerate(pages):
         for at in range(len(page) - htmltext.DEPTH + 1):
             for size in range(min(htmltext.SPAN, len(page) - at), htmltext.DEPTH - 1, -1):
                 part = page[at : at + size]
                 if len({contents[j] for j, other in enumerate(pages) if any(other[k : k + size] == part for k in range(len(other)))}) >= htmltext.PAGES:
                     want.add((i, at, size))
-                    covered.setdefault(i, set()).update(range(at, at + size))
                     break
     df = spark.createDataFrame([(i, 7, f"<p>{' '.join(p)}</p>") for i, p in enumerate(pages)], "page_id long, host long, html string")
     suffixes = df.mapInArrow(htmltext._suffixes, htmltext._SUFFIX)
     assert {(r["page_id"], r["at"], r["words"]) for r in htmltext.repeated_places(suffixes).collect()} == want and len(want) > 30
-    heavy: dict = {}
-    for r in htmltext.repeated_places(suffixes, limit=0).collect():
-        heavy.setdefault(r["page_id"], set()).update(range(r["at"], r["at"] + r["words"]))
-    assert heavy == covered  # unordered beginnings cover the same words
+    heavy = [(r["page_id"], r["at"], r["words"]) for r in htmltext.repeated_places(suffixes, limit=0).collect()]
+    assert len(heavy) == len(want) and set(heavy) == want  # beginnings that are counted give the same lengths as sorted ones
+
+
+def test_length_of_repeats_decides(spark):
+    """Six words that three pages share are a phrase; in a longer block they are no evidence, as a whole block they are."""
+    phrase = "as far as we know today"
+    block = lambda i: f"{' '.join(words(2, 70 + i))} {phrase} {' '.join(words(1, 80 + i))}"
+    page = lambda i, text: f'<article><p>{" ".join(words(20, i))}</p><div class="legal">{text}</div></article>'
+    long = " ".join(words(14, 9))
+    rows = [(i, "http://a/", page(i, block(i))) for i in range(4)] + [(10 + i, "http://b/", page(10 + i, phrase)) for i in range(4)]
+    rows += [(20 + i, "http://c/", page(20 + i, f"{long} {words(1, 90 + i)[0]}")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(phrase in got[i] for i in range(4)) and not any(phrase in got[10 + i] for i in range(4)) and not any(long in got[20 + i] for i in range(4))
+
+
+@pytest.mark.parametrize("odd", ["<a ", '<a title="x ', "<div>", "<p><b>", "<", "</", "<!--", "<![CDATA[", "<script>", "<li><b>", "<article>", "<b><i></p>"])
+def test_malformed_megabyte_takes_seconds(odd):
+    began = time.perf_counter()
+    htmltext.blocks(odd * (1_000_000 // len(odd)))
+    assert time.perf_counter() - began < 20
+
+
+def test_unfinished_tags_and_odd_quotes():
+    assert kept('hi <a title="x>y z') == ["hi"] and kept("hi <b") == ["hi"] and kept("a <!-- b") == ["a"] and kept("1 < 2 </ x>3") == ["1 < 2 3"]
+    assert kept("<p title='a>b'>x</p><p class=a\"b>y</p>") == ["x", "y"] and kept('<a href=x">link</a> z') == ["link z"]
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content-sidebar-wrap">{}</div>', '<div class="menu-open page">{}</div>', '<div class="header-fixed">{}</div>', '<div class="ads-enabled">{}</div>', '<div id="sidebar-left">{}</div>', '<form id="aspnetForm">{}</form>',
+    "<header>{}</header>", '<div class="modal-ready"><div class="social">{}</div></div>', '<section class="comments-on">{}</section>', '<div role="form">{}</div>', '<td class="related">{}</td>',
+])
+def test_what_wraps_the_article_stays(wrapper):
+    beside = '<nav>menu</nav><div class="sidebar"><article><p>teaser</p></article></div><div class="comments"><p>me too</p></div>'
+    article = "<article><h1>Head</h1><p>one two three four</p></article>"
+    assert kept(wrapper.format(article + beside)) == ["Head", "one two three four"] or "comments" in wrapper
+    plain = "<h1>Head</h1><p>one two three four</p>"
+    assert kept(wrapper.format(plain + "<nav>menu</nav>") + "<p>x</p>")[:2] == ["Head", "one two three four"] or "comments" in wrapper
+
+
+def test_planted_pages_give_their_articles(spark, tmp_path):
+    """The whole query on pages put together from articles and furniture, whose text is known."""
+    rng = random.Random(8)
+    around = ["<nav><ul><li><a>menu</a></ul></nav>", '<div class="ad">buy now</div>', "<aside><p>side</p></aside>", "<footer>foot</footer>", '<div class="cookie-banner"><p>we use them</p></div>', "<form><p>mail</p></form>", '<div id="comments"><p>me too</p></div>', "<script>if (a < b) x()</script>"]
+    inside = ["<script>var t='</p>'</script>", '<div class="newsletter"><p>join</p></div>', "<!-- <p>no</p> -->", '<ul class="breadcrumbs"><li>home</ul>', "<style>p{}</style>"]
+    rows, want = [], {}
+    for i in range(120):
+        parts, text = [], []
+        for k in range(rng.randrange(1, 6)):
+            said = words(rng.randrange(1, 30), 1000 + 10 * i + k)
+            text.append(" ".join(said) + " & <b> é")
+            parts.append(f"<{(tag := rng.choice(['p', 'h2', 'div', 'blockquote']))} class='c{k}'>" + rng.choice([" ", "\n\t", "<br>", " <i></i> "]).join(said) + f" &amp; &lt;b&gt; <b>&eacute;</b></{tag}>")
+            parts += rng.sample(inside, rng.randrange(3))
+        mark = rng.choice(["article", "main"])
+        page = "".join(rng.sample(around, rng.randrange(5))) + f"<{mark}>{''.join(parts)}</{mark}>" + "".join(rng.sample(around, rng.randrange(5)))
+        rows.append((i, f"http://h{i % 3}/", rng.choice(["<html><body>{}</body></html>", '<div class="header-wrap">{}</div>', "{}"]).format(page)))
+        want[i] = "\n\n".join(text)
+    spark.createDataFrame(rows + [(900, None, None), (901, "x", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in queries.op8_html_text(spark, str(tmp_path)).collect()}
+    assert {i: got[i]["text"] for i in want} == want and all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[900]["text"] == got[901]["text"] == ""
 
 
 def test_suffix_array_drops_what_a_host_repeats(spark):
