@@ -15,8 +15,8 @@ highest bounds are scored first, then those whose bound reaches its kth neighbou
 Bounds: at most ``EXAMPLES`` examples a class (the smallest hashes of the doc_id) serve as neighbours
 and for the ratios; that bounds what is broadcast.  Document frequencies and class rates count all rows.
 
-Defined cases: null or empty texts have no terms; null ids and labels teach nothing; a document is
-never its own neighbour; rows that repeat a doc_id each get a row, and one of them is an example; equal
+Defined cases: null or empty texts have no terms; null ids and labels teach nothing; a score
+goes by the text alone, so a labelled example votes for its own text as for any copy of it; rows that repeat a doc_id each get a row, and one of them is an example; equal
 cosines go to the earlier example in the order of blocks; very long texts are read whole; without
 labelled rows of both classes each score is the overall rate (0 without labels); an empty table gives an
 empty result; other columns are ignored.
@@ -215,8 +215,8 @@ class BlockMaxIndex:
             strip += np.bincount(key, self.x[place] * w[entry], strip.size).reshape(strip.shape)
         return rare
 
-    def search(self, own: np.ndarray, row: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest of each text, given by entries (row, term, weight); cosines
+    def search(self, m: int, row: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest of each of m texts, given by entries (row, term, weight); cosines
         at nine decimals, ties to the earlier example; places left over are -1 and 0.
 
         Single precision, with ``SLACK`` for its error, decides what is looked at; what may be among the
@@ -224,7 +224,7 @@ class BlockMaxIndex:
         """
         if not self._ready:
             self._prepare()
-        m, n = len(own), len(self.ids)
+        n = len(self.ids)
         column = self.column[at]
         often = column >= 0
         frequent = np.zeros((m, len(self.common)))
@@ -239,7 +239,6 @@ class BlockMaxIndex:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 some, part = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b + 1])
                 found = single[some] @ self.single[part].T + rare[some, part].astype(np.float32)
-                found[self.ids[part][None, :] == own[some][:, None]] = -1
                 score[some, part] = found
                 self.scored += len(some)
             return np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(m, -1, np.float32)
@@ -264,10 +263,10 @@ class BlockMaxIndex:
         who[text[good], place[good]], cosine[text[good], place[good]] = example[good], exact[good]
         return who, cosine
 
-    def nearest(self, own_id: int | None, at: Any, n: Any, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: Any, n: Any, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest of one text."""
         at, w = self.vector(at, n)
-        who, cosine = self.search(np.array([-1 if own_id is None else own_id]), np.zeros(len(at), np.int64), at, w, k)
+        who, cosine = self.search(1, np.zeros(len(at), np.int64), at, w, k)
         return who[0][who[0] >= 0], cosine[0][who[0] >= 0]
 
 
@@ -287,9 +286,7 @@ def _score(index: BlockMaxIndex | None, vocabulary: np.ndarray, unseen: float, b
             known = counts.known
             w = (1 + np.log(counts.count)) * np.where(known, index.weight[np.where(known, counts.place, 0)], unseen)
             w /= np.maximum(1e-300, np.sqrt(np.bincount(row, w * w, m)))[row]
-            ids = part.column("doc_id")
-            own = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min, np.asarray(ids.fill_null(0)))
-            who, cosine = index.search(own, row[known], counts.place[known], w[known], NEIGHBOURS)
+            who, cosine = index.search(m, row[known], counts.place[known], w[known], NEIGHBOURS)
             vote = cosine**2 * index.mass[who]
             prior = PRIOR * index.mass.mean() * np.maximum(cosine[:, 0] ** 2, 1e-9)
             score = np.clip(((vote * index.labels[who]).sum(axis=1) + prior * base) / (vote.sum(axis=1) + prior), 0.0, 1.0)

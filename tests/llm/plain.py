@@ -50,7 +50,7 @@ def toxic_scores(texts, labels):
     out = {}
     for i, c in counts.items():
         v = vector(c)
-        near = sorted(((round(sum(x * h[t] for t, x in v.items() if t in h), 9), labels[j]) for j, h in held.items() if j != i), reverse=True)[: toxicity.NEIGHBOURS]
+        near = sorted(((round(sum(x * h[t] for t, x in v.items() if t in h), 9), labels[j]) for j, h in held.items()), reverse=True)[: toxicity.NEIGHBOURS]
         near = [(x, y) for x, y in near if x > 0]
         prior = toxicity.PRIOR * mean * max(near[0][0] ** 2 if near else 0.0, 1e-9)
         votes = [(x * x * mass[y], y) for x, y in near]

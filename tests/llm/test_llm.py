@@ -274,6 +274,15 @@ def test_toxicity_equals_brute_force(spark):
         assert np.allclose(got[i]["cosines"], cosines, atol=2e-9) and abs(got[i]["score"] - score) < 1e-6, i
 
 
+def test_scores_go_by_the_text_alone(spark, labelled):
+    """A copy under another id, in another source, scores as its original, labelled or not."""
+    taught = labelled.where("doc_id < 160").select("doc_id", F.col("toxic").alias("label"))
+    copies = labelled.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 50_000)
+    scored = toxicity.score_toxicity(labelled.where("doc_id is not null").unionAll(copies), taught)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert len(got) == 484 and all(got[i] == got[i + 50_000] for i in got if i < 50_000)
+
+
 def test_toxicity_from_few_labels(spark):
     """Three toxic examples tie no single term surely to toxicity; the search still runs over all terms."""
     rows = [(i, " ".join(words(40, 900 + i, 2000) + (["scum", "idiot"] if i % 8 == 0 else []))) for i in range(40)]
@@ -295,9 +304,9 @@ def test_block_max_search_is_exact():
         v[where] = w
         dense[i] = v
     for i, _, at, n in rows[:20]:
-        who, cosine = index.nearest(i, at, n, 7)
-        want = sorted((dense[i] @ dense[j] for j in dense if j != i), reverse=True)[:7]
-        assert np.allclose(cosine, want) and i not in index.ids[who]
+        who, cosine = index.nearest(at, n, 7)
+        want = sorted((dense[i] @ dense[j] for j in dense), reverse=True)[:7]
+        assert np.allclose(cosine, want) and abs(cosine[0] - 1) < 1e-9
 
 
 def test_quality_finds_held_out(spark, labelled):
