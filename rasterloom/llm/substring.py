@@ -11,12 +11,16 @@ are suspects.  When a level holds ``fanout`` runs, they are merged into one run
 index with a path of its own outlives the session: its manifest, a versioned table beside the runs, says
 which runs count, and opening it registers them again.
 
-``remove_repeats`` verifies: documents with suspect anchors emit the fingerprints of exactly those windows,
+``remove_repeats`` verifies: documents emit the fingerprints of the windows with suspect anchors,
 each window's smallest document is its owner, and all later documents lose the words it covers.  A
 fingerprint is a 64-bit hash of the window beside the 64-bit hash of its anchor, both made of 64-bit word
 hashes; texts themselves are not compared.  What meets at a hot window is a row for each batch of
 documents, and it streams by in sorted order.
 
+Up to ``SUSPECTS`` suspect anchors are looked up in a bitmap of at most 64 MB, which every task has, so the texts are read where they
+lie; a window that is let in by mistake has one document and loses nothing.  More suspects are joined with the index's postings
+instead, and each document gets the list of its own.  Both find the same windows.
+
 Defined cases: null text has no words; a null doc_id neither removes nor loses anything; rows of one
 doc_id count as one document and never remove from each other; documents under ``WINDOW`` words
 have no windows; a very long text is one document, read whole; empty tables give empty results; other
@@ -25,10 +29,8 @@ columns are ignored unless they are carried.
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -43,6 +45,8 @@ from .words import Words, as_long, gram_places, grams, slices
 WINDOW, GRAM = 13, 5
 #: Text that a bucket's postings come from at most, before the number of shuffle partitions asks for more.
 BUCKET_BYTES = 512 << 20
+#: Suspect anchors that the bitmap takes, with 8 to 16 bits each, and the bits of one of its blocks.
+SUSPECTS, BLOCK_BITS = 1 << 26, 1 << 19
 _POSTING = "anchor bigint, doc_id bigint"
 _MANIFEST = "level int, place int, name string, buckets int"
 
@@ -68,40 +72,84 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"anchor": as_long(anchor[new]), "doc_id": part.column("doc_id").take(pa.array(owner[new]))})
 
 
-def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of each document whose anchor is in its list of suspects.
+def _probes(anchor: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The block of the bitmap that an anchor has its bits in, and these bits."""
+    bits = [((anchor >> np.uint64(k)) % np.uint64(BLOCK_BITS)).astype(np.int64) for k in (0, 17, 31)]
+    return ((anchor >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64), bits
+
+
+def _bitmap(suspects: DataFrame, n: int) -> np.ndarray:
+    """The bitmap of n suspect anchors; its blocks are made apart, and their number is bounded by SUSPECTS."""
+    blocks = 1
+    while blocks * BLOCK_BITS < 8 * n:
+        blocks *= 2
+
+    def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOCK_BITS, bool)
+        for at in _probes(table.column("anchor").to_numpy().view(np.uint64), blocks)[1]:
+            bits[at] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    block = F.pmod(F.shiftrightunsigned("anchor", 40), F.lit(blocks)).cast("int")
+    made = suspects.select("anchor", block.alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
+    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+    for k, bits in zip(made.column("block").to_pylist(), made.column("bits").to_pylist(), strict=True):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    block, bits = _probes(anchor, len(bitmap))
+    hit = np.ones(len(anchor), bool)
+    for at in bits:
+        hit &= (bitmap[block, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
+def _in_lists(part: pa.RecordBatch, anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each anchor is in the list that its document has in the column anchors."""
+    lists = part.column("anchors")
+    flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
+    hit = np.zeros(len(anchor), bool)
+    for i in range(part.num_rows):
+        a, b = bounds[i], bounds[i + 1]
+        if b > a:
+            hit[a:b] = np.isin(anchor[a:b], flat[ends[i] : ends[i + 1]])
+    return hit
+
+
+def _suspect_windows(bitmap: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct windows of each document whose anchor is suspect: in the bitmap or, without one, in the document's list.
 
     Of a batch's documents with one window only the first can own it: the others lose it here and now
     (lost), and a window that a third of all documents hold goes on once for every batch, not once
     for every document.
     """
-    for batch in batches:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for part in slices(batch):
-            words = Words(part.column("text"))
-            places, anchor, owner = window_anchors(words)
-            lists = part.column("anchors")
-            flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            hit = np.zeros(len(anchor), bool)
-            for i in range(part.num_rows):
-                a, b = bounds[i], bounds[i + 1]
-                if b > a:
-                    hit[a:b] = np.isin(anchor[a:b], flat[ends[i] : ends[i + 1]])
-            places, anchor, owner = places[hit], anchor[hit], owner[hit]
-            window = grams(words.hash, WINDOW)[places] if len(places) else np.zeros(0, np.uint64)
-            found.append((anchor, window, np.asarray(part.column("doc_id"))[owner]))
-        if not found:
-            continue
-        anchor, window, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((doc, anchor, window))
-        anchor, window, doc = anchor[order], window[order], doc[order]
-        same = np.zeros(len(doc), bool)
-        same[1:] = (anchor[1:] == anchor[:-1]) & (window[1:] == window[:-1])
-        again = same.copy()
-        again[1:] &= doc[1:] == doc[:-1]
-        anchor, window, doc, same = anchor[~again], window[~again], doc[~again], same[~again]
-        yield pa.record_batch({"anchor": as_long(anchor), "window": as_long(window), "doc_id": pa.array(doc), "lost": pa.array(same)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for part in slices(batch):
+                words = Words(part.column("text"))
+                places, anchor, owner = window_anchors(words)
+                hit = _in_lists(part, anchor, owner) if bitmap is None else _in_bitmap(bitmap, anchor)
+                places, anchor, owner = places[hit], anchor[hit], owner[hit]
+                window = grams(words.hash, WINDOW)[places] if len(places) else np.zeros(0, np.uint64)
+                found.append((anchor, window, np.asarray(part.column("doc_id"))[owner]))
+            if not found:
+                continue
+            anchor, window, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((doc, anchor, window))
+            anchor, window, doc = anchor[order], window[order], doc[order]
+            same = np.zeros(len(doc), bool)
+            same[1:] = (anchor[1:] == anchor[:-1]) & (window[1:] == window[:-1])
+            again = same.copy()
+            again[1:] &= doc[1:] == doc[:-1]
+            anchor, window, doc, same = anchor[~again], window[~again], doc[~again], same[~again]
+            yield pa.record_batch({"anchor": as_long(anchor), "window": as_long(window), "doc_id": pa.array(doc), "lost": pa.array(same)})
+
+    return run
 
 
 def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +194,6 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(carried | {"n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
-def _free_shuffles(spark: SparkSession, rounds: int = 1) -> None:
-    """Spark deletes the shuffle files of finished jobs when the driver's heap is collected, which may be
-    long after the last batch; this asks for it, so that batches do not add up on the executors' disks.
-    A job's end reaches Spark's listeners a little later, and until then they hold its plan; a second
-    round finds it free."""
-    for _ in range(rounds):
-        gc.collect()
-        spark._jvm.System.gc()
-        if rounds > 1:
-            time.sleep(1.5)
-
-
 class FingerprintIndex:
     """Sorted immutable runs of (anchor, doc_id), merged level by level.
 
@@ -276,19 +312,22 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
             batch = batch.where(F.col("doc_id") <= high)
         found = index.ingest(batch)
         suspects = found if suspects is None else suspects.unionAll(found)
-        _free_shuffles(spark)
         index.compact()
-    listed = work.keep(index.postings(suspects.distinct()).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
+    suspects = work.keep(suspects.distinct(), "all_suspects")
+    n = suspects.count()
+    listed = None
+    if n > SUSPECTS:
+        listed = work.keep(index.postings(suspects).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "listed")
     if own:
         index.close()
-    _free_shuffles(spark, 2)
     known = rows if history is None else rows.unionByName(history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    windows = known.join(listed, "doc_id").mapInArrow(_suspect_windows, "anchor long, window long, doc_id long, lost boolean")
+    read = known.where("doc_id is not null") if listed is None else known.join(listed, "doc_id")
+    windows = read.mapInArrow(_suspect_windows(_bitmap(suspects, n) if listed is None else None), "anchor long, window long, doc_id long, lost boolean")
     # rows that are lost already are dealt by document, so that they cannot pile up at their window
     dealt = windows.repartition(F.when(F.col("lost"), F.xxhash64("doc_id")).otherwise(F.xxhash64("window", "anchor"))).sortWithinPartitions("window", "anchor", "doc_id")
     lost = work.keep(dealt.mapInArrow(_losers, "doc_id long, window long").groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "lost")
-    work.drop(listed)
-    _free_shuffles(spark, 2)
+    if listed is not None:
+        work.drop(listed)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
     return carried.join(lost, "doc_id", "left").mapInArrow(_strip, f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")

@@ -97,7 +97,10 @@ def test_estimate_and_densification():
     assert (minhash.densified(small) != 0xFFFF).all()
 
 
-def test_repeats_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("limit", [substring.SUSPECTS, 0])
+def test_repeats_equal_brute_force(spark, docs, monkeypatch, limit):
+    """Suspects in a bitmap and, with the limit at none, joined with the index."""
+    monkeypatch.setattr(substring, "SUSPECTS", limit)
     rows = [(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()]
     first = {}
     for i, w in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
