@@ -554,7 +554,7 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {LIBRARY_SQL}, p as (select cast(ord % 7 as integer) as img, ord as idx, ord % 4 = 0 as locked, ok_l, ok_a, ok_b from lib),
-  d as (select p.img, p.idx as i, t.idx as j, round(sqrt({_D2}), 9) as distance from p join p t on t.img = p.img and p.idx < t.idx and not (p.locked and t.locked)), m as (select img, min(struct_pack(distance := distance, i := i, j := j)) as m from d group by img)
+  d as (select p.img, p.idx as i, t.idx as j, round(sqrt(1.96e0 * (p.ok_l - t.ok_l) * (p.ok_l - t.ok_l) + (p.ok_a - t.ok_a) * (p.ok_a - t.ok_a) + (p.ok_b - t.ok_b) * (p.ok_b - t.ok_b)), 9) as distance from p join p t on t.img = p.img and p.idx < t.idx and not (p.locked and t.locked)), m as (select img, min(struct_pack(distance := distance, i := i, j := j)) as m from d group by img)
 select img, m.i as i, m.j as j, round(m.distance, 6) as distance from m""")
 def closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = library(spark, sf_dir).select((F.col("ord") % 7).alias("img"), F.col("ord").alias("idx"), (F.col("ord") % 4 == 0).alias("locked"), *LAB)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +26,57 @@ def steps(distance_sq: Column) -> Column:
     return F.floor(distance_sq * 1e9 + 0.5)
 
 
+class Colours:
+    """A catalogue of bounded size as a matrix, in order; distances are compared in whole units of 1e-9."""
+
+    def __init__(self, lab: np.ndarray, lightness: float = 1.0):
+        self.lab, self.weight = lab.reshape(-1, 3), np.array([lightness, 1.0, 1.0])
+
+    def tiles(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, squared distances, their units) of tiles of a batch's ok_* rows; a tile has a bounded number of distances."""
+        own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in LAB], 1)
+        high = max(1, (1 << 19) // max(1, len(self.lab)))
+        for low in range(0, len(own), high):
+            part = slice(low, min(len(own), low + high))
+            d = sum(w * (own[part, k, None] - self.lab[None, :, k]) ** 2 for k, w in enumerate(self.weight))
+            yield part, d, np.floor(d * 1e9 + 0.5)
+
+    def first(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest colour of each row, the first of equals, and its squared distance; -1 for a row without a colour."""
+        at, far = np.full(batch.num_rows, -1), np.full(batch.num_rows, np.nan)
+        for part, d, s in self.tiles(batch):
+            best = s.argmin(1)
+            value = d[np.arange(len(d)), best]
+            good = ~np.isnan(value)
+            at[part], far[part] = np.where(good, best, -1), value
+        return at, far
+
+
 def nearest_literal(pixels: DataFrame, palette: list[tuple[int, float, float, float]], out: str = "label") -> DataFrame:
-    """Nearest of a short palette (index, ok_l, ok_a, ok_b) as plain expressions without a join; the first of
-    equals.  Pixels whose mask is false get null."""
+    """Nearest of a short palette (index, ok_l, ok_a, ok_b); the first of equals.  Pixels whose mask is false get null.
+
+    The search is a step of its own in the plan, so that no filter on the label repeats it."""
     if not palette:
-        nearest = F.lit(None).cast("int")
-    else:
-        # the colour is bound once as the lambda's argument: wherever the optimizer repeats this expression
-        # (a filter on the label, for one), it repeats one conversion of the pixel and not one an entry
-        nearest = F.transform(F.array(F.struct(*LAB)), lambda p: _least(p, palette))[0]
-    return pixels.withColumn(out, F.when(F.coalesce(F.col("mask"), F.lit(True)), nearest) if "mask" in pixels.columns else nearest)
+        return pixels.withColumn(out, F.lit(None).cast("int"))
+    index, colours = np.array([j for j, *_ in palette]), Colours(np.array([lab for _, *lab in palette], float))
+    names = [c for c in pixels.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, _ = colours.first(batch)
+            gone = at < 0
+            if "mask" in names:
+                gone = gone | ~np.asarray(batch.column("mask").fill_null(True).cast(pa.bool_()))
+            yield pa.record_batch({c: batch.column(c) for c in names} | {out: pa.array(index[at], pa.int32(), mask=gone)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*names).schema)
+    return pixels.select(*names).mapInArrow(run, f"{schema}, `{out}` int")
 
 
-def _least(pixel: Column, palette: list[tuple[int, float, float, float]]) -> Column:
-    """The index of the palette entry nearest to the pixel's struct of ok_*."""
-    each = [F.struct(steps(_sq(1.0, pixel, dict(zip(LAB, map(F.lit, map(float, lab)), strict=True)))).alias("d"), F.lit(j).alias("j")) for j, *lab in palette]
-    return (F.least(*each) if len(each) > 1 else each[0])["j"]
+def _catalogue(threads: DataFrame, order: list[Column]) -> list[tuple[object, ...]] | None:
+    """ord, number, ok_* of a catalogue of at most CHUNK colours in the given order; None if there are more."""
+    rows = [tuple(r) for r in threads.select("ord", "number", *LAB).orderBy(*order).limit(CHUNK + 1).collect()]
+    return rows if len(rows) <= CHUNK else None
 
 
 def _beside(rows: DataFrame, threads: DataFrame) -> tuple[DataFrame, int]:
@@ -54,6 +93,10 @@ def _beside(rows: DataFrame, threads: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed.hint("shuffle_hash"), "part"), parts
 
 
+def _schema(rows: DataFrame, key: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+
+
 def _measured(lightness: float) -> Column:
     """The entries with their distances from the row, as (steps, ord, number, d)."""
     own = {c: F.col(c) for c in LAB}
@@ -64,6 +107,18 @@ def nearest_thread(rows: DataFrame, key: list[str], threads: DataFrame, excluded
     """key, ord, number, distance_sq: for each row the nearest catalogue colour not excluded; the first
     in catalogue order of equals, null if all are excluded.  Distances are to nine decimals."""
     free = threads.join(excluded.select("number"), "number", "left_anti") if excluded is not None else threads
+    known = _catalogue(free, [F.col("ord")])
+    if known is not None:
+        colours = Colours(np.array([r[2:] for r in known], float), lightness)
+        ords, numbers = np.array([r[0] for r in known] or [0]), np.array([r[1] for r in known] or [""], object)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, far = colours.first(batch) if known else (np.full(batch.num_rows, -1), np.full(batch.num_rows, np.nan))
+                row = {c: batch.column(c) for c in key}
+                yield pa.record_batch(row | {"ord": pa.array(ords[at], pa.int32(), mask=at < 0), "number": pa.array(numbers[at], pa.string(), mask=at < 0), "d": pa.array(far, pa.float64(), mask=at < 0)})
+
+        return rows.select(*key, *LAB).mapInArrow(run, f"{_schema(rows, key)}, ord int, number string, d double").select(*key, "ord", "number", F.round("d", 9).alias("distance_sq"))
     pairs, parts = _beside(rows.select(*key, *LAB), free)
     best = pairs.select(*key, F.array_min(_measured(lightness)).alias("best"))
     if parts > 1:
@@ -78,13 +133,30 @@ def snap(rows: DataFrame, key: list[str], palette: DataFrame, threads: DataFrame
 
 
 def rank_threads(rows: DataFrame, key: list[str], threads: DataFrame, k: int = 12) -> DataFrame:
-    """The k nearest colours of each row by distance, then number."""
+    """The k nearest colours of each row by distance, then number in the order of the root locale."""
+    local = F.collate("number", "UNICODE")
+    known = _catalogue(threads, [local, F.col("number")])
+    if known is not None:
+        colours, numbers, n = Colours(np.array([r[2:] for r in known], float)), np.array([r[1] for r in known] or [""], object), len(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, d, s in colours.tiles(batch) if n else ():
+                    good = np.flatnonzero(~np.isnan(d[:, 0]))
+                    rank = s[good].astype(np.int64) * n + np.arange(n)  # colours are in order of number
+                    top = np.argpartition(rank, min(k, n) - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), rank.shape)
+                    top = np.take_along_axis(top, np.argsort(np.take_along_axis(rank, top, 1), axis=1), 1)
+                    at = pa.array(np.repeat(good + part.start, top.shape[1]))
+                    row = {c: batch.column(c).take(at) for c in key}
+                    yield pa.record_batch(row | {"number": pa.array(numbers[top.ravel()], pa.string()), "d": pa.array(np.take_along_axis(d[good], top, 1).ravel()), "rank": pa.array(np.tile(np.arange(1, top.shape[1] + 1), len(good)), pa.int32())})
+
+        return rows.select(*key, *LAB).mapInArrow(run, f"{_schema(rows, key)}, number string, d double, rank int").select(*key, "number", F.round("d", 9).alias("distance_sq"), "rank")
     pairs, parts = _beside(rows.select(*key, *LAB), threads)
-    first = F.transform(_measured(1.0), lambda t: F.struct(t["s"].alias("s"), t["number"].alias("number"), t["d"].alias("d")))
+    first = F.transform(_measured(1.0), lambda t: F.struct(t["s"].alias("s"), F.collate(t["number"], "UNICODE").alias("o"), t["number"].alias("number"), t["d"].alias("d")))
     best = pairs.select(*key, F.slice(F.array_sort(first), 1, k).alias("best"))
     if parts > 1:
         best = best.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    ranked = best.select(*key, F.posexplode("best").alias("at", "t"))
+    ranked = best.select(*key, F.posexplode_outer("best").alias("at", "t")).where("at is not null")
     return ranked.select(*key, F.col("t.number").alias("number"), F.round("t.d", 9).alias("distance_sq"), (F.col("at") + 1).alias("rank"))
 
 

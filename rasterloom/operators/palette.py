@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from ..workspace import Rounds
 from .nearest import _beside, _measured, _sq, steps
 
 
+#: Columns of the mean colour of a palette entry's pixels.
+MEAN = ("mean_l", "mean_a", "mean_b")
+
+
 def samples(pixels: DataFrame, stride: int, contrast_weight: float, ramp_weight: float | None = None) -> DataFrame:
     """Every stride-th worked pixel with its weight: ramp pixels little, contrasty ones more."""
     w = F.lit(1.0) + F.lit(contrast_weight) * F.col("contrast")
@@ -25,13 +31,15 @@ def slot_means(assigned: DataFrame, slot: str = "slot") -> DataFrame:
     return sums.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("img")))
 
 
-def closest_pair(palette: DataFrame) -> DataFrame:
-    """img, i, j, distance: the closest two entries of which not both are locked; first of equals.
+def closest_pair(palette: DataFrame, lightness: float = 1.4) -> DataFrame:
+    """img, i, j, distance: the closest two entries of which not both are locked; first of equals.  Distances in lightness
+    weigh ``lightness`` times as much.
 
     palette(img, idx, locked, ok_*) holds a few dozen rows an image, so the self-join is small."""
     a = palette.select("img", F.col("idx").alias("i"), F.col("locked").alias("li"), *[F.col(c).alias(f"p{c}") for c in LAB])
     b = palette.select("img", F.col("idx").alias("j"), F.col("locked").alias("lj"), *LAB)
-    d = F.round(F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in LAB), F.lit(0.0))), 9)
+    weight = dict(zip(LAB, (lightness, 1.0, 1.0), strict=True))
+    d = F.round(F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * F.lit(w) * (F.col(c) - F.col(f"p{c}")) * F.lit(w) for c, w in weight.items()), F.lit(0.0))), 9)
     pairs = a.join(b, "img").where("i < j and not (li and lj)").withColumn("distance", d)
     best = pairs.groupBy("img").agg(F.min(F.struct("distance", "i", "j")).alias("m"))
     return best.select("img", "m.i", "m.j", "m.distance")
@@ -53,6 +61,36 @@ def _least_distance(slots: str) -> Column:
     return F.array_min(F.transform(slots, lambda t: F.round(_sq(1.0, own, t), 9)))
 
 
+#: Pixels whose weights are summed before an image's sums are.
+_BLOCK = 4096
+#: Fixed value: the seed of the draws that palettes start from.
+SEED = 1234567
+
+
+def xorshift32(seed: int) -> Iterator[float]:
+    """Draws from 0 to 1 of the 32-bit xorshift generator with shifts 13, 17 and 5."""
+    state = seed & 0xFFFFFFFF or 0x9E3779B9  # fixed value: what a zero seed is replaced by
+    while True:
+        for shift in (13, -17, 5):
+            state ^= (state << shift if shift > 0 else state >> -shift) & 0xFFFFFFFF
+        yield state / 2**32
+
+
+def weighted_draw(weighted: DataFrame, draw: float) -> DataFrame:
+    """img, i, ok_*: of each image's rows weighted(img, i, ok_*, mass) the first at which the running sum of mass reaches
+    ``draw`` times the whole; images without mass have none.  Sums run over blocks first and then inside one block."""
+    rows = weighted.withColumn("block", F.floor(F.col("i") / _BLOCK))
+    sums = rows.groupBy("img", "block").agg(F.sum("mass").alias("m"))
+    by = Window.partitionBy("img")
+    upto = sums.withColumn("upto", F.sum("m").over(by.orderBy("block"))).withColumn("goal", F.lit(draw) * F.sum("m").over(by)).where("goal is not null")
+    reached = F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("block", (F.col("goal") - F.col("upto") + F.col("m")).alias("rest"))))
+    last = F.max(F.struct("block", F.col("m").alias("rest")))
+    chosen = upto.where("m > 0").groupBy("img").agg(F.coalesce(reached, last).alias("b")).select("img", "b.block", "b.rest")
+    inside = rows.join(chosen, ["img", "block"]).withColumn("c", F.sum("mass").over(by.orderBy("i")))
+    row = F.struct("i", *LAB)
+    return inside.groupBy("img").agg(F.coalesce(F.min(F.when(F.col("c") >= F.col("rest"), row)), F.max(row)).alias("r")).select("img", "r.*")
+
+
 _SLOT = "img, slot, ord, number, ok_l, ok_a, ok_b, fixed"
 
 
@@ -66,12 +104,13 @@ def _free_threads(rows: DataFrame, threads: DataFrame, used: str) -> DataFrame:
 
 
 def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tuple[str, ...] = (), halo: float = 1.1, iterations: int = 24) -> DataFrame:
-    """img, idx, ord, number, ok_*, share, locked: the palette of every image of the samples, lightest first.
+    """img, idx, ord, number, ok_*, share, locked, mean_*: the palette of every image of the samples, lightest first.
 
     All images advance together and stay in Spark: a round is one projection (argmin over the image's own
     slots) and one aggregation, after which each free slot moves to the nearest thread that no other slot
-    of its image has.  Starts are the locked threads, then threads nearest to the sample farthest from all
-    starts (the first of equals), which needs no random draw.  A slot without samples dies.
+    of its image has.  Starts are the locked threads, then threads nearest to samples that are drawn, seeded, with
+    their weight (the first) and their weight times the squared distance to the nearest start (the others).  A slot
+    without samples dies.  mean_* is the weighted mean colour of a slot's samples.
     """
     rounds = Rounds(sampled.sparkSession, "palette")
     data = rounds.keep(sampled)
@@ -83,10 +122,12 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
     kept = library.join(wanted, "number").withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1).where(F.col("slot") < k)  # a few rows that the caller named
     fixed = kept.count()
     slots = rounds.keep(images.join(F.broadcast(kept.withColumn("fixed", F.lit(True)))).selectExpr(*_SLOT.split(", ")))
+    draws = xorshift32(SEED)
     for at in range(fixed, k):
         mine = slots.groupBy("img").agg(F.collect_list(F.struct(*LAB)).alias("slots"), F.collect_list("ord").alias("used"))
-        far = F.max(F.struct(F.when(F.col("slots").isNull(), F.col("w")).otherwise(_least_distance("slots") * F.col("w")).alias("d"), (-F.col("i")).alias("o"), *LAB)).alias("m")
-        starts = data.join(mine, "img", "left").groupBy("img").agg(far).join(mine.select("img", "used"), "img", "left").select("img", "m.*", F.coalesce("used", F.array().cast("array<int>")).alias("used"))
+        mass = F.when(F.col("slots").isNull(), F.col("w")).otherwise(_least_distance("slots") * F.col("w"))
+        drawn = weighted_draw(data.join(mine, "img", "left").select("img", "i", *LAB, mass.alias("mass")), next(draws))
+        starts = drawn.join(mine.select("img", "used"), "img", "left").select("img", *LAB, F.coalesce("used", F.array().cast("array<int>")).alias("used"))
         new = _free_threads(starts.select("img", *LAB, "used"), library, "used").select("img", F.lit(at).alias("slot"), "best.ord", "best.number").join(library.select("ord", *LAB), "ord").withColumn("fixed", F.lit(False))
         slots = rounds.keep(slots.unionByName(new))
     colours = {r["ord"]: (r["number"], r["ok_l"], r["ok_a"], r["ok_b"]) for r in library.collect()} if size <= 4096 else None
@@ -122,25 +163,33 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
         stays = F.col("fixed") | (F.coalesce("ramp_share", F.lit(0.0)) <= halo)
         top = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("stays"), F.desc("share"), "slot")) == 1
         slots = rounds.keep(measured.withColumn("stays", stays).withColumn("top", top).where("stays or top").selectExpr(*_SLOT.split(", ")))
-    shares = slots.join(means().select("img", "slot", "share"), ["img", "slot"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    mean = [F.coalesce(f"m{c}", c).alias(m) for c, m in zip(LAB, MEAN, strict=True)]
+    known = slots.join(means().select("img", "slot", "share", *[f"m{c}" for c in LAB]), ["img", "slot"], "left")
+    shares = known.select("img", "slot", "ord", "number", *LAB, "fixed", F.coalesce("share", F.lit(0.0)).alias("share"), *mean)
     idx = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("ok_l"), "number")) - 1
-    return shares.withColumn("idx", idx).select("img", "idx", "ord", "number", *LAB, "share", F.col("fixed").alias("locked"))
+    return shares.withColumn("idx", idx).select("img", "idx", "ord", "number", *LAB, "share", F.col("fixed").alias("locked"), *MEAN)
 
 
-def merge_close(palettes: DataFrame, threshold: float) -> DataFrame:
+def merge_close(palettes: DataFrame, threshold: float, lightness: float = 1.4) -> DataFrame:
     """Join the closest two entries of an image, not both locked, while they are under the threshold; the
-    locked one or else the larger share survives.  An image is a few dozen entries."""
+    locked one or else the larger share survives, with the mean of both colours by share where there are mean_*.
+    Distances are between threads, with lightness weighing ``lightness`` times as much.  An image is a few dozen entries."""
+    weight = dict(zip(LAB, (lightness, 1.0, 1.0), strict=True))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         entries = [r._asdict() for r in rows.sort_values("idx").itertuples(index=False)]
         while True:
-            pairs = [(round(sum((a[c] - b[c]) ** 2 for c in LAB), 12) ** 0.5, i, j) for i, a in enumerate(entries) for j, b in enumerate(entries) if i < j and not (a["locked"] and b["locked"])]
+            pairs = [(round(sum(((a[c] - b[c]) * w) ** 2 for c, w in weight.items()), 12) ** 0.5, i, j) for i, a in enumerate(entries) for j, b in enumerate(entries) if i < j and not (a["locked"] and b["locked"])]
             best = min(pairs, default=None)
             if best is None or best[0] >= threshold:
                 return pd.DataFrame(entries, columns=rows.columns).assign(idx=range(len(entries)))
             a, b = entries[best[1]], entries[best[2]]
             keep, gone = (a, b) if a["locked"] or (not b["locked"] and a["share"] >= b["share"]) else (b, a)
-            keep["share"] += gone["share"]
+            both = keep["share"] + gone["share"]
+            for c in MEAN:
+                if c in keep and both > 0:
+                    keep[c] = (keep[c] * keep["share"] + gone[c] * gone["share"]) / both
+            keep["share"] = both
             entries = [e for e in entries if e is not gone]
 
     return palettes.groupBy("img").applyInPandas(run, palettes.schema)

@@ -2,6 +2,8 @@ import struct
 
 import numpy as np
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
@@ -57,6 +59,56 @@ def test_palette_recovers_flat_colours(spark, threads):
     assert [r["number"] for r in merged] == ["800", "310"] and merged[0]["share"] == pytest.approx(1.0)
 
 
+def test_draws_are_those_of_the_generator():
+    """Against the generator written with plain 32-bit steps."""
+    s, want = 1234567, []
+    for _ in range(5):
+        s = (s ^ s << 13) % 2**32
+        s ^= s >> 17
+        s = (s ^ s << 5) % 2**32
+        want.append(s / 2**32)
+    draws = palette.xorshift32(1234567)
+    assert [next(draws) for _ in range(5)] == want and 0 < next(palette.xorshift32(0)) < 1
+
+
+def test_weighted_draw_is_where_the_running_sum_gets_there(spark):
+    rng = random.Random(3)
+    rows = [(img, i, float(i), 0.0, 0.0, rng.choice([0.0, rng.random()])) for img in (0, 1) for i in range(0, 30_000, 3)] + [(2, 5, 1.0, 0.0, 0.0, 0.0)]
+    weighted = spark.createDataFrame(rows, "img int, i long, ok_l double, ok_a double, ok_b double, mass double")
+    for draw in (0.0, 0.3, 0.77, 1.0):
+        got = {r["img"]: r["i"] for r in palette.weighted_draw(weighted, draw).collect()}
+        assert set(got) == {0, 1}
+        for img in (0, 1):
+            mine = [(i, m) for g, i, *_, m in rows if g == img]
+            left = draw * sum(m for _, m in mine)
+            for i, m in mine:
+                left -= m
+                if left <= 1e-9:
+                    break
+            assert abs(got[img] - i) <= 6  # the sums' last bits may tip it to a neighbour
+
+
+def test_merging_weighs_lightness_and_blends_means(spark):
+    rows = [(0, 0, 0, "a", 0.5, 0.0, 0.0, 0.3, False, 0.5, 0.0, 0.0), (0, 1, 1, "b", 0.54, 0.0, 0.0, 0.1, False, 0.6, 0.0, 0.0), (0, 2, 2, "c", 0.5, 0.045, 0.0, 0.2, False, 0.5, 0.06, 0.0)]
+    entries = spark.createDataFrame(rows, "img int, idx int, ord int, number string, ok_l double, ok_a double, ok_b double, share double, locked boolean, mean_l double, mean_a double, mean_b double")
+    (pair,) = palette.closest_pair(entries).collect()
+    assert (pair["i"], pair["j"]) == (0, 2)  # 0.045 beside 1.4 times 0.04
+    (first, last) = palette.merge_close(entries, 0.05).orderBy("idx").collect()
+    assert (first["number"], last["number"]) == ("a", "b") and abs(first["share"] - 0.5) < 1e-9 and abs(first["mean_a"] - 0.06 * 0.4) < 1e-9
+
+
+def test_numbers_rank_in_locale_order(spark):
+    threads = spark.createDataFrame([(0, "Ecru", 0.5, 0.0, 0.0), (1, "blanc", 0.5, 0.0, 0.0), (2, "B5200", 0.5, 0.0, 0.0), (3, "310", 0.5, 0.0, 0.0)], "ord int, number string, ok_l double, ok_a double, ok_b double")
+    row = spark.createDataFrame([(1, 0.5, 0.0, 0.0), (2, None, 0.0, 0.0)], "k int, ok_l double, ok_a double, ok_b double")
+    for limit in (nearest.CHUNK, 2):  # as one matrix, and dealt in parts
+        nearest.CHUNK, kept = limit, nearest.CHUNK
+        try:
+            got = nearest.rank_threads(row, ["k"], threads, 3).where("k = 1").orderBy("rank").collect()
+        finally:
+            nearest.CHUNK = kept
+        assert [r["number"] for r in got] == ["310", "B5200", "blanc"]
+
+
 def test_images_have_palettes_of_their_own(spark, threads):
     one = quadrants(spark, 12)
     two = one.where("y < 6").withColumn("img", F.lit(1))
