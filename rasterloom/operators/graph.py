@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 from ..workspace import Rounds
 from .links import connected_components
-from .stencil import across, down
+from .stencil import _moved, across, down, tiled
 
 _SHIFT = 1 << 32
 
@@ -53,17 +54,32 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return listed.select("img", "id", F.transform("l", lambda s: F.struct(s["id"].alias("id"), (-s["n"]).alias("shared"))).alias("neighbours"))
 
 
+#: Steps that one round of tiles follows.
+REACH = 32
+
+
 def _relaxed(rounds: Rounds, now: DataFrame) -> DataFrame:
-    """dist as far as steps of 1 and 1.4142 can lower it: rounds over row and column windows until nothing
-    changes; a pixel d steps from its nearest seed is final after d rounds."""
+    """dist as far as steps of 1 and 1.4142 can lower it: tiles with a margin of REACH follow as many steps, until a
+    round lowers nothing; a pixel d steps from its nearest seed is final after d / REACH rounds."""
+
+    def follow(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
+        first = np.where(there, planes["dist"], np.inf)
+        dist = first
+        for _ in range(REACH):
+            side = np.minimum(_moved(dist, -1, 0, np.inf), _moved(dist, 1, 0, np.inf))
+            near = np.minimum(side, np.minimum(_moved(dist, 0, -1, np.inf), _moved(dist, 0, 1, np.inf))) + 1.0
+            near = np.minimum(near, np.minimum(_moved(side, 0, -1, np.inf), _moved(side, 0, 1, np.inf)) + 1.4142)
+            after = np.where(there, np.minimum(dist, near), np.inf)
+            if (after == dist).all():
+                break
+            dist = after
+        return {"dist": dist, "__lower": (dist < first).astype(float)}
+
     while True:
-        side = F.least(*[F.coalesce(f("dist").over(across()), F.lit(float("inf"))) for f in (F.lag, F.lead)])
-        wide = now.withColumn("__s", side)
-        near = F.least(F.col("__s") + 1.0, *[F.coalesce(f("dist").over(down()), F.lit(float("inf"))) + 1.0 for f in (F.lag, F.lead)], *[F.coalesce(f("__s").over(down()), F.lit(float("inf"))) + 1.4142 for f in (F.lag, F.lead)])
-        after = rounds.keep(wide.withColumn("__n", near).withColumn("__moved", F.col("__n") < F.col("dist")).withColumn("dist", F.least("dist", "__n")).drop("__s", "__n"))
+        after = rounds.keep(tiled(now.withColumn("__lower", F.lit(0)), REACH, {"dist": "double", "__lower": "int"}, follow))
         rounds.drop(now)
-        now = after.drop("__moved")
-        if after.where("__moved").isEmpty():
+        now = after.drop("__lower")
+        if after.where("__lower = 1").isEmpty():
             return now
 
 

@@ -14,6 +14,8 @@ FOOTPRINT = {1: 1.05, 2: 2.1, 3: 3.2, 6: 6.0}
 STITCH_MM, LINE_STITCH_MM = 3.0, 2.5
 FULL_FONT, INDEX_FONT, CHAR_WIDTH = 2.4, 1.9, 0.62
 MIN_LABEL_MM2 = 1.5
+#: Fixed value: how near a palette thread must be to sew a stroke.
+SNAP_DELTA = 0.2
 #: Grid on which boxes that may overlap meet.
 CELL_MM = 10.0
 

@@ -139,7 +139,11 @@ def test_plan_runs_reuses_stages_and_keeps_the_area(spark, threads):
     assert (w, h) == (256, 256) and {r["number"] for r in out["palette"].collect()} == {"310", "B1", "321", "798"}
     legend = out["legend"].collect()
     assert len(legend) == 4 and sum(r["share"] for r in legend) == pytest.approx(1) and sum(r["area"] for r in legend) == pytest.approx(1600)
-    assert out["effort"].count() == 1 and set(plan.run(settings)["timings"]) == {"total"}
+    assert out["effort"].first()["strokes"] == out["strokes"].count() == 0 and out["line_legend"].count() == 0
+    rings = {r["comp"]: r["rings"] for r in out["outlines"].collect()}
+    assert len(rings) == 4 and all(len(r) == 1 for r in rings.values())
+    assert sorted((r["tier"], r["id"]) for r in out["places"].collect()) == [("full", k) for k in range(4)]
+    assert set(plan.run(settings)["timings"]) == {"total"}
 
 
 def test_params():
