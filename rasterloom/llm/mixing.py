@@ -13,10 +13,9 @@ them up to its threshold, without a shuffle by source, and otherwise splits a ho
 
 Defined cases: documents without a source are the source ''; null or empty texts have mass 0 and
 are replicated like others of their source; a source of mass 0 or weight 0 has rate 0; a null doc_id
-counts as the empty string; repeated rows get equal counts; a rate over ``MAX_RATE`` that follows
-from given weights is refused with an error, as a slip in them, while one that follows from the
-masses holds at any size; other columns go along, whatever their names; an empty table gives an empty
-result.
+counts as the empty string; repeated rows get equal counts; very long texts count with all their
+characters; a rate may be of any size, whether it follows from weights or from masses; other columns go
+along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-MAX_RATE = 64.0
 #: Largest rate whose probabilities are listed from 0 on; after TERMS of them the rest is under 1e-16.
 TABLE, TERMS = 64.0, 160
 #: Deviations on each side of a larger rate; the rest is under 1e-20.
@@ -51,8 +49,6 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
     totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("mass").cast("double").alias("all_mass"))
     share = F.when((F.col("mass") > 0) & (F.col("all_weight") > 0), F.lit(rate) * F.col("all_mass") * (F.col("weight") / F.col("all_weight")) / F.col("mass")).otherwise(0.0)
     rated = weighed.join(F.broadcast(totals)).withColumn("rate", share)  # totals is one row
-    if weights is not None:
-        rated = rated.withColumn("rate", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.concat(F.lit("repetition rate too large for source "), F.col("source"))).cast("double")).otherwise(F.col("rate")))
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")),

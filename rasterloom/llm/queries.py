@@ -147,11 +147,47 @@ select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)
     "op7_mixing": """
 with m as (select coalesce(source, '') as s, sum(length(coalesce(text, ''))) as mass from documents group by 1),
   r as (select s, case when mass > 0 then sum(mass) over () * (sqrt(mass) / sum(sqrt(mass)) over ()) / mass else 0 end as rate from m),
-  t as (select s, j, rate, case when j = 0 then exp(-rate) when rate > 0 then exp(-rate + j * ln(rate) - lgamma(j + 1)) else 0 end as p from r, range(0, 161) as x(j)),
+  n_of as (select s, rate, unnest(range(0, 30 + cast(ceil(rate + 12 * sqrt(rate)) as bigint))) as j from r),
+  t as (select s, j, rate, case when j = 0 then exp(-rate) when rate > 0 then exp(-rate + j * ln(rate) - lgamma(j + 1)) else 0 end as p from n_of),
   cdf as (select s, j, sum(p) over (partition by s order by j) as c from t),
   u as (select *, ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 as u from documents),
   n as (select u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) as n from u join cdf on cdf.s = coalesce(u.source, '') and cdf.c <= u.u group by all)
 select doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::integer as copy from n""",
+    "op11_conversations": r"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+  crc as (select key, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(key)), lambda i: ascii(key[i + 1])::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384::bigint) else v // 2 end)) as c from (select distinct key from raw)),
+  hurt as (select r.conv_id, r.turn, xor(c.c, 4294967295::bigint) % 20 as kind, r.role, r.text from raw r join crc c using (key)),
+  one as (select conv_id, turn, kind, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from hurt where kind <> 0),
+  dam as (select conv_id, turn, role, text from one union all select conv_id, turn, role, text from one where kind = 3),
+  num as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as n from dam),
+  seq as (select *, n > min(n) over (partition by conv_id, role, text) as again, rtrim(text, E' \t\n\x0b\x0c\r') as body from num),
+  f as (select conv_id, n, turn, role, text, substr(role, 1, 1) as i, ltrim(body, E' \t\n\x0b\x0c\r') = '' as blank, again, right(body, 1) not in ('.', '!', '?') as cut, lag(substr(role, 1, 1)) over (partition by conv_id order by n) as before from seq),
+  g as (select conv_id, n, i, role, text, turn, blank, again and not blank as dup, cut and not blank and not again as tru, case when n > 1 and before || i not in ('su', 'ua', 'au') then 1 else 0 end as bad from f),
+  len as (select conv_id, max(n) as len from g group by conv_id),
+  back as (select conv_id, len + 1 as n, 0 as c0, 6 as c1, 3 as c2, 0 as c3 from len
+    union all select conv_id, n, least(b0, b2 + 3, b3 + 6), least(b1, b2 + 3, b3 + 6), least(b2, b3 + 3), least(b3, b2 + 3) from (
+      select g.conv_id, g.n,
+        least(b.c0 + 4, case when g.blank or g.dup then 1000000000 else (case when g.tru then 3 else 0 end) + least(b.c2 + 3, case g.i when 's' then b.c1 when 'u' then b.c2 else 1000000000 end) end) as b0,
+        least(b.c1 + 4, case when g.blank or g.dup then 1000000000 else (case when g.tru then 3 else 0 end) + least(b.c2 + 3, case g.i when 'u' then b.c2 else 1000000000 end) end) as b1,
+        least(b.c2 + 4, case when g.blank or g.dup then 1000000000 else (case when g.tru then 3 else 0 end) + least(b.c3 + 3, case g.i when 'a' then b.c3 else 1000000000 end) end) as b2,
+        least(b.c3 + 4, case when g.blank or g.dup then 1000000000 else (case when g.tru then 3 else 0 end) + least(b.c2 + 3, case g.i when 'u' then b.c2 else 1000000000 end) end) as b3
+      from back b join g on g.conv_id is not distinct from b.conv_id and g.n = b.n - 1)),
+  cost as (select conv_id, n, unnest([0, 1, 2, 3]) as s, unnest([c0, c1, c2, c3]) as c from back),
+  opt as (select b.conv_id, b.n, b.s, b.c, g.i, g.role, g.text, g.blank or g.dup as gone, case when g.tru then 3 else 0 end as extra, case when b.s = 2 then 3 else 2 end as nx,
+      case when g.i = 's' and b.s = 0 then 1 when g.i = 'u' and b.s <> 2 then 2 when g.i = 'a' and b.s = 2 then 3 end as kp from cost b left join g on g.conv_id is not distinct from b.conv_id and g.n = b.n),
+  step as (select o.*, case when o.i is not null and d.c + 4 = o.c then 'D' when ins.c + 3 = o.c then 'I' when o.i is not null and not gone and kp is not null and k.c + extra = o.c then 'K' when o.i is not null and not gone then 'R' end as e
+    from opt o left join cost d on d.conv_id is not distinct from o.conv_id and d.n = o.n + 1 and d.s = o.s left join cost ins on ins.conv_id is not distinct from o.conv_id and ins.n = o.n and ins.s = o.nx
+      left join cost k on k.conv_id is not distinct from o.conv_id and k.n = o.n + 1 and k.s = o.kp),
+  path as (select conv_id, 1::bigint as n, 0 as s, '' as audit, []::varchar[] as said from len
+    union all select p.conv_id, case when t.e = 'I' then p.n else p.n + 1 end, case t.e when 'D' then p.s when 'K' then t.kp else t.nx end, p.audit || t.e,
+      case t.e when 'D' then p.said when 'K' then list_append(p.said, t.role || ':' || t.text) else list_append(p.said, (case t.nx when 2 then 'user:' else 'assistant:' end) || case t.e when 'R' then t.text else '' end) end
+    from path p join step t on t.conv_id is not distinct from p.conv_id and t.n = p.n and t.s = p.s where t.e is not null),
+  fin as (select conv_id, arg_max(audit, length(audit)) as audit, arg_max(said, length(audit)) as said from path group by conv_id),
+  sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (tru) as truncated, sum(bad) as illegal from g group by conv_id)
+select o.conv_id, coalesce(s.gaps, 0)::bigint as gaps, coalesce(s.blank, 0)::bigint as blank, coalesce(s.duplicate, 0)::bigint as duplicate, coalesce(s.truncated, 0)::bigint as truncated, coalesce(s.illegal, 0)::bigint as illegal,
+  coalesce(b.c0, 0)::bigint as cost, coalesce(f.audit, '') as audit, sha256(coalesce(array_to_string(f.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join sums s on s.conv_id is not distinct from o.conv_id left join fin f on f.conv_id is not distinct from o.conv_id left join back b on b.conv_id is not distinct from o.conv_id and b.n = 1""",
     "op9_near_vectors": f"""
 with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
   ok as (select vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from v where v is not null and list_inner_product(v, v) > 0),
