@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import color
 from .functions.text import file_name, xml_escape
 from .functions.color import LAB
-from .operators import export, geometry, graph, nearest, palette, pattern, regions, stencil, vector
+from .operators import export, geometry, graph, islands, nearest, palette, pattern, regions, stencil, vector
 from .sources import catalogue
 from .sources.lattice import RASTER_SQL, THREADS_SQL, event_raster, part_threads
 
@@ -519,13 +519,14 @@ def mask_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def inpaint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = kind_labels(spark, sf_dir)
-    return graph.inpaint_labels(labels, labels.where("label = 0"), 64).select("img", "i", "label")
+    return graph.inpaint_labels(labels, labels.where("label = 0")).select("img", "i", "label")
 
 
 @query()
 def merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = palette_table(spark, sf_dir)
-    return graph.absorb_islands(kind_labels(spark, sf_dir), table, 6, 0.5, 3).select("img", "i", "label")
+    """Event types' regions under six pixels absorbed, to the end, and then until an image has at most 400 regions."""
+    left, _ = islands.merge_islands(kind_labels(spark, sf_dir), palette_table(spark, sf_dir), 6, 0.5, 400)
+    return left.select("img", "i", "label")
 
 
 # --- palette
