@@ -171,27 +171,32 @@ def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column("doc_id").take(out), "window": batch.column("window").take(out)})
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            words = Words(part.column("text"))
-            texts, lists = part.column("text").to_pylist(), part.column("windows")
-            counts, removed, kept = words.counts, np.zeros(part.num_rows, np.int64), []
-            for i, text in enumerate(texts):
-                own = text.encode().split() if text else []
-                listed = lists[i].as_py() if own else None
-                if listed:
-                    h = grams(words.hash[words.first[i] : words.first[i + 1]], WINDOW)
-                    at = np.flatnonzero(np.isin(h, np.array(listed, np.int64).view(np.uint64)))
-                    depth = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + WINDOW, -1)
-                    cover = np.cumsum(depth[:-1]) > 0
-                    removed[i] = cover.sum()
-                    own = compress(own, ~cover)
-                kept.append(b" ".join(own))
-            carried = {c: part.column(c) for c in part.schema.names if c not in ("text", "windows")}
-            yield pa.record_batch(carried | {"n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+def _strip(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is left of each text without its lost windows; with ``whole`` a text that loses nothing stays as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column("text"))
+                texts, lists = part.column("text").to_pylist(), part.column("windows")
+                counts, removed, kept = words.counts, np.zeros(part.num_rows, np.int64), []
+                for i, text in enumerate(texts):
+                    own = text.encode().split() if text else []
+                    listed = lists[i].as_py() if own else None
+                    if listed:
+                        h = grams(words.hash[words.first[i] : words.first[i + 1]], WINDOW)
+                        at = np.flatnonzero(np.isin(h, np.array(listed, np.int64).view(np.uint64)))
+                        depth = np.zeros(len(own) + 1, np.int64)
+                        np.add.at(depth, at, 1)
+                        np.add.at(depth, at + WINDOW, -1)
+                        cover = np.cumsum(depth[:-1]) > 0
+                        removed[i] = cover.sum()
+                        own = compress(own, ~cover)
+                    kept.append(text if whole and not removed[i] else b" ".join(own).decode())
+                carried = {c: part.column(c) for c in part.schema.names if c not in ("text", "windows")}
+                yield pa.record_batch(carried | {"n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())})
+
+    return run
 
 
 class FingerprintIndex:
@@ -284,14 +289,15 @@ class FingerprintIndex:
         self.levels = []
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int = 4, fanout: int = 4, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int = 4, fanout: int = 4, index: FingerprintIndex | None = None, history: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Return doc_id, the carried columns of docs, n_words, n_removed, kept_text for every row of
     docs(doc_id, text, ...).
 
     Every word is removed that a window covers whose word sequence also starts in a document with a
     smaller doc_id.  The documents enter an index of their own in ``batches`` ranges of doc_id.  With an
     index of earlier batches docs are its next batch, and history(doc_id, text) holds the documents
-    indexed before, of which only those with suspect anchors are read on to verify.
+    indexed before, of which only those with suspect anchors are read on to verify.  With ``whole`` the
+    kept_text of a document that loses nothing is its text as it was, null for null.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -330,4 +336,4 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), batches: int =
         work.drop(listed)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
-    return carried.join(lost, "doc_id", "left").mapInArrow(_strip, f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")
+    return carried.join(lost, "doc_id", "left").mapInArrow(_strip(whole), f"doc_id long{kinds}, n_words long, n_removed long, kept_text string")
