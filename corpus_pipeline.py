@@ -53,10 +53,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows with a null doc_id neither cut nor are cut; null texts stay null and empty ones empty; a text of
     which nothing is left stays as the empty text; n_chars follows where a text is cut.
     """
-    out = remove_repeats(docs.select(*COLUMNS, F.col("text").alias("original")), carry=("original", "lang", "source", "n_chars"))
-    touched = F.col("n_removed") > 0
-    text = F.when(touched, F.col("kept_text")).otherwise(F.col("original"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(touched, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    out = remove_repeats(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), whole=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
