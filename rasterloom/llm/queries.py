@@ -194,4 +194,22 @@ with recursive v as (select vec_id, list_transform(embedding, lambda x: x::doubl
   edges as (select a.vec_id as id, b.vec_id as other from ok a join ok b on a.vec_id <> b.vec_id where list_inner_product(a.v, b.v) >= 0.95), {_REACH}
 select e.vec_id, coalesce(c.n, 0)::bigint as n_links, coalesce(component_id, e.vec_id) as component_id, coalesce(component_id, e.vec_id) = e.vec_id as kept
 from embeddings e left join (select id, count(*) as n from edges group by id) c on c.id = e.vec_id left join named on named.id = e.vec_id""",
+    "op13_periodic_runs": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, doc_id::varchar as key from documents),
+  crc as (select doc_id, w, len(w) as n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(key)), lambda i: ascii(key[i + 1])::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384::bigint) else v // 2 end)), 4294967295::bigint) as h from w),
+  g as (select doc_id, w, n, h % 10 = 0 and n > 0 as moved, case when n > 0 then (h // 10) % n else 0 end as a, h // 10 as g from crc),
+  p as (select *, 1 + (n - a) // (3 + g % 8) as p from g),
+  each as (select doc_id, n, i, case when moved and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as word from (select doc_id, w, n, moved, a, p, unnest(range(0, n)) as i from p)),
+  pair as (select x.doc_id, y.i - x.i as q, x.i from each x join each y on y.doc_id = x.doc_id and y.word = x.word and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+  isle as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from pair),
+  long_ as (select doc_id, q, min(i) as start, count(*) + q as length from isle group by doc_id, q, k having count(*) + q >= greatest(24, 3 * q)),
+  run as (select doc_id, start, length, min(q) as period from long_ group by doc_id, start, length),
+  best as (select * from (select *, row_number() over (partition by doc_id order by length / period desc, start, period) as r from run) where r = 1),
+  told as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from run group by doc_id),
+  gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+  kept as (select e.doc_id, string_agg(e.word, ' ' order by e.i) as kept from each e left join gone o on o.doc_id = e.doc_id and o.i = e.i where o.i is null group by e.doc_id)
+select d.doc_id, coalesce(t.n_runs, 0)::bigint as n_runs, b.start::bigint as start, b.length::bigint as length, b.period::bigint as period, (1000 * b.length // b.period)::bigint as exponent_milli,
+  sha256(coalesce(t.listed, '')) as runs_sha256, sha256(coalesce(k.kept, '')) as collapsed_sha256
+from documents d left join told t on t.doc_id = d.doc_id left join best b on b.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id""",
 }
