@@ -524,8 +524,8 @@ def inpaint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types' regions under six pixels absorbed, to the end, and then until an image has at most 400 regions."""
-    left, _ = islands.merge_islands(kind_labels(spark, sf_dir), palette_table(spark, sf_dir), 6, 0.5, 400)
+    """Event types' regions under six pixels absorbed, smallest first, until nothing changes."""
+    left, _ = islands.merge_islands(kind_labels(spark, sf_dir), palette_table(spark, sf_dir), 6, 0.5)
     return left.select("img", "i", "label")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import KINDS_SQL, PIXELS_SQL, _edge_sql, high_mask, kind_labels, palette_table, pixels, query, r6
 from .functions.color import LAB
 from .operators import outline, skeleton, strokes, vector
+from .sources.lattice import event_raster
 from .workspace import Rounds
 
 _WAYS = "(case d when 0 then 1 when 2 then -1 else 0 end)", "(case d when 1 then 1 when 3 then -1 else 0 end)"
@@ -110,9 +111,17 @@ def inpaint_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strokes.inpaint_colour(holes.select("img", "i", "x", "y", *LAB, "hole")).select("img", "i", *[r6(c, c) for c in LAB])
 
 
+def _drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with a stroke of two pixels every twenty rows, which breaks where an event's value is high, and grain."""
+    ink = (F.col("y") % 20).isin(10, 11) & F.col("x").between(6, 93) & (F.col("value") < 200)
+    lightness = F.when(ink, 0.2).otherwise(0.95) + F.col("value") % 7 / 1000
+    return event_raster(spark, sf_dir).select("img", "i", "x", "y", lightness.alias("ok_l"), F.lit(0.0).alias("ok_a"), F.lit(0.0).alias("ok_b"))
+
+
 @query()
 def detect_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = strokes.detect_strokes(pixels(spark, sf_dir), 3.2, 6.0, 0.16, 2.0)
+    """Strokes of pages drawn from the events."""
+    found, _ = strokes.detect_strokes(_drawing(spark, sf_dir), 3.2, 6.0, 0.16, 2.0)
     return found.select("img", "comp", F.size("paths").alias("paths"), r6("width_px", "width_px"), r6("length_px", "length_px"), *[r6(c, c) for c in LAB])
 
 
