@@ -159,6 +159,16 @@ def oklab_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("img", "i", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+_shade = _mul(color.FROM_LMS, [f"pow({e}, 3)" for e in _mul(color.FROM_OKLAB, ["(0.9e0 * ok_l)", "ok_a", "ok_b"])])
+
+
+@query(f"with {PIXELS_SQL}, lin as (select img, i, {', '.join(f'{e} as {n}' for e, n in zip(_shade, ('lr', 'lg', 'lb'), strict=True))} from px), back as (select img, i, {_enc('lr')} as r, {_enc('lg')} as g, {_enc('lb')} as b from lin), {_cielab_sql('back', 'cie')} select img, i, round(cl, 5) as l_star, round(ca, 5) as a_star, round(cb, 5) as b_star from cie")
+def lab_from_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CIELAB of colours a tenth darker than the pixels."""
+    light, a, b = color.lab_from_centroid((F.lit(0.9) * F.col("ok_l"), F.col("ok_a"), F.col("ok_b")))
+    return pixels(spark, sf_dir).select("img", "i", F.round(light, 5).alias("l_star"), F.round(a, 5).alias("a_star"), F.round(b, 5).alias("b_star"))
+
+
 _HUE = "(case when degrees(atan2({b}, {a})) < 0 then degrees(atan2({b}, {a})) + 360e0 else degrees(atan2({b}, {a})) end)"
 
 

@@ -75,6 +75,11 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Triple:
     return lit(116) * fy - lit(16), lit(500) * (fx - fy), lit(200) * (fy - fz)
 
 
+def lab_from_centroid(v: Triple) -> Triple:
+    """CIELAB of a mean colour in OKLab as it would be shown: through whole sRGB channels."""
+    return rgb_to_lab(*oklab_to_rgb(v))
+
+
 def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lpad(F.hex(c.cast("bigint")), 2, "0") for c in (r, g, b)])
 
