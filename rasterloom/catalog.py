@@ -203,7 +203,7 @@ def _de_sql() -> str:
     p7 = "sqrt(pow({c}, 7) / (pow({c}, 7) + pow(25e0, 7)))"
     return f"""with {THREADS_SQL}, {_cielab_sql('threads', 'cie')},
   a as (select p.number as n1, q.number as n2, p.cl as l1, q.cl as l2, p.cb as b1, q.cb as b2, 0.5e0 * (1 - {p7.format(c='((sqrt(p.ca*p.ca+p.cb*p.cb) + sqrt(q.ca*q.ca+q.cb*q.cb)) / 2)')}) as g, p.ca as a1, q.ca as a2
-        from cie p join cie q on p.ord < q.ord),
+        from cie p join cie q on p.ord < {PALETTE} and p.ord < q.ord),
   b as (select n1, n2, l1, l2, b1, b2, (1 + g) * a1 as a1, (1 + g) * a2 as a2 from a),
   c as (select *, sqrt(a1 * a1 + b1 * b1) as c1, sqrt(a2 * a2 + b2 * b2) as c2 from b),
   d as (select *, {h.format(a='a1', b='b1', c='c1')} as h1, {h.format(a='a2', b='b2', c='c2')} as h2 from c),
@@ -217,11 +217,13 @@ select n1, n2, round(sqrt(greatest(0, dl * dl + dc * dc + dhh * dhh + rt * dc *
 
 @query(_de_sql())
 def delta_e_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every catalogue colour against the palette's."""
     lab = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     t = part_threads(spark, sf_dir).select("ord", "number", *[c.alias(n) for c, n in zip(lab, ("cl", "ca", "cb"), strict=True)])
     p, q = (t.select(F.col("ord").alias(f"o{k}"), F.col("number").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("cl", "ca", "cb")]) for k in (1, 2))
     one, two = (tuple(F.col(f"{c}{k}") for c in ("cl", "ca", "cb")) for k in (1, 2))
-    return p.join(q, F.col("o1") < F.col("o2")).select("n1", "n2", F.round(color.delta_e_2000(one, two), 5).alias("delta_e"))
+    few = F.broadcast(p.where(F.col("o1") < PALETTE))  # a constant 16 rows
+    return q.join(few, F.col("o1") < F.col("o2")).select("n1", "n2", F.round(color.delta_e_2000(one, two), 5).alias("delta_e"))
 
 
 # --- nearest colours and lookups
@@ -564,11 +566,11 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("img", "slot", r6("weight", "weight"), r6("ok_l", "l_ok"), r6("ok_a", "a_ok"), r6("ok_b", "b_ok"), r6("ramp_share", "ramp_share"), r6("share", "share"))
 
 
-@query(f"""with {LIBRARY_SQL}, p as (select cast(ord % 7 as integer) as img, ord as idx, ord % 4 = 0 as locked, ok_l, ok_a, ok_b from lib),
+@query(f"""with {LIBRARY_SQL}, p as (select cast(floor(ord / 32) as integer) as img, ord as idx, ord % 4 = 0 as locked, ok_l, ok_a, ok_b from lib),
   d as (select p.img, p.idx as i, t.idx as j, round(sqrt(1.96e0 * (p.ok_l - t.ok_l) * (p.ok_l - t.ok_l) + (p.ok_a - t.ok_a) * (p.ok_a - t.ok_a) + (p.ok_b - t.ok_b) * (p.ok_b - t.ok_b)), 9) as distance from p join p t on t.img = p.img and p.idx < t.idx and not (p.locked and t.locked)), m as (select img, min(struct_pack(distance := distance, i := i, j := j)) as m from d group by img)
 select img, m.i as i, m.j as j, round(m.distance, 6) as distance from m""")
 def closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = library(spark, sf_dir).select((F.col("ord") % 7).alias("img"), F.col("ord").alias("idx"), (F.col("ord") % 4 == 0).alias("locked"), *LAB)
+    p = library(spark, sf_dir).select(F.floor(F.col("ord") / 32).cast("int").alias("img"), F.col("ord").alias("idx"), (F.col("ord") % 4 == 0).alias("locked"), *LAB)
     return palette.closest_pair(p).select("img", "i", "j", r6("distance", "distance"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
@@ -73,6 +73,13 @@ def nearest_literal(pixels: DataFrame, palette: list[tuple[int, float, float, fl
     return pixels.select(*names).mapInArrow(run, f"{schema}, `{out}` int")
 
 
+def first_of_colour(threads: DataFrame, order: list[Column], k: int = 1) -> DataFrame:
+    """ord, number, ok_* of the first k rows of each colour.  A search for the k nearest needs no others, since rows of
+    one colour are equally far and go by their order; a catalogue that repeats its colours shrinks before it travels."""
+    at = F.row_number().over(Window.partitionBy(*LAB).orderBy(*order))
+    return threads.select("ord", "number", *LAB).withColumn("__at", at).where(F.col("__at") <= k).drop("__at")
+
+
 def _catalogue(threads: DataFrame, order: list[Column]) -> list[tuple[object, ...]] | None:
     """ord, number, ok_* of a catalogue of at most CHUNK colours in the given order; None if there are more."""
     rows = [tuple(r) for r in threads.select("ord", "number", *LAB).orderBy(*order).limit(CHUNK + 1).collect()]
@@ -106,7 +113,7 @@ def _measured(lightness: float) -> Column:
 def nearest_thread(rows: DataFrame, key: list[str], threads: DataFrame, excluded: DataFrame | None = None, lightness: float = 1.0) -> DataFrame:
     """key, ord, number, distance_sq: for each row the nearest catalogue colour not excluded; the first
     in catalogue order of equals, null if all are excluded.  Distances are to nine decimals."""
-    free = threads.join(excluded.select("number"), "number", "left_anti") if excluded is not None else threads
+    free = first_of_colour(threads.join(excluded.select("number"), "number", "left_anti") if excluded is not None else threads, [F.col("ord")])
     known = _catalogue(free, [F.col("ord")])
     if known is not None:
         colours = Colours(np.array([r[2:] for r in known], float), lightness)
@@ -134,8 +141,9 @@ def snap(rows: DataFrame, key: list[str], palette: DataFrame, threads: DataFrame
 
 def rank_threads(rows: DataFrame, key: list[str], threads: DataFrame, k: int = 12) -> DataFrame:
     """The k nearest colours of each row by distance, then number in the order of the root locale."""
-    local = F.collate("number", "UNICODE")
-    known = _catalogue(threads, [local, F.col("number")])
+    local = [F.collate("number", "UNICODE"), F.col("number")]
+    threads = first_of_colour(threads, local, k)
+    known = _catalogue(threads, local)
     if known is not None:
         colours, numbers, n = Colours(np.array([r[2:] for r in known], float)), np.array([r[1] for r in known] or [""], object), len(known)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import LAB
 from ..workspace import Rounds
-from .nearest import _beside, _measured, _sq, steps
+from .nearest import _beside, _measured, _sq, first_of_colour, steps
 
 
 #: Columns of the mean colour of a palette entry's pixels.
@@ -103,6 +103,15 @@ def _free_threads(rows: DataFrame, threads: DataFrame, used: str) -> DataFrame:
     return pairs.withColumn("best", best).groupBy("img").agg(F.min("best").alias("best"))
 
 
+def _nearest_few(rows: DataFrame, key: list[str], threads: DataFrame, k: int) -> DataFrame:
+    """Each row's k nearest colours, as best: an array of (s, ord, number, d) in order."""
+    pairs, parts = _beside(rows, threads)
+    best = pairs.select(*key, F.slice(F.array_sort(_measured(1.0)), 1, k).alias("best"))
+    if parts == 1:
+        return best
+    return best.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
 def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tuple[str, ...] = (), halo: float = 1.1, iterations: int = 24) -> DataFrame:
     """img, idx, ord, number, ok_*, share, locked, mean_*: the palette of every image of the samples, lightest first.
 
@@ -110,16 +119,17 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
     slots) and one aggregation, after which each free slot moves to the nearest thread that no other slot
     of its image has.  Starts are the locked threads, then threads nearest to samples that are drawn, seeded, with
     their weight (the first) and their weight times the squared distance to the nearest start (the others).  A slot
-    without samples dies.  mean_* is the weighted mean colour of a slot's samples.
+    without samples dies.  mean_* is the weighted mean colour of a slot's samples.  A catalogue may have any size: an
+    image has at most k threads in use, so the k nearest of a slot's mean hold its nearest free one.
     """
     rounds = Rounds(sampled.sparkSession, "palette")
     data = rounds.keep(sampled)
-    library = rounds.keep(threads.select("ord", "number", *LAB))
+    whole = rounds.keep(threads.select("ord", "number", *LAB))
     images = rounds.keep(data.select("img").distinct())
-    size = library.count()
-    k = max(1, min(k, size))
+    k = max(1, min(k, whole.count()))
+    library = rounds.keep(first_of_colour(whole, [F.col("ord")], k))
     wanted = sampled.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(locked))], "number string, slot int")
-    kept = library.join(wanted, "number").withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1).where(F.col("slot") < k)  # a few rows that the caller named
+    kept = whole.join(wanted, "number").withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1).where(F.col("slot") < k)  # a few rows that the caller named
     fixed = kept.count()
     slots = rounds.keep(images.join(F.broadcast(kept.withColumn("fixed", F.lit(True)))).selectExpr(*_SLOT.split(", ")))
     draws = xorshift32(SEED)
@@ -130,30 +140,29 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
         starts = drawn.join(mine.select("img", "used"), "img", "left").select("img", *LAB, F.coalesce("used", F.array().cast("array<int>")).alias("used"))
         new = _free_threads(starts.select("img", *LAB, "used"), library, "used").select("img", F.lit(at).alias("slot"), "best.ord", "best.number").join(library.select("ord", *LAB), "ord").withColumn("fixed", F.lit(False))
         slots = rounds.keep(slots.unionByName(new))
-    colours = {r["ord"]: (r["number"], r["ok_l"], r["ok_a"], r["ok_b"]) for r in library.collect()} if size <= 4096 else None
-    if colours is None:
-        raise ValueError("palettes are drawn from catalogues of at most 4096 colours")
 
     def means() -> DataFrame:
         return slot_means(nearest_slot(data, slots)).withColumnsRenamed({c: f"m{c}" for c in LAB})
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
-        """The slots of one image, each at its nearest free thread; k rows."""
+        """The slots of one image, each at the nearest of its colours that is free; k rows."""
         rows = rows.sort_values("slot")
         used, out = set(rows.loc[rows.fixed, "ord"].tolist()), []
         for r in rows.itertuples():
             to = r.ord
             if not r.fixed:
-                if pd.isna(r.mok_l):
+                if r.best is None:
                     continue
-                to = min((o for o in colours if o not in used), key=lambda o: (round((colours[o][1] - r.mok_l) ** 2 + (colours[o][2] - r.mok_a) ** 2 + (colours[o][3] - r.mok_b) ** 2, 12), o))
+                to = next(t["ord"] for t in r.best if t["ord"] not in used)
                 used.add(to)
-            out.append((r.img, len(out), to, *colours[to], r.fixed, to != r.ord))
-        return pd.DataFrame(out, columns=["img", "slot", "ord", "number", *LAB, "fixed", "moved"])
+            out.append((r.img, len(out), to, r.fixed, to != r.ord))
+        return pd.DataFrame(out, columns=["img", "slot", "ord", "fixed", "moved"])
 
     for turn in range(iterations):
-        known = slots.join(means().drop("weight", "share", "ramp_share"), ["img", "slot"], "left")
-        after = rounds.keep(known.groupBy("img").applyInPandas(move, f"img {dict(slots.dtypes)['img']}, slot int, ord int, number string, ok_l double, ok_a double, ok_b double, fixed boolean, moved boolean"))
+        best = _nearest_few(means().select("img", "slot", *[F.col(f"m{c}").alias(c) for c in LAB]), ["img", "slot"], library, k)
+        known = slots.select("img", "slot", "ord", "fixed").join(best, ["img", "slot"], "left")
+        moved = known.groupBy("img").applyInPandas(move, f"img {dict(slots.dtypes)['img']}, slot int, ord int, fixed boolean, moved boolean")
+        after = rounds.keep(moved.join(whole, "ord").selectExpr(*_SLOT.split(", "), "moved"))
         same = turn and after.where("moved").isEmpty() and after.count() == slots.count()
         slots = after.drop("moved")
         if same:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB, hex_to_rgb, rgb_to_hex, rgb_to_lab, rgb_to_oklab
@@ -59,12 +59,17 @@ def clean_catalogue(raw: DataFrame) -> DataFrame:
 
 
 def ordered(catalogue: DataFrame) -> DataFrame:
-    """Add ord, the position by card row in natural order; ties of colour distance go by it."""
-    from pyspark.sql import Window
+    """Add ord, the position by card row in natural order; ties of colour distance go by it.
 
+    Positions are running counts over the cards (the first numbers) and ranks inside a card, so that only the table of
+    cards is sorted in one place.  Rows without a first or second number come before those with one."""
     parts = F.split("card_row", "-")
-    # a catalogue is a few hundred rows, so one sorted partition is its natural form
-    return catalogue.withColumn("ord", F.row_number().over(Window.orderBy(parts[0].cast("int"), parts[1].cast("int"), "number")) - 1)
+    rows = catalogue.withColumns({"__card": F.try_element_at(parts, F.lit(1)).try_cast("int"), "__place": F.try_element_at(parts, F.lit(2)).try_cast("int")})
+    cards = rows.groupBy("__card").agg(F.count("*").alias("n"))
+    before = cards.select(F.col("__card").alias("__own"), (F.sum("n").over(Window.orderBy(F.asc_nulls_first("__card"))) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__card").orderBy(F.asc_nulls_first("__place"), "number")) - 1
+    placed = rows.withColumn("ord", inside).join(before, F.col("__card").eqNullSafe(F.col("__own")))
+    return placed.withColumn("ord", (F.col("ord") + F.col("__before")).cast("int")).drop("__card", "__place", "__own", "__before")
 
 
 def build_library(catalogue: DataFrame) -> DataFrame:

@@ -30,10 +30,10 @@ RASTER_SQL = """raster as (
   from events)"""
 
 
-def part_threads(spark: SparkSession, sf_dir: str, size: int = 454) -> DataFrame:
-    """threads(ord, number, name, r, g, b): a catalogue of the usual size from the part table."""
+def part_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """threads(ord, number, name, r, g, b): the part table as a catalogue."""
     p, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
-    return p.where(k < size).select(
+    return p.select(
         k.cast("int").alias("ord"), k.cast("string").alias("number"), F.col("p_name").alias("name"),
         ((k * 73 + 19) % 256).cast("int").alias("r"), ((k * 151 + 7) % 256).cast("int").alias("g"), ((k * 199 + 101) % 256).cast("int").alias("b"),
     )
@@ -42,4 +42,4 @@ def part_threads(spark: SparkSession, sf_dir: str, size: int = 454) -> DataFrame
 THREADS_SQL = """threads as (
   select cast(p_partkey as integer) as ord, cast(p_partkey as varchar) as number, p_name as name,
     cast((p_partkey * 73 + 19) % 256 as integer) as r, cast((p_partkey * 151 + 7) % 256 as integer) as g, cast((p_partkey * 199 + 101) % 256 as integer) as b
-  from part where p_partkey < 454)"""
+  from part)"""

@@ -123,6 +123,45 @@ def test_large_catalogues_are_dealt(spark, threads, monkeypatch):
     assert [sorted(map(tuple, f.collect())) for f in (nearest.nearest_thread(threads.withColumnRenamed("number", "own"), ["own"], threads), nearest.rank_threads(threads.withColumnRenamed("number", "own"), ["own"], threads, 3))] == want
 
 
+def test_repeated_colours_count_once_and_rank_whole(spark, threads):
+    """A catalogue of many rows of few colours, against a plain search over all rows."""
+    rng = random.Random(5)
+    lab = [tuple(rng.random() for _ in range(3)) for _ in range(6)]
+    rows = [(i, f"{i * 37 % 101:03d}", *lab[rng.randrange(6)]) for i in range(101)]
+    many = spark.createDataFrame(rows, "ord int, number string, ok_l double, ok_a double, ok_b double")
+    asked = [(k, *(rng.random() for _ in range(3))) for k in range(9)]
+    at = spark.createDataFrame(asked, "k int, ok_l double, ok_a double, ok_b double")
+
+    def far(q, t):
+        return int(sum((x - y) ** 2 for x, y in zip(q[1:], t[2:], strict=True)) * 1e9 + 0.5)
+
+    assert nearest.first_of_colour(many, [F.col("ord")], 2).count() == 12
+    near = {r["k"]: r["ord"] for r in nearest.nearest_thread(at, ["k"], many).collect()}
+    assert near == {q[0]: min(rows, key=lambda t: (far(q, t), t[0]))[0] for q in asked}
+    ranked = {(r["k"], r["rank"]): r["number"] for r in nearest.rank_threads(at, ["k"], many, 20).collect()}
+    assert ranked == {(q[0], n + 1): t[1] for q in asked for n, t in enumerate(sorted(rows, key=lambda t: (far(q, t), t[1]))[:20])}
+
+
+def test_palettes_of_large_catalogues_are_dealt(spark, threads, monkeypatch):
+    px = quadrants(spark, 8).withColumns(dict(zip(LAB, color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), strict=True))).withColumn("mask", F.lit(True)).withColumn("ramp", F.lit(False)).withColumn("contrast", F.lit(0.0))
+    sample = palette.samples(px, 1, 1.0)
+    copies = threads.unionByName(threads.withColumns({"ord": F.col("ord") + 10, "number": F.concat(F.lit("x"), "number")}))
+
+    def found():
+        return sorted((r["idx"], r["number"], round(r["share"], 9)) for r in palette.extract_palettes(sample, copies, 6, ("x800",)).collect())
+
+    want = found()
+    assert {n for _, n, _ in want} == {"310", "B1", "321", "798", "x800"}
+    monkeypatch.setattr(nearest, "CHUNK", 3)
+    assert found() == want
+
+
+def test_cards_of_any_shape_have_places(spark):
+    rows = [("a", "2-1"), ("b", "10-1"), ("c", "2-10"), ("d", None), ("e", "2"), ("f", "x-3"), ("g", "2-1"), ("h", "")]
+    got = {r["number"]: r["ord"] for r in catalogue.ordered(spark.createDataFrame(rows, "number string, card_row string")).collect()}
+    assert [n for n, _ in sorted(got.items(), key=lambda t: t[1])] == ["d", "h", "f", "e", "a", "g", "c", "b"] and sorted(got.values()) == list(range(8))
+
+
 def test_strokes_and_locks(spark):
     p = spark.createDataFrame([(0, "1"), (0, "2")], "img int, number string")
     s = spark.createDataFrame([(0, "2"), (0, "3"), (0, "3")], "img int, number string")
