@@ -7,11 +7,11 @@ import time
 from dataclasses import asdict
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import geometry, graph, islands, nearest, outline, palette, pattern, regions, stencil, strokes, vector
+from ..operators import geometry, graph, islands, nearest, outline, palette, pattern, regions, stencil, strokes, svg, vector
 from ..functions.color import LAB
 from ..workspace import Rounds
 from . import params as P
@@ -102,4 +102,18 @@ class Plan:
         placed = named.select("img", "id", "area_mm2", "number", "legend_no", (F.col("radius_px") * mm).alias("radius_mm"), (F.col("pole_x") * mm).alias("x"), (F.col("pole_y") * mm).alias("y"))
         tiers = pattern.label_tiers(placed)
         texts = tiers.withColumn("text", F.when(F.col("tier") == "full", F.col("number")).otherwise(F.col("legend_no").cast("string")))
-        return pattern.place_leaders(texts, pattern.leader_candidates(texts, s.width_mm, s.height_mm))
+        places = pattern.place_leaders(texts, pattern.leader_candidates(texts, s.width_mm, s.height_mm))
+        return places.join(texts.select("img", "id", "text", F.col("x").alias("from_x"), F.col("y").alias("from_y")), ["img", "id"])
+
+    def pages(self, out: dict[str, Any], **options: Any) -> DataFrame:
+        """The result of ``run`` as lines of SVG pages; options are those of ``svg.Page``."""
+        s = out["settings"]
+        _, _, mm = P.working_resolution(P.Settings(**s), P.derive(P.Settings(**s)).px_per_mm)
+        page = svg.Page(s["width_mm"], s["height_mm"], mm, **options)
+        colours = self.library.select("number", "name", "r", "g", "b")
+        named = out["palette"].select("img", F.col("idx").alias("palette_idx"), "number").join(colours, "number")
+        hexed = colours.select("number", "name", color.rgb_to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
+        regions = out["regions"].join(out["outlines"], ["img", "comp"]).withColumnRenamed("label", "palette_idx").join(named, ["img", "palette_idx"])
+        legend = out["legend"].join(named.select("img", "palette_idx", "number"), ["img", "palette_idx"]).join(hexed, "number")
+        strokes = out["strokes"].join(hexed, "number").withColumn("id", F.row_number().over(Window.partitionBy("img").orderBy("source", "comp")) - 1)
+        return svg.svg_lines(page, out["regions"].select("img"), regions, legend, strokes, out["line_legend"].join(hexed, "number"), out["places"], out["effort"])
