@@ -1,5 +1,4 @@
 import struct
-import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
@@ -183,9 +182,6 @@ def test_plan_runs_reuses_stages_and_keeps_the_area(spark, threads):
     rings = {r["comp"]: r["rings"] for r in out["outlines"].collect()}
     assert len(rings) == 4 and all(len(r) == 1 for r in rings.values())
     assert sorted((r["tier"], r["id"]) for r in out["places"].collect()) == [("full", k) for k in range(4)]
-    lines = sorted((r["layer"], r["ord"], r["line"]) for r in plan.pages(out, project="Bird").collect())
-    root = ET.fromstring("\n".join(line for *_, line in lines).encode())
-    assert sum(e.get("id", "").startswith("region-") for e in root.iter()) == 4 and "4 regions · 4 colours" in "".join(root.itertext())
     assert set(plan.run(settings)["timings"]) == {"total"}
 
 

@@ -1,8 +1,15 @@
 import xml.etree.ElementTree as ET
 
+from dataclasses import asdict
+
 import pytest
+from pyspark.sql import functions as F
 
-from rasterloom.operators import svg
+from rasterloom.functions import color
+from rasterloom.functions.color import LAB
+from rasterloom.operators import graph, outline, pattern, regions, svg
+from rasterloom.plans import params as P
+from rasterloom.plans.pipeline import Plan
 
 NS = {"s": "http://www.w3.org/2000/svg"}
 
@@ -64,3 +71,23 @@ def test_pages_are_written_in_order(tables, tmp_path):
     for img in (0, 1):
         (file,) = (tmp_path / "pages" / f"img={img}").glob("*.txt")
         assert file.read_text() == "".join(r["line"] + "\n" for r in page_of(lines, img)[1])
+
+
+def test_pages_of_a_plan(spark):
+    """The tables of a plan of 12 x 12 pixels: two regions, one stroke; their labels are placed by the plan."""
+    t = spark.createDataFrame([(0, "310", "Black", 0, 0, 0), (1, "321", "Red", 200, 20, 40)], "ord int, number string, name string, r int, g int, b int")
+    library = t.withColumns(dict(zip(LAB, color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
+    labels = spark.createDataFrame([(0, y * 12 + x, x, y, int(x >= 6)) for y in range(12) for x in range(12)], "img int, i long, x int, y int, label int")
+    plan = Plan(labels, 12, 12, library)
+    s = P.Settings(width_mm=40, height_mm=40, thread_count=2)
+    chosen = library.select(F.lit(0).alias("img"), F.col("ord").alias("idx"), "number", *LAB)
+    table = chosen.select("img", F.col("idx").alias("label"), *LAB)
+    pixels = plan.rounds.keep(graph.chamfer(graph.components(labels)))
+    rows = regions.region_graph(pixels, table, 1.0)
+    legend = pattern.legend(rows.select("img", F.col("label").alias("palette_idx"), F.col("area_mm2").alias("area")))
+    raw = spark.createDataFrame([(0, "marks", 7, [[(1.0, 1.0), (1.0, 4.0)]], 1.0, 3.0, 0.0, 0.0, 0.0)], f"img int, source string, comp int, paths array<array<struct<x double, y double>>>, width_px double, length_px double, {', '.join(f'{c} double' for c in LAB)}")
+    sewn = plan._sewn(raw, chosen, 1.0, 2)
+    out = {"settings": asdict(s), "palette": chosen, "regions": rows, "outlines": outline.vectorize(pixels, 0.5, 1, 80).withColumnRenamed("region", "comp"), "legend": legend, "strokes": sewn, "line_legend": pattern.line_legend(sewn), "places": plan._labels(rows, legend, chosen, 1.0, s), "effort": None}
+    root, _ = page_of(plan.pages(out, project="Bird"), 0)
+    assert [e.get("data-dmc") for e in root.findall(".//s:g[@id='regions']/s:path", NS)] == ["310", "321"] and root.find(".//s:g[@id='lines']/s:path", NS).get("data-dmc") == "310"
+    assert [e.text for e in root.findall(".//s:g[@id='labels']/s:text", NS)] == ["310", "321"] and "2 regions · 2 colours · 1 lines" in "".join(root.itertext())
