@@ -90,4 +90,4 @@ def test_pages_of_a_plan(spark):
     out = {"settings": asdict(s), "palette": chosen, "regions": rows, "outlines": outline.vectorize(pixels, 0.5, 1, 80).withColumnRenamed("region", "comp"), "legend": legend, "strokes": sewn, "line_legend": pattern.line_legend(sewn), "places": plan._labels(rows, legend, chosen, 1.0, s), "effort": None}
     root, _ = page_of(plan.pages(out, project="Bird"), 0)
     assert [e.get("data-dmc") for e in root.findall(".//s:g[@id='regions']/s:path", NS)] == ["310", "321"] and root.find(".//s:g[@id='lines']/s:path", NS).get("data-dmc") == "310"
-    assert [e.text for e in root.findall(".//s:g[@id='labels']/s:text", NS)] == ["310", "321"] and "2 regions · 2 colours · 1 lines" in "".join(root.itertext())
+    assert [e.text for e in root.findall(".//s:g[@id='labels']/s:text", NS)] == ["1", "2"] and "2 regions · 2 colours · 1 lines" in "".join(root.itertext())
