@@ -35,13 +35,17 @@ def closest_pair(palette: DataFrame, lightness: float = 1.4) -> DataFrame:
     """img, i, j, distance: the closest two entries of which not both are locked; first of equals.  Distances in lightness
     weigh ``lightness`` times as much.
 
-    palette(img, idx, locked, ok_*) holds a few dozen rows an image, so the self-join is small."""
-    a = palette.select("img", F.col("idx").alias("i"), F.col("locked").alias("li"), *[F.col(c).alias(f"p{c}") for c in LAB])
-    b = palette.select("img", F.col("idx").alias("j"), F.col("locked").alias("lj"), *LAB)
+    palette(img, idx, locked, ok_*) holds a few dozen rows an image, so its pairs are made and dropped inside one row, and
+    only the palette itself is shuffled and sorted."""
     weight = dict(zip(LAB, (lightness, 1.0, 1.0), strict=True))
-    d = F.round(F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * F.lit(w) * (F.col(c) - F.col(f"p{c}")) * F.lit(w) for c, w in weight.items()), F.lit(0.0))), 9)
-    pairs = a.join(b, "img").where("i < j and not (li and lj)").withColumn("distance", d)
-    best = pairs.groupBy("img").agg(F.min(F.struct("distance", "i", "j")).alias("m"))
+    packed = palette.groupBy("img").agg(F.collect_list(F.struct("idx", "locked", *LAB)).alias("all"))
+
+    def nearest(p: Column) -> Column:
+        others = F.filter("all", lambda q: (p["idx"] < q["idx"]) & ~(p["locked"] & q["locked"]))
+        d2 = lambda q: sum(((q[c] - p[c]) * F.lit(w) * (q[c] - p[c]) * F.lit(w) for c, w in weight.items()), F.lit(0.0))
+        return F.array_min(F.transform(others, lambda q: F.struct(F.round(F.sqrt(d2(q)), 9).alias("distance"), p["idx"].alias("i"), q["idx"].alias("j"))))
+
+    best = packed.select("img", F.array_min(F.transform("all", nearest)).alias("m")).where("m is not null")
     return best.select("img", "m.i", "m.j", "m.distance")
 
 
