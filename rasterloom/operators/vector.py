@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stencil import across, down
+from .stencil import across, dealt, down
 
 
 def crack_edges(pixels: DataFrame, column: str = "comp") -> DataFrame:
@@ -17,10 +17,10 @@ def crack_edges(pixels: DataFrame, column: str = "comp") -> DataFrame:
     Vertical edges run down and horizontal ones right; left and right are as seen along the edge.
     """
     me = F.coalesce(F.col(column), F.lit(-1))
-    base = pixels.select("img", "x", "y", me.alias("me"))
+    base, rows = pixels.select("img", "x", "y", me.alias("me")), pixels.count()
 
-    def pair(w, at: Column, far: Column, along: tuple[Column, Column, Column, Column], first_is_left: bool) -> DataFrame:
-        before = base.withColumn("near", F.lag("me").over(w)).withColumn("last", F.lead("me").over(w).isNull())
+    def pair(w, line: str, at: Column, far: Column, along: tuple[Column, Column, Column, Column], first_is_left: bool) -> DataFrame:
+        before = dealt(base, rows, "img", line).withColumn("near", F.lag("me").over(w)).withColumn("last", F.lead("me").over(w).isNull())
         inner = before.select("img", *along, F.coalesce("near", F.lit(-1)).alias("p"), F.col("me").alias("q"))
         ends = tuple(c.alias(n) for c, n in zip(far, ("x0", "y0", "x1", "y1"), strict=True))
         outer = before.where("last").select("img", *ends, F.col("me").alias("p"), F.lit(-1).alias("q"))
@@ -29,15 +29,16 @@ def crack_edges(pixels: DataFrame, column: str = "comp") -> DataFrame:
         return both.select("img", "x0", "y0", "x1", "y1", F.col(left).alias("left"), F.col(right).alias("right"))
 
     x, y = F.col("x"), F.col("y")
-    upright = pair(across(), x, (x + 1, y, x + 1, y + 1), tuple(c.alias(n) for c, n in zip((x, y, x, y + 1), ("x0", "y0", "x1", "y1"), strict=True)), False)
-    level = pair(down(), y, (x, y + 1, x + 1, y + 1), tuple(c.alias(n) for c, n in zip((x, y, x + 1, y), ("x0", "y0", "x1", "y1"), strict=True)), True)
+    upright = pair(across(), "y", x, (x + 1, y, x + 1, y + 1), tuple(c.alias(n) for c, n in zip((x, y, x, y + 1), ("x0", "y0", "x1", "y1"), strict=True)), False)
+    level = pair(down(), "x", y, (x, y + 1, x + 1, y + 1), tuple(c.alias(n) for c, n in zip((x, y, x + 1, y), ("x0", "y0", "x1", "y1"), strict=True)), True)
     return upright.unionAll(level)
 
 
 def vertex_degrees(edges: DataFrame) -> DataFrame:
-    """img, x, y, degree of every corner that an edge touches."""
-    ends = edges.select("img", F.col("x0").alias("x"), F.col("y0").alias("y")).unionAll(edges.select("img", F.col("x1").alias("x"), F.col("y1").alias("y")))
-    return ends.groupBy("img", "x", "y").agg(F.count("*").alias("degree"))
+    """img, x, y, degree of every corner that an edge touches.  Both ends of an edge come from one reading."""
+    ends = F.inline(F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)]))
+    sent = edges.select("img", ends)
+    return dealt(sent, 2 * edges.count(), "img", "x", "y").groupBy("img", "x", "y").agg(F.count("*").alias("degree"))
 
 
 def _steps(ring: Column, closed: bool) -> Column:

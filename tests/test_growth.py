@@ -1,6 +1,6 @@
 """Steps whose cost must go with the input, by their plans."""
 
-from rasterloom.operators import palette, stencil
+from rasterloom.operators import palette, skeleton, stencil, vector
 
 
 def test_closest_pair_sorts_no_pairs(spark):
@@ -20,3 +20,26 @@ def test_top_hat_shares_its_sorts(spark):
     raster = spark.range(100).selectExpr("0 as img", "cast(id % 10 as int) as x", "cast(id div 10 as int) as y", "cast(id * id % 13 as double) as v")
     plan = stencil.top_hat(raster, "v", 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") <= 4
+
+
+def _pixels(spark):
+    return spark.range(900).selectExpr("0 as img", "id as i", "cast(id % 30 as int) as x", "cast(id div 30 as int) as y", "cast(id * id * 7 % 11 % 3 as int) as comp")
+
+
+def test_corners_are_dealt_by_their_number(spark, monkeypatch):
+    pixels = _pixels(spark)
+    whole = sorted(map(tuple, vector.vertex_degrees(vector.crack_edges(pixels)).collect()))
+    monkeypatch.setattr(stencil, "ROWS", 100)
+    edges = vector.crack_edges(pixels)
+    found = vector.vertex_degrees(edges)
+    assert sorted(map(tuple, found.collect())) == whole
+    assert f", {-(-2 * edges.count() // 100)})" in found._jdf.queryExecution().executedPlan().toString()  # partitions of the exchange
+
+
+def test_degrees_of_a_skeleton_send_each_pixel_once(spark):
+    on = _pixels(spark).where("comp > 0").select("img", "x", "y", "comp")
+    found = skeleton.degree_map(on)
+    there = {(r["x"], r["y"]): r["comp"] for r in on.collect()}
+    want = {(x, y): sum(there.get((x + dx, y + dy)) == c for dx, dy in skeleton.AROUND) for (x, y), c in there.items()}
+    assert {(r["x"], r["y"]): r["degree"] for r in found.collect()} == want
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
