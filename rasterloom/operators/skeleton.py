@@ -86,7 +86,7 @@ def thin(mask: DataFrame, rounds: Rounds, longest: int = 64) -> DataFrame:
     now = rounds.keep(mask.withColumn("on", F.lit(1)))
     size = now.count()
     for _ in range(longest // ITERATIONS):
-        now = rounds.keep(tiled(now, 2 * ITERATIONS, {"on": "int", "comp": kind}, peel).where("on = 1"))
+        now = rounds.keep(tiled(now, 2 * ITERATIONS, {"on": "int", "comp": kind}, peel, size).where("on = 1"))
         was, size = size, now.count()
         if size == was:
             break
@@ -107,7 +107,7 @@ def thin(mask: DataFrame, rounds: Rounds, longest: int = 64) -> DataFrame:
     for _ in range(4):
         now = now.withColumn("gone", F.lit(0)).withColumn("moved", F.lit(1))
         while True:
-            now = rounds.keep(tiled(now, STEPS, {"on": "int", "comp": kind, "gone": "int", "moved": "int"}, settle))
+            now = rounds.keep(tiled(now, STEPS, {"on": "int", "comp": kind, "gone": "int", "moved": "int"}, settle, size))
             if not _total(now, "moved"):
                 break
         gone = _total(now, "gone")
@@ -119,10 +119,12 @@ def thin(mask: DataFrame, rounds: Rounds, longest: int = 64) -> DataFrame:
 
 def degree_map(skeleton: DataFrame) -> DataFrame:
     """Add degree: how many of the eight neighbours are on the skeleton, in the same component."""
-    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AROUND])).alias("d")
-    seen = skeleton.select("img", "x", "y", "comp", step).select("img", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "comp")
-    counts = seen.groupBy("img", "x", "y", "comp").agg(F.count("*").cast("int").alias("degree"))
-    return skeleton.join(counts, ["img", "x", "y", "comp"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+    def count(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
+        code = _code(there, planes["comp"])
+        return {"comp": planes["comp"], "degree": sum((code >> k & 1) for k in range(8)).astype(float)}
+
+    return tiled(skeleton.withColumn("degree", F.lit(0)), 1, {"comp": dict(skeleton.dtypes)["comp"], "degree": "int"}, count, skeleton.count())
 
 
 def prune_spurs(skeleton: DataFrame, longest: int, rounds: Rounds) -> DataFrame:
