@@ -33,7 +33,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,18 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _kind(tag: str, at: dict[str, str], inside: bool, wraps: bool = False) -> str:
+#: The attributes that say what an element is.  Tags without them are all alike, which is most of a page.
+_TELLS = re.compile(r"class|id|role|hidden|style", re.I)
+
+
+def _telling(raw: str) -> str:
+    return raw if _TELLS.search(raw) else ""
+
+
+@lru_cache(1 << 12)
+def _kind(tag: str, raw: str, inside: bool, wraps: bool = False) -> str:
     """drop, doubt, article or main (marked), content (by class) or plain.  With ``wraps`` neither a name nor being a form counts."""
+    at = _attributes(raw)
     role = at.get("role", "").lower()
     names = re.sub(r"\b(?:no|with|without|has|have)[-_][\w-]+", " ", f"{at.get('class', '')} {at.get('id', '')}")
     if (tag in _DROP or role in _ROLES) and not (wraps and (tag == "form" or role == "form")) or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I):
@@ -185,8 +196,8 @@ class _Reader:
         while self._pop() != tag:
             pass
 
-    def read(self, page: str) -> None:
-        for kind, value, raw in _tokens(page):
+    def read(self, tokens: Iterable[tuple[str, str, str]]) -> None:
+        for kind, value, raw in tokens:
             if kind == "text":
                 self.text(value)
             elif kind == "end":
@@ -232,6 +243,14 @@ class _Reader:
         self.opened(tag, raw)
 
 
+@lru_cache(1 << 12)
+def _proof(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether an element is a marked article, and whether no wrapper can be below it."""
+    at = _attributes(raw)
+    marked = tag in ("article", "main") or at.get("role", "").lower() in ("article", "main")
+    return marked, tag in _DROP - {"form"} or _CERTAIN.search(f"{at.get('class', '')} {at.get('id', '')}") is not None
+
+
 class _Wrappers(_Reader):
     """Which elements, by their number in page order, hold the largest marked article or, without one, most of the text."""
 
@@ -254,10 +273,10 @@ class _Wrappers(_Reader):
         number = len(self.sizes)
         self.sizes.append(0)
         self.parent.append(self.path[-1] if self.path else -1)
-        at = _attributes(raw)
-        if tag in ("article", "main") or at.get("role", "").lower() in ("article", "main"):
+        marked, certain = _proof(tag, _telling(raw))
+        if marked:
             self.marked.append(number)
-        if tag in _DROP - {"form"} or _CERTAIN.search(f"{at.get('class', '')} {at.get('id', '')}"):
+        if certain:
             self.certain.add(number)
         self.path.append(number)
 
@@ -321,7 +340,7 @@ class _Blocks(_Reader):
 
     def opened(self, tag: str, raw: str) -> None:
         self.number += 1
-        kind = _kind(tag, _attributes(raw), bool(self.marks["article"] or self.marks["main"] or self.marks["content"]), self.number in self.wrappers)
+        kind = _kind(tag, _telling(raw), bool(self.marks["article"] or self.marks["main"] or self.marks["content"]), self.number in self.wrappers)
         self.kinds.append(kind)
         if kind == "drop":
             self.dropped += 1
@@ -354,12 +373,13 @@ _SUSPECT = re.compile(r"<form\b|<header\b|\brole\s*=|\b(?:class|id)\s*=", re.I)
 def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
     """((text, whether it is in doubt) of the blocks in page order, whether the page marks its article)."""
     wrappers: set[int] = set()
+    tokens = list(_tokens(page))  # read once for both readers
     if _SUSPECT.search(page):
         first = _Wrappers()
-        first.read(page)
+        first.read(tokens)
         wrappers = first.found()
     reader = _Blocks(wrappers)
-    reader.read(page)
+    reader.read(tokens)
     reader.flush()
     links = {k for k, (n, linked) in enumerate(reader.letters) if linked >= LINKS * n}
     for name in ("article", "main", "content"):
