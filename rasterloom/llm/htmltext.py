@@ -7,7 +7,8 @@ in a page that marks its article (``article``, ``main``, the role, or a content
 goes too.  What wraps the largest marked article is never furniture, whatever its class says and if it is a
 form of the whole page; on a page that marks none, neither is what holds more than half of the text.  In doubt are
 
-  * all blocks of a page that marks no article, and
+  * all blocks of a page that marks no article, or only by ``main`` or a class's name,
+  * blocks of any other marked article than the page's largest (teasers of other stories are marked like it), and
   * inside an article, elements whose name merely sounds like page furniture (share, notice, legal,
     related, header and so on); of these, ones that consist of links for the most part go at once.
 
@@ -310,6 +311,8 @@ class _Blocks(_Reader):
         self.doubts: list[int] = []  # elements in doubt that are open
         self.letters: list[list[int]] = []  # of each element in doubt, characters and those in links
         self.out: dict[str, list[tuple[str, int]]] = {"article": [], "main": [], "content": [], "plain": []}
+        self.articles: list[int] = []  # of each block of an article, which article by number
+        self.article = -1
 
     def flush(self) -> None:
         text = " ".join("".join(self.piece).split())
@@ -321,6 +324,8 @@ class _Blocks(_Reader):
         for name in ("article", "main", "content"):
             if self.marks[name]:
                 self.out[name].append(row)
+        if self.marks["article"]:
+            self.articles.append(self.article)
 
     def text(self, value: str) -> None:
         if not self.dropped:
@@ -345,6 +350,7 @@ class _Blocks(_Reader):
         if kind == "drop":
             self.dropped += 1
         elif kind in self.marks:
+            self.article += kind == "article" and not self.marks["article"]
             self.marks[kind] += 1
         elif kind == "doubt":
             if not self.dropped:
@@ -382,9 +388,15 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
     reader.read(tokens)
     reader.flush()
     links = {k for k, (n, linked) in enumerate(reader.letters) if linked >= LINKS * n}
-    for name in ("article", "main", "content"):
+    if reader.out["article"]:
+        sizes = Counter[int]()
+        for (text, _), number in zip(reader.out["article"], reader.articles, strict=True):
+            sizes[number] += len(text)
+        largest = max(sizes, key=lambda number: (sizes[number], -number))
+        return [(text, k >= 0 or number != largest) for (text, k), number in zip(reader.out["article"], reader.articles, strict=True) if k not in links], True
+    for name in ("main", "content"):  # around the article, which is not marked itself
         if reader.out[name]:
-            return [(text, k >= 0) for text, k in reader.out[name] if k not in links], True
+            return [(text, True) for text, k in reader.out[name] if k not in links], True
     return [(text, True) for text, k in reader.out["plain"] if k not in links], False
 
 
