@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Rounds
-from .chains import directed_chains, rank_chains
+from .chains import directed_chains, rank_chains, tile_of
 from .vector import chaikin, crack_edges, ring_sort, signed_area, simplify
 
 _ROW, _LOOP = 1 << 30, 1 << 60
@@ -62,7 +62,7 @@ def trace_arcs(pixels: DataFrame, column: str = "comp") -> DataFrame:
     key = F.when(F.col("n") != 2, node).when(F.col("direction") == 0, node + _LOOP)
     to = _ahead(F.col("corner"), F.col("direction"))
     ends = [_x(F.col("corner")).alias("x0"), _y(F.col("corner")).alias("y0"), _x(to).alias("x1"), _y(to).alias("y1")]
-    linked = met.select("img", node.alias("node"), (to + (F.col("direction") + 2) % 4).alias("twin"), prev.alias("prev"), key.alias("key"), *ends, "left", "right")
+    linked = met.select("img", node.alias("node"), (to + (F.col("direction") + 2) % 4).alias("twin"), prev.alias("prev"), key.alias("key"), tile_of(ends[0], ends[1]).alias("tile"), *ends, "left", "right")
     return directed_chains(linked, rounds).select("img", "id", "seq", "x0", "y0", "x1", "y1", "left", "right")
 
 
@@ -90,9 +90,9 @@ def assemble_rings(arcs: DataFrame) -> DataFrame:
     # next at the corner: left is one direction less, straight the same, right one more, back two more
     leaving = oriented.select("img", "region", F.col("start").alias("end"), F.col("out").alias("leave"), F.col("node").alias("next"))
     turn = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(2), F.lit(0)), (F.col("leave") - F.col("in") + 4) % 4 + 1)
-    follows = oriented.join(leaving, ["img", "region", "end"]).groupBy("img", "node").agg(F.min(F.struct(turn.alias("turn"), F.col("next"))).alias("m"))
-    links = follows.select("img", F.col("m.next").alias("node"), F.col("node").alias("prev"))
-    ranked = rank_chains(links.withColumn("key", F.col("node")), rounds)
+    follows = oriented.join(leaving, ["img", "region", "end"]).groupBy("img", "node").agg(F.min(F.struct(turn.alias("turn"), F.col("next"), F.col("end"))).alias("m"))
+    links = follows.select("img", F.col("m.next").alias("node"), F.col("node").alias("prev"), F.col("m.next").alias("key"), tile_of(_x(F.col("m.end")), _y(F.col("m.end"))).alias("tile"))
+    ranked = rank_chains(links, rounds)
     now = rounds.keep(oriented.join(ranked.select("img", "node", F.col("head").alias("ring"), F.col("rank").alias("seq")), ["img", "node"]).select("img", "region", "ring", "seq", "id", "forward", "start", "node"))
     by = Window.partitionBy("img", "region", "ring")
     whole: list[DataFrame] = []

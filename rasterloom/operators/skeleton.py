@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Rounds
-from .chains import directed_chains
+from .chains import directed_chains, tile_of
 from .outline import arc_points
 from .stencil import _moved, tiled
 from .vector import polyline_length, simplify
@@ -200,7 +200,7 @@ def trace_skeleton(skeleton: DataFrame, rounds: Rounds) -> DataFrame:
     prev = F.when(F.col("n") == 2, here + shift + (F.col("other") + 4) % 8)
     node = here + F.col("k")
     twin = _pixel(F.col("x1"), F.col("y1")) + (F.col("k") + 4) % 8
-    linked = met.select("img", node.alias("node"), twin.alias("twin"), prev.alias("prev"), F.when(F.col("n") == 2, node + _LOOP).otherwise(node).alias("key"), "x0", "y0", "x1", "y1", "comp")
+    linked = met.select("img", node.alias("node"), twin.alias("twin"), prev.alias("prev"), F.when(F.col("n") == 2, node + _LOOP).otherwise(node).alias("key"), tile_of(F.col("x0"), F.col("y0")).alias("tile"), "x0", "y0", "x1", "y1", "comp")
     return directed_chains(linked, rounds)
 
 
