@@ -51,6 +51,30 @@ def _segments(node: np.ndarray, prev: np.ndarray, linked: np.ndarray, key: np.nd
     return {"open": open_, "last": last & ~ring, "root": node[jump], "off": off, "hold": hold, "head": head, "rank": rank, "ring": ring, "before": prev[jump]}
 
 
+def _mine(found: dict[str, np.ndarray], node: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether that is told, whether a node's walk stays) where the tile knows the heads of a node's walk and of its twin's."""
+    order = np.argsort(node)
+    at = order[np.minimum(np.searchsorted(node, twin, sorter=order), len(node) - 1)]
+    told = (node[at] == twin) & ~found["open"] & ~found["open"][at]
+    return told, told & (found["head"] <= found["head"][at]) & (found["head"] != _NONE)
+
+
+#: What a walk inside a tile adds to its nodes.
+WALKED = "open boolean, last boolean, ring boolean, root long, off long, hold long, rank long, before long, head long"
+
+
+def walked_table(found: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+    return {c: pa.array(found[c]) for c in ("open", "last", "ring", "root", "off", "hold", "rank", "before")} | {"head": pa.array(found["head"], mask=found["head"] == _NONE)}
+
+
+def walk_darts(node: np.ndarray, prev: np.ndarray, linked: np.ndarray, key: np.ndarray, twin: np.ndarray) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """(WALKED and mine as columns, which rows stay) of a tile's darts; darts whose twin's walk stays instead are out."""
+    found = _segments(node, prev, linked, np.where(key < 0, _NONE, key))
+    told, mine = _mine(found, node, twin)
+    stay = ~told | mine
+    return {c: v.filter(pa.array(stay)) for c, v in (walked_table(found) | {"mine": pa.array(mine, mask=~told)}).items()}, stay
+
+
 def _in_tiles(links: DataFrame, rows: int) -> DataFrame:
     """links with what ``_segments`` says of them."""
     names = [c for c in links.columns if c not in ("tile", "prev", "key")]
@@ -59,12 +83,9 @@ def _in_tiles(links: DataFrame, rows: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         node, prev, key = (table.column(c).cast(pa.int64()) for c in ("node", "prev", "key"))
         found = _segments(node.to_numpy(), pc.fill_null(prev, 0).to_numpy(), pc.is_valid(prev).to_numpy(), pc.fill_null(key, _NONE).to_numpy())
-        out = {c: table.column(c) for c in names}
-        for c in ("open", "last", "ring", "root", "off", "hold", "rank", "before"):
-            out[c] = pa.array(found[c])
-        return pa.table(out | {"head": pa.array(found["head"], mask=found["head"] == _NONE)})
+        return pa.table({c: table.column(c) for c in names} | walked_table(found))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", open boolean, last boolean, ring boolean, root long, off long, hold long, rank long, before long, head long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {WALKED}"
     return dealt(links, rows, "img", "tile").groupBy("img", "tile").applyInArrow(run, schema)
 
 
@@ -78,8 +99,12 @@ def rank_chains(links: DataFrame, rounds: Rounds) -> DataFrame:
     segments before it hold, so there are as many rounds as the chain of most segments has binary digits; those that know their
     head leave the iteration.  A ring is through when a round lowers none of its keys.
     """
-    rest_of = [c for c in links.columns if c not in ("img", "node", "prev", "key", "tile")]
-    walked = rounds.keep(_in_tiles(links, links.count()))
+    return rank_walked(rounds.keep(_in_tiles(links, links.count())), rounds)
+
+
+def rank_walked(walked: DataFrame, rounds: Rounds) -> DataFrame:
+    """rank_chains of what is walked inside tiles: a kept table of img, node, ... and WALKED."""
+    rest_of = walked.columns[2 : walked.columns.index("open")]
     whole = walked.where("not open").select("img", "node", *rest_of, "head", "rank", "ring")
     ends = walked.where("open and last")
     rest = rounds.keep(ends.select("img", "node", F.col("before").alias("to"), (F.col("off") + 1).alias("hops"), "head", "rank"))
@@ -129,8 +154,14 @@ def directed_chains(darts: DataFrame, rounds: Rounds) -> DataFrame:
     A chain can be walked from both ends (a dart and its twin are one edge): the walk whose head is smaller stays.
     ids count an image's chains from 0 by head, so rings come last where their keys are larger.
     """
-    placed = rank_chains(rounds.keep(darts), rounds).drop("ring")
+    return named_chains(rank_chains(rounds.keep(darts), rounds).withColumn("mine", F.lit(None).cast("boolean")), rounds)
+
+
+def named_chains(ranked: DataFrame, rounds: Rounds) -> DataFrame:
+    """directed_chains of ranked darts, of which ``mine`` says that they stay; null where that is to be found."""
+    placed = ranked.drop("ring")
     edge = Window.partitionBy("img", F.least("node", "twin"))
-    kept = rounds.keep(placed.withColumn("mine", F.col("head").isNotNull() & (F.col("head") == F.min("head").over(edge))).where("mine").drop("mine"))
+    asked = placed.where("mine is null").withColumn("mine", F.col("head").isNotNull() & (F.col("head") == F.min("head").over(edge)))
+    kept = rounds.keep(placed.where("mine").unionAll(asked.where("mine")).drop("mine"))
     heads = kept.where("rank = 0").select("img", "head", (F.row_number().over(Window.partitionBy("img").orderBy("head")).cast("int") - 1).alias("id"))
     return kept.join(heads, ["img", "head"]).withColumn("seq", F.col("rank").cast("int")).drop("head", "rank", "node", "twin")

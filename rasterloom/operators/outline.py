@@ -7,12 +7,16 @@ chains of darts and of arcs, ranked by pointer doubling, so no image is walked b
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Rounds
-from .chains import directed_chains, rank_chains, tile_of
-from .vector import chaikin, crack_edges, ring_sort, signed_area, simplify
+from .chains import WALKED, named_chains, rank_chains, rank_walked, tile_of, walk_darts
+from .stencil import TILE, dealt
+from .vector import chaikin, ring_sort, signed_area, simplify
 
 _ROW, _LOOP = 1 << 30, 1 << 60
 
@@ -29,41 +33,54 @@ def _y(corner: Column) -> Column:
     return F.floor(corner / _ROW).cast("int")
 
 
-def _ahead(corner: Column, direction: Column) -> Column:
-    """The corner one step on."""
-    return corner + F.element_at(F.array(F.lit(4), F.lit(_ROW), F.lit(-4), F.lit(-_ROW)), direction + 1)
-
-
-def darts(pixels: DataFrame, column: str = "comp") -> DataFrame:
-    """img, corner, direction, left, right: both directions of every edge between different regions; -1 is outside."""
-    edges = crack_edges(pixels, column)
-    way = F.when(F.col("x1") > F.col("x0"), 0).otherwise(1)
-    there = edges.select("img", _corner(F.col("x0"), F.col("y0")).alias("corner"), way.alias("direction"), "left", "right")
-    back = edges.select("img", _corner(F.col("x1"), F.col("y1")).alias("corner"), (way + 2).alias("direction"), F.col("right").alias("left"), F.col("left").alias("right"))
-    return there.unionAll(back)
-
-
 def trace_arcs(pixels: DataFrame, column: str = "comp") -> DataFrame:
-    """img, id, seq, x0, y0, x1, y1, left, right: the unit edges of every arc, in order.
+    """img, id, seq, x0, y0, x1, y1, left, right: the unit edges of every arc of a full raster, in order; -1 is outside or masked.
 
     An arc ends where other than two edges meet; it runs from the end whose (corner in raster order, direction) is
     smaller.  Loops without such a corner start east at their first horizontal edge.  ids count an image's
     arcs from 0 by that start, loops last.
     """
     rounds = Rounds(pixels.sparkSession, "arcs")
-    each = darts(pixels, column)
-    at = Window.partitionBy("img", "corner")
-    # where two edges meet, the dart before this one is the reverse of the other that starts here
-    other = F.sum("direction").over(at).cast("int") - F.col("direction")
-    met = each.withColumn("n", F.count("*").over(at)).withColumn("other", F.when(F.col("n") == 2, other))
-    node = F.col("corner") + F.col("direction")
-    turned = (F.col("other") + 2) % 4
-    prev = F.when(F.col("n") == 2, _ahead(F.col("corner"), F.when(F.col("n") == 2, F.col("other")).otherwise(0)) + turned)
-    key = F.when(F.col("n") != 2, node).when(F.col("direction") == 0, node + _LOOP)
-    to = _ahead(F.col("corner"), F.col("direction"))
-    ends = [_x(F.col("corner")).alias("x0"), _y(F.col("corner")).alias("y0"), _x(to).alias("x1"), _y(to).alias("y1")]
-    linked = met.select("img", node.alias("node"), (to + (F.col("direction") + 2) % 4).alias("twin"), prev.alias("prev"), key.alias("key"), tile_of(ends[0], ends[1]).alias("tile"), *ends, "left", "right")
-    return directed_chains(linked, rounds).select("img", "id", "seq", "x0", "y0", "x1", "y1", "left", "right")
+    kind = dict(pixels.dtypes)[column]
+    img = dict(pixels.dtypes)["img"]
+
+    def walk(table: pa.Table) -> pa.Table:
+        """The darts that start at a tile's corners, walked as far as the tile goes."""
+        tx, ty = table.column("__tx")[0].as_py(), table.column("__ty")[0].as_py()
+        at_x, at_y = (table.column(c).to_numpy() - t * TILE + 1 for c, t in (("x", tx), ("y", ty)))
+        me = np.full((TILE + 1, TILE + 1), -1, np.int64)  # the tile's pixels, and those before its corners
+        me[at_y, at_x] = pc.fill_null(table.column("me"), -1).to_numpy()
+        nw, ne, sw, se = me[:-1, :-1], me[:-1, 1:], me[1:, :-1], me[1:, 1:]
+        sides = ((ne, se), (se, sw), (sw, nw), (nw, ne))  # left and right of the darts east, south, west and north
+        there = np.stack([p != q for p, q in sides])
+        n, total = there.sum(0), (there * np.arange(4)[:, None, None]).sum(0)
+        way, row, col = np.nonzero(there)
+        left, right = (np.stack([s[k] for s in sides])[way, row, col] for k in (0, 1))
+        x, y = col + tx * TILE, row + ty * TILE
+        corner, ahead = y * _ROW + x * 4, np.array([4, _ROW, -4, -_ROW])
+        node, twin = corner + way, corner + ahead[way] + (way + 2) % 4
+        # where two edges meet, the dart before this one is the reverse of the other that starts here
+        met = n[row, col] == 2
+        other = np.where(met, total[row, col] - way, 0)
+        prev = corner + ahead[other] + (other + 2) % 4
+        key = np.where(~met, node, np.where(way == 0, node + _LOOP, -1))
+        found, stay = walk_darts(node, prev, met, key, twin)
+        dx, dy = np.array([1, 0, -1, 0])[way], np.array([0, 1, 0, -1])[way]
+        said = {"node": node, "twin": twin, "x0": x, "y0": y, "x1": x + dx, "y1": y + dy, "left": left, "right": right}
+        types = {"node": pa.int64(), "twin": pa.int64(), "left": table.schema.field("me").type, "right": table.schema.field("me").type}
+        rows = {c: pa.array(v[stay]).cast(types.get(c, pa.int32())) for c, v in said.items()}
+        rows["img"] = pa.repeat(table.column("img")[0], int(stay.sum()))
+        rows["mine"] = found.pop("mine")
+        return pa.table({c: rows[c] for c in ("img", "node", "twin", "x0", "y0", "x1", "y1", "left", "right", "mine")} | found)
+
+    def spread(c: str) -> Column:
+        """The tiles that corners of a pixel lie in."""
+        return F.explode(F.sequence(F.floor(F.col(c) / TILE), F.floor((F.col(c) + 1) / TILE)))
+
+    sent = pixels.select("img", "x", "y", F.col(column).alias("me")).withColumn("__tx", spread("x")).withColumn("__ty", spread("y"))
+    schema = f"img {img}, node long, twin long, x0 int, y0 int, x1 int, y1 int, left {kind}, right {kind}, mine boolean, {WALKED}"
+    walked = rounds.keep(dealt(sent, 4 * pixels.count(), "img", "__tx", "__ty").groupBy("img", "__tx", "__ty").applyInArrow(walk, schema))
+    return named_chains(rank_walked(walked, rounds), rounds).select("img", "id", "seq", "x0", "y0", "x1", "y1", "left", "right")
 
 
 def arc_points(arcs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import chains
+from rasterloom.operators import chains, outline, vector
 from rasterloom.workspace import Rounds
 
 
@@ -56,3 +56,27 @@ def test_chains_of_one_tile_need_no_rounds(spark):
     links = spark.range(1000).select(F.lit(0).alias("img"), n.alias("node"), F.when(n > 0, n - 1).alias("prev"), n.alias("key"), F.lit(0).cast("long").alias("tile"))
     assert [r["rank"] for r in chains.rank_chains(links, rounds).orderBy("node").collect()] == list(range(1000))
     assert rounds.n <= 3
+
+
+@pytest.mark.parametrize("side", [5, 16])
+def test_arcs_and_rings_are_the_same_in_small_tiles(spark, monkeypatch, side):
+    """Darts are made and walked inside tiles; how large these are changes nothing."""
+    noise = "cast(xxhash64(id) % 3 as int)"  # from -2 to 2
+    pixels = spark.range(2 * 900).selectExpr("cast(id div 900 as int) as img", "cast(id % 30 as int) as x", "cast(id % 900 div 30 as int) as y", f"case when id % 13 > 0 then abs({noise}) when id % 2 = 0 then 2 end as comp")
+    whole = sorted(map(tuple, outline.trace_arcs(pixels).collect()))
+    rings = sorted(map(tuple, outline.assemble_rings(outline.trace_arcs(pixels)).collect()))
+    assert len(whole) == vector.crack_edges(pixels).count()
+    for module in (outline, chains):
+        monkeypatch.setattr(module, "TILE", side)
+    arcs = outline.trace_arcs(pixels)
+    assert sorted(map(tuple, arcs.collect())) == whole
+    assert sorted(map(tuple, outline.assemble_rings(arcs).collect())) == rings
+
+
+def test_arcs_shuffle_pixels_and_not_darts(spark, monkeypatch):
+    """One image without long arcs: pixels, walked darts and chains are all that is written (before: every round of doubling)."""
+    made = []
+    keep = Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df: (made.append(self.n), keep(self, df))[1])
+    outline.trace_arcs(spark.range(900).selectExpr("0 as img", "cast(id % 30 as int) as x", "cast(id div 30 as int) as y", "cast(id * id * 7 % 11 % 3 as int) as comp")).count()
+    assert len(made) <= 4
