@@ -1,6 +1,10 @@
 """Steps whose cost must go with the input, by their plans."""
 
-from rasterloom.operators import palette, skeleton, stencil, vector
+import math
+
+from pyspark.sql import functions as F
+
+from rasterloom.operators import nearest, palette, skeleton, stencil, vector
 
 
 def test_closest_pair_sorts_no_pairs(spark):
@@ -43,3 +47,21 @@ def test_degrees_of_a_skeleton_send_each_pixel_once(spark):
     want = {(x, y): sum(there.get((x + dx, y + dy)) == c for dx, dy in skeleton.AROUND) for (x, y), c in there.items()}
     assert {(r["x"], r["y"]): r["degree"] for r in found.collect()} == want
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_like_colours_are_measured_once(spark, monkeypatch):
+    rows = [(n, str(n * 7919 % 1000), n * 3 % 5 / 5, n % 4 / 4, 0.5) for n in range(300)]  # twenty colours
+    threads = spark.createDataFrame(rows, "ord int, number string, ok_l double, ok_a double, ok_b double")
+    asked = [(i, i % 7 / 7, i % 3 / 3, i % 2 / 2) for i in range(40)] + [(40, 0.5, 0.375, 0.5), (41, None, 0.1, 0.1)]
+    sizes = []
+    made = nearest.Colours.__init__
+    monkeypatch.setattr(nearest.Colours, "__init__", lambda self, lab, *a: (sizes.append(len(lab)), made(self, lab, *a))[1])
+    for k in (1, 3, 30, 400):
+        got = {}
+        for r in nearest.rank_threads(spark.createDataFrame(asked, "k int, ok_l double, ok_a double, ok_b double"), ["k"], threads, k).collect():
+            got.setdefault(r["k"], []).append((r["rank"], r["number"]))
+        order = {n: i for i, n in enumerate(r["number"] for r in threads.select("number").orderBy(F.collate("number", "UNICODE"), "number").collect())}
+        d = lambda p, t: math.floor(sum((a - b) ** 2 for a, b in zip(p, t[2:], strict=True)) * 1e9 + 0.5)
+        want = {i: [(j + 1, t[1]) for j, t in enumerate(sorted(rows, key=lambda t: (d(p, t), order[t[1]]))[:k])] for i, *p in asked if p[0] is not None}
+        assert {i: sorted(v) for i, v in got.items()} == want
+    assert sizes == [20] * 4
