@@ -135,6 +135,7 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
     wanted = sampled.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(locked))], "number string, slot int")
     kept = whole.join(wanted, "number").withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1).where(F.col("slot") < k)  # a few rows that the caller named
     fixed = kept.count()
+    near = rounds.keep(library.unionByName(kept.select("ord", "number", *LAB)).dropDuplicates(["ord"]))  # all that a slot can take
     slots = rounds.keep(images.join(F.broadcast(kept.withColumn("fixed", F.lit(True)))).selectExpr(*_SLOT.split(", ")))
     draws = xorshift32(SEED)
     for at in range(fixed, k):
@@ -166,7 +167,7 @@ def extract_palettes(sampled: DataFrame, threads: DataFrame, k: int, locked: tup
         best = _nearest_few(means().select("img", "slot", *[F.col(f"m{c}").alias(c) for c in LAB]), ["img", "slot"], library, k)
         known = slots.select("img", "slot", "ord", "fixed").join(best, ["img", "slot"], "left")
         moved = known.groupBy("img").applyInPandas(move, f"img {dict(slots.dtypes)['img']}, slot int, ord int, fixed boolean, moved boolean")
-        after = rounds.keep(moved.join(whole, "ord").selectExpr(*_SLOT.split(", "), "moved"))
+        after = rounds.keep(moved.join(near, "ord").selectExpr(*_SLOT.split(", "), "moved"))
         same = turn and after.where("moved").isEmpty() and after.count() == slots.count()
         slots = after.drop("moved")
         if same:

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from rasterloom.operators import nearest, palette, skeleton, stencil, vector
+from rasterloom.workspace import Rounds
 
 
 def test_closest_pair_sorts_no_pairs(spark):
@@ -65,3 +66,15 @@ def test_like_colours_are_measured_once(spark, monkeypatch):
         want = {i: [(j + 1, t[1]) for j, t in enumerate(sorted(rows, key=lambda t: (d(p, t), order[t[1]]))[:k])] for i, *p in asked if p[0] is not None}
         assert {i: sorted(v) for i, v in got.items()} == want
     assert sizes == [20] * 4
+
+
+def test_palette_rounds_leave_the_whole_catalogue_alone(spark, monkeypatch):
+    """A catalogue of few colours: rounds read its first rows of each colour, so what is broadcast does not grow with its rows."""
+    threads = spark.range(600).selectExpr("cast(id as int) as ord", "cast(id as string) as number", "id % 12 / 12D as ok_l", "id % 5 / 5D as ok_a", "id % 3 / 3D as ok_b")
+    pixels = spark.range(400).selectExpr("cast(id % 2 as int) as img", "id as i", "id % 10 / 10D as ok_l", "id % 7 / 7D as ok_a", "id % 3 / 3D as ok_b", "false as ramp", "1D as w")
+    reads = []
+    keep = Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df: (reads.append(any("/0002/" in f for f in df.inputFiles())), keep(self, df))[1])
+    found = palette.extract_palettes(pixels, threads, 4, ("599",)).collect()
+    assert len(found) == 8 and {r["number"] for r in found if r["locked"]} == {"599"}
+    assert sum(reads) <= 3 and len(reads) > 8
