@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..workspace import Rounds
 from .chains import directed_chains, tile_of
 from .outline import arc_points
-from .stencil import _moved, tiled
+from .stencil import _moved, extent, tiled
 from .vector import polyline_length, simplify
 
 #: The eight neighbours clockwise from north; a code has bit k for neighbour k.
@@ -84,11 +84,11 @@ def thin(mask: DataFrame, rounds: Rounds, longest: int = 64) -> DataFrame:
 
     kind = dict(mask.dtypes)["comp"]
     now = rounds.keep(mask.withColumn("on", F.lit(1)))
-    size = now.count()
+    size = extent(now)
     for _ in range(longest // ITERATIONS):
-        now = rounds.keep(tiled(now, 2 * ITERATIONS, {"on": "int", "comp": kind}, peel, size).where("on = 1"))
-        was, size = size, now.count()
-        if size == was:
+        now = rounds.keep(tiled(now, 2 * ITERATIONS, {"on": "int", "comp": kind}, peel, **size, tight=True).where("on = 1"))
+        was, size = size, extent(now)
+        if size["rows"] == was["rows"]:
             break
 
     def settle(planes: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
@@ -107,7 +107,7 @@ def thin(mask: DataFrame, rounds: Rounds, longest: int = 64) -> DataFrame:
     for _ in range(4):
         now = now.withColumn("gone", F.lit(0)).withColumn("moved", F.lit(1))
         while True:
-            now = rounds.keep(tiled(now, STEPS, {"on": "int", "comp": kind, "gone": "int", "moved": "int"}, settle, size))
+            now = rounds.keep(tiled(now, STEPS, {"on": "int", "comp": kind, "gone": "int", "moved": "int"}, settle, **size, tight=True))
             if not _total(now, "moved"):
                 break
         gone = _total(now, "gone")
@@ -124,7 +124,7 @@ def degree_map(skeleton: DataFrame) -> DataFrame:
         code = _code(there, planes["comp"])
         return {"comp": planes["comp"], "degree": sum((code >> k & 1) for k in range(8)).astype(float)}
 
-    return tiled(skeleton.withColumn("degree", F.lit(0)), 1, {"comp": dict(skeleton.dtypes)["comp"], "degree": "int"}, count, skeleton.count())
+    return tiled(skeleton.withColumn("degree", F.lit(0)), 1, {"comp": dict(skeleton.dtypes)["comp"], "degree": "int"}, count, **extent(skeleton), tight=True)
 
 
 def prune_spurs(skeleton: DataFrame, longest: int, rounds: Rounds) -> DataFrame:
@@ -170,11 +170,11 @@ def prune_spurs(skeleton: DataFrame, longest: int, rounds: Rounds) -> DataFrame:
 
     kinds = {"on": "int", "comp": dict(skeleton.dtypes)["comp"], "spur": "int"}
     now = rounds.keep(skeleton.withColumn("on", F.lit(1)).withColumn("spur", F.col("spur").cast("int")))
-    size = now.count()
+    size = extent(now)
     for _ in range(3):
-        now = rounds.keep(tiled(now, 2 * longest + 2, kinds, prune).where("on = 1"))
-        was, size = size, now.count()
-        if size == was:
+        now = rounds.keep(tiled(now, 2 * longest + 2, kinds, prune, **size, tight=True).where("on = 1"))
+        was, size = size, extent(now)
+        if size["rows"] == was["rows"]:
             break
     return now.drop("on")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LAB
@@ -111,23 +111,34 @@ def lift_thin_regions(labels: DataFrame, palette: DataFrame, max_width: float, m
     pixels take the labels around.  A stroke has the mean of colours(img, i, ok_*) under it, if given, or its label's colour.
     """
     rounds = Rounds(labels.sparkSession, "thin")
-    comps = rounds.keep(graph.components(labels.select("img", "i", "x", "y", "label")))
-    measured = graph.chamfer(comps).where("comp is not null").groupBy("img", "comp").agg(F.max("dist").alias("deep"), F.hypot(F.max("x") + 1 - F.min("x"), F.max("y") + 1 - F.min("y")).alias("extent"), F.count("*").alias("area"), F.first("label").alias("label"))
-    sized = rounds.keep(measured.join(palette.select("img", "label", *LAB), ["img", "label"]))
-    edges = graph.adjacency(comps)
-    both = edges.select("img", F.col("a").alias("comp"), F.col("b").alias("other")).unionAll(edges.select("img", F.col("b").alias("comp"), F.col("a").alias("other")))
-    other = sized.select("img", F.col("comp").alias("other"), *[F.col(c).alias(f"o{c}") for c in LAB])
-    d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in LAB), F.lit(0.0)))
-    near = both.join(sized.select("img", "comp", *LAB), ["img", "comp"]).join(other, ["img", "other"]).groupBy("img", "comp").agg(F.min(d).alias("nearest"))
+    told = rounds.keep(graph.thin_parts(labels, max_width, min_length))
+    parts = rounds.keep(graph.whole_parts(told, rounds).withColumnRenamed("whole", "comp"))
+    measured = parts.groupBy("img", "comp").agg(F.max("deep").alias("deep"), F.hypot(F.max("x1") + 1 - F.min("x0"), F.max("y1") + 1 - F.min("y0")).alias("extent"), F.sum("area").alias("area"), F.first("label").alias("label"))
     gate = F.col("deep") * 2
-    open_ = sized.join(near, ["img", "comp"]).withColumn("gate", gate).where((F.col("gate") <= max_width) & (F.col("extent") >= min_length) & (F.col("nearest") >= keep_delta))
-    chosen = rounds.keep(open_)
-    mask = comps.join(chosen.select("img", "comp", skeleton.spur_length(F.col("gate")).alias("spur")), ["img", "comp"]).select("img", "x", "y", "comp", "spur")
+    slim = measured.join(palette.select("img", "label", *LAB), ["img", "label"]).withColumn("gate", gate).where((F.col("gate") <= max_width) & (F.col("extent") >= min_length))
+    beside = parts.select("img", "comp", F.explode(F.array_distinct(F.transform("rim", lambda p: p["label"]))).alias("label")).distinct()  # neighbours of a component have other labels
+    other = palette.select("img", "label", *[F.col(c).alias(f"o{c}") for c in LAB])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in LAB), F.lit(0.0)))
+    near = slim.select("img", "comp", *LAB).join(beside, ["img", "comp"]).join(other, ["img", "label"]).groupBy("img", "comp").agg(F.min(d).alias("nearest"))
+    chosen = rounds.keep(slim.join(near, ["img", "comp"]).where(F.col("nearest") >= keep_delta))
+    mask = parts.join(chosen.select("img", "comp", skeleton.spur_length(F.col("gate")).alias("spur")), ["img", "comp"]).select("img", "comp", "spur", F.inline("pixels"))
     found = skeleton.path_measures(skeleton.skeleton_paths(mask, skeleton.longest_spur(max_width))).join(chosen, ["img", "comp"]).withColumn("width_px", F.col("area") / F.col("length_px"))
     lines = rounds.keep(found.where(_is_line(min_length) & (F.col("width_px") <= max_width + 0.25)).select("img", "comp", "paths", "width_px", "length_px", *LAB, F.lit("region").alias("source")))
-    under = comps.join(lines.select("img", "comp"), ["img", "comp"])
+    lifted = parts.join(lines.select("img", "comp"), ["img", "comp"])
+    under = rounds.keep(lifted.select("img", "comp", F.inline("pixels")))
     if colours is not None:
         mean = under.join(colours.select("img", "i", *LAB), ["img", "i"]).groupBy("img", "comp").agg(*[F.avg(c).alias(c) for c in LAB])
         lines = lines.drop(*LAB).join(mean, ["img", "comp"]).select("img", "comp", "paths", "width_px", "length_px", *LAB, "source")
-    holes = under.select("img", "x", "y")
-    return graph.inpaint_labels(comps.drop("comp"), holes), lines
+    # holes and the pixels beside them are all that filling reads
+    at = ["img", "x", "y"]
+    holes = under.select(*at)
+    rim = lifted.select("img", F.inline("rim")).distinct().join(holes, at, "left_anti")
+    label = dict(labels.dtypes)["label"]
+    gaps = holes.select(*at, F.lit(None).cast(label).alias("label"), F.lit(1).alias("hole")).unionByName(rim.select(*at, "label", F.lit(0).alias("hole")))
+    taken = graph.fill_labels(rounds.keep(gaps.withColumn("gap", F.col("hole") == 1)), rounds).where("gap").select(*at, F.col("label").alias("taken"), "gap")
+    left = labels.select("img", "i", "x", "y", "label").join(taken, at, "left").withColumn("label", F.when(F.col("gap"), F.col("taken")).otherwise(F.col("label")))
+    # components count from 0 by first pixel
+    roots = told.where("root is null").select("img", F.explode("roots").alias("comp")).unionAll(parts.where("open").select("img", "comp").distinct())
+    order = roots.withColumn("number", F.row_number().over(Window.partitionBy("img").orderBy("comp")) - 1)
+    lines = lines.join(order, ["img", "comp"]).select("img", F.col("number").cast("int").alias("comp"), *[c for c in lines.columns if c not in ("img", "comp")])
+    return left.select("img", "i", "x", "y", "label"), lines

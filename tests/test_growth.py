@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import nearest, palette, skeleton, stencil, vector
+from rasterloom.operators import graph, nearest, palette, skeleton, stencil, strokes, vector
 from rasterloom.workspace import Rounds
 
 
@@ -78,3 +78,46 @@ def test_palette_rounds_leave_the_whole_catalogue_alone(spark, monkeypatch):
     found = palette.extract_palettes(pixels, threads, 4, ("599",)).collect()
     assert len(found) == 8 and {r["number"] for r in found if r["locked"]} == {"599"}
     assert sum(reads) <= 3 and len(reads) > 8
+
+
+def test_thin_regions_keep_what_may_be_lifted(spark, monkeypatch):
+    """Lines over several tiles and inside one: rounds write candidates and what is beside them, not the raster over and over."""
+    w, h, lines = 300, 140, {(5, 290, 60): 1, (20, 60, 20): 2, (140, 170, 100): 1}
+    plane = {(x, y): n for (x0, x1, y0), n in lines.items() for y in (y0, y0 + 1) for x in range(x0, x1)}
+    wide = {(x, y): 1 for x in range(100, 150) for y in range(110, 130)}  # too wide, goes on in another tile
+    rows = [(0, y * w + x, x, y, plane.get((x, y), wide.get((x, y), None if (x, y) == (0, 0) else 0))) for y in range(h) for x in range(w)]
+    labels = spark.createDataFrame(rows, "img int, i long, x int, y int, label int").repartition(3)
+    colours = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.1), (0, 2, 0.5)], "img int, label int, ok_l double").selectExpr("*", "0D as ok_a", "0D as ok_b")
+    kept, sent = [], []
+    keep, tiled = Rounds.keep, stencil.dealt_tiles
+    monkeypatch.setattr(Rounds, "keep", lambda self, df: (lambda t: (kept.append(t.count()), t)[1])(keep(self, df)))
+    monkeypatch.setattr(graph, "dealt_tiles", lambda df, n: (sent.append(df.count()), tiled(df, n))[1])
+    left, found = strokes.lift_thin_regions(labels, colours, 4.0, 6.0, 0.1)
+    assert max(kept) < len(rows) / 8 and sum(kept) < len(rows)
+    assert len(rows) < sent[0] < len(rows) * 1.1  # a pixel goes to its tile, and margins to tiles that have pixels
+    got = {(r["x"], r["y"]): r["label"] for r in left.collect()}
+    assert len(got) == len(rows) and all(got[x, y] == (0 if (x, y) in plane else label) for _, _, x, y, label in rows)
+    monkeypatch.undo()
+    comps = {(r["x"], r["y"]): r["comp"] for r in graph.components(labels).collect()}
+    strips = {r["comp"]: (r["length_px"], r["ok_l"]) for r in found.collect()}
+    assert {c: ok_l for c, (_, ok_l) in strips.items()} == {comps[x0, y]: (0.1, 0.5)[n - 1] for (x0, _, y), n in lines.items()}
+    assert all(0 < x1 - x0 - strips[comps[x0, y]][0] < 5 for x0, x1, y in lines)  # thinning takes the ends
+    assert dict(found.dtypes)["comp"] == "int"
+
+
+def test_label_filling_equals_plain_layers(spark):
+    """Holes wider than a round of tiles reaches, over a tile's border, with masked pixels that never get a label."""
+    w, h = 150, 50
+    value = lambda x, y: None if (x + y) % 37 == 0 else (x * 7 + y * 3) % 11 % 4
+    hole = {(x, y) for x in range(100, 140) for y in range(4, 46)}
+    start = {(x, y): None if (x, y) in hole else value(x, y) for x in range(w) for y in range(h)}
+    df = spark.createDataFrame([(0, x, y, value(x, y)) for x, y in start], "img int, x int, y int, label int")
+    for layers in (18, 256):
+        now, open_ = dict(start), set(hole)
+        for _ in range(layers):
+            near = {(x, y): [v for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (v := now.get((x + dx, y + dy))) is not None] for x, y in open_}
+            took = {p: min(v, key=lambda c: (-v.count(c), c)) for p, v in near.items() if v}
+            now.update(took)
+            open_ -= set(took)
+        found = graph.inpaint_labels(df, df.where("x between 100 and 139 and y between 4 and 45"), layers)
+        assert {(r["x"], r["y"]): r["label"] for r in found.collect()} == now and bool(open_) == (layers == 18)
